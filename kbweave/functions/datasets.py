@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from kbweave.functions.chat import labelled_turn
 from kbweave.functions.text import trim_blank
+from kbweave.functions.udfs import once
 
 FIELDS = "map<string,string>"
 SPECIAL_MAX_ITEMS = 1000
@@ -265,7 +265,7 @@ def generic_texts(documents: Column, min_size: int = 10) -> Column:
     nesting has no bound, so this one rule runs as an Arrow UDF.
     """
 
-    @arrow_udf("array<array<string>>")
+    @once("array<array<string>>")
     def texts(rows: pa.Array) -> pa.Array:
         out = []
         for row in rows.to_pylist():

@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from kbweave.functions.text import is_blank
+from kbweave.functions.udfs import once
 from kbweave.functions.vector_kernels import lengths_of, to_list_array
 
 TOKEN = r"[\p{L}\p{N}]+"
@@ -48,7 +48,7 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     stands in for a model: any function from text to ``array<float>`` can replace it.
     """
 
-    @arrow_udf("array<float>")
+    @once("array<float>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for tokens in batches:
             sizes = np.maximum(lengths_of(tokens), 0)
@@ -74,7 +74,7 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
 def onnx_embedding(text: Column, model_path: str, tokenizer_path: str, max_tokens: int = 512) -> Column:
     """First-token embedding of a user-supplied ONNX model; the session loads once per Python worker."""
 
-    @arrow_udf("array<float>")
+    @once("array<float>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import onnxruntime
         from tokenizers import Tokenizer
@@ -107,7 +107,7 @@ def onnx_embedding(text: Column, model_path: str, tokenizer_path: str, max_token
 def tokenizer_ids(text: Column, tokenizer_path: str) -> Column:
     """Token ids by a user-supplied tokenizer file, no special tokens added."""
 
-    @arrow_udf("array<int>")
+    @once("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
 
@@ -120,7 +120,7 @@ def tokenizer_ids(text: Column, tokenizer_path: str) -> Column:
 
 
 def tokenizer_decode(ids: Column, tokenizer_path: str, skip_special: bool = True) -> Column:
-    @arrow_udf("string")
+    @once("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
 

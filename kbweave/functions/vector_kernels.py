@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
+
+from kbweave.functions.udfs import once
 
 # Anomaly types.
 TYPES = (
@@ -292,7 +293,7 @@ def _map_vectors(vectors: pa.Array, keys: pa.Array, fn) -> pa.Array:
 def detect_anomaly(v: Column, expected_dim: int = -1) -> Column:
     """``struct<type, is_anomalous, severity>`` of a vector."""
 
-    @arrow_udf(ANOMALY_SCHEMA)
+    @once(ANOMALY_SCHEMA)
     def detect(vectors: pa.Array) -> pa.Array:
         codes = np.full(len(vectors), CODE["ZERO_VECTOR"])
         severity = np.ones(len(vectors))
@@ -313,7 +314,7 @@ def detect_anomaly(v: Column, expected_dim: int = -1) -> Column:
 def repair_vector(v: Column, kind: Column, key: Column, expected_dim: int = -1) -> Column:
     """Repair by the given anomaly type; ``key`` is a BIGINT that seeds the noise."""
 
-    @arrow_udf("array<float>")
+    @once("array<float>")
     def repair(vectors: pa.Array, kinds: pa.Array, keys: pa.Array) -> pa.Array:
         codes = np.array([CODE[k] if k else 0 for k in kinds.to_pylist()], dtype=np.int64)
         key_values = keys.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -329,7 +330,7 @@ def repair_vector(v: Column, kind: Column, key: Column, expected_dim: int = -1)
 def process_vector(v: Column, key: Column, expected_dim: int = -1) -> Column:
     """Detect and repair once."""
 
-    @arrow_udf("array<float>")
+    @once("array<float>")
     def process(vectors: pa.Array, keys: pa.Array) -> pa.Array:
         return _map_vectors(
             vectors,
@@ -343,7 +344,7 @@ def process_vector(v: Column, key: Column, expected_dim: int = -1) -> Column:
 def normalize_vector(v: Column, key: Column) -> Column:
     """Repair, then scale to unit length; a vector without length becomes a random unit vector."""
 
-    @arrow_udf("array<float>")
+    @once("array<float>")
     def normalize(vectors: pa.Array, keys: pa.Array) -> pa.Array:
         return _map_vectors(
             vectors, keys, lambda x, k: [(np.arange(len(x)), normalize_matrix(x, k))]
@@ -355,7 +356,7 @@ def normalize_vector(v: Column, key: Column) -> Column:
 def double_check(v: Column, key: Column, expected_dim: int = -1, above: float = RANDOM_UNIT_SEVERITY) -> Column:
     """Repair twice-checked: chunks and queries use severity 0.8, notes use 0."""
 
-    @arrow_udf("array<float>")
+    @once("array<float>")
     def check(vectors: pa.Array, keys: pa.Array) -> pa.Array:
         return _map_vectors(vectors, keys, lambda x, k: double_check_matrix(x, k, expected_dim, above))
 
@@ -363,7 +364,7 @@ def double_check(v: Column, key: Column, expected_dim: int = -1, above: float =
 
 
 def random_unit_vector(key: Column, dim: int) -> Column:
-    @arrow_udf("array<float>")
+    @once("array<float>")
     def draw(keys: pa.Array) -> pa.Array:
         values = keys.to_numpy(zero_copy_only=False).astype(np.int64)
         return to_list_array(len(values), [(np.arange(len(values)), random_unit(values, dim))])
@@ -379,7 +380,7 @@ def row_key(*cols: str) -> Column:
 # --- stored bytes --------------------------------------------------------------
 
 
-@arrow_udf(T.ArrayType(T.FloatType()))
+@once(T.ArrayType(T.FloatType()))
 def blob_to_vector(blobs: pa.Array) -> pa.Array:
     """Little-endian float32 bytes to a vector; up to three trailing bytes are ignored."""
     decoded = [
@@ -388,7 +389,7 @@ def blob_to_vector(blobs: pa.Array) -> pa.Array:
     return pa.array(decoded, pa.list_(pa.float32()))
 
 
-@arrow_udf(T.BinaryType())
+@once(T.BinaryType())
 def vector_to_blob(vectors: pa.Array) -> pa.Array:
     packed = [None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in vectors.to_pylist()]
     return pa.array(packed, pa.binary())

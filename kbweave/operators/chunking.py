@@ -19,12 +19,21 @@ def explode_chunks(
 ) -> DataFrame:
     """Replace ``text`` by ``chunk_index`` (from 0), ``total_chunks`` and ``content``."""
     kept = [c for c in df.columns if c != text]
-    pieces = df.where(~is_blank(F.col(text))).select(*kept, chunker(F.col(text), spec).alias("_pieces"))
-    return pieces.select(
-        *kept,
-        F.size("_pieces").alias("total_chunks"),
-        F.posexplode("_pieces").alias("chunk_index", "content"),
-    ).select(*kept, "chunk_index", "total_chunks", "content")
+    pieces = F.when(~is_blank(F.col(text)), chunker(F.col(text), spec))
+    return number_pieces(df.select(*kept, pieces.alias("_pieces")), kept, "_pieces")
+
+
+def number_pieces(df: DataFrame, kept: list[str], pieces: str) -> DataFrame:
+    """``kept, chunk_index, total_chunks, content``: one row per array entry.
+
+    The outer generator and the filter behind it are deliberate: for a plain one
+    Spark infers ``size(pieces) > 0`` and pushes it below the projection that made
+    the pieces, which would compute them twice.
+    """
+    exploded = df.select(
+        *kept, F.size(pieces).alias("total_chunks"), F.posexplode_outer(pieces).alias("chunk_index", "content")
+    )
+    return exploded.where(F.col("content").isNotNull()).select(*kept, "chunk_index", "total_chunks", "content")
 
 
 def chunk_metadata(source: Column, chunk_index: Column, extracted_at: Column) -> Column:
@@ -73,13 +82,7 @@ def explode_notes(
         (F.length("_content") > spec.size).alias("_split"),
         note_chunks(F.col("_content"), spec).alias("_pieces"),
     )
-    exploded = pieces.select(
-        *kept,
-        "_title",
-        "_split",
-        F.size("_pieces").alias("total_chunks"),
-        F.posexplode("_pieces").alias("chunk_index", "content"),
-    )
+    exploded = number_pieces(pieces, [*kept, "_title", "_split"], "_pieces")
     label = F.format_string("%s (BLK %d/%d)", F.col("_title"), F.col("chunk_index") + 1, F.col("total_chunks"))
     return exploded.select(
         *kept,

@@ -13,19 +13,15 @@ from kbweave.functions.datasets import (
     format_datasets,
     is_json_content,
 )
-from kbweave.functions.text import clean_text, ignores_min_size, is_blank
+from kbweave.functions.text import clean_text, ignores_min_size
+from kbweave.operators.chunking import number_pieces
 
 
 def explode_datasets(df: DataFrame, text: str = "text", min_size: int = 10, ignore_min=None) -> DataFrame:
     """One row per formatted text: ``format, chunk_index, total_chunks, content``."""
     kept = [c for c in df.columns if c != text]
     formatted = format_datasets(df, text, min_size, ignore_min)
-    return formatted.select(
-        *kept,
-        "format",
-        F.size("texts").alias("total_chunks"),
-        F.posexplode("texts").alias("chunk_index", "content"),
-    )
+    return number_pieces(formatted, [*kept, "format"], "texts")
 
 
 def dataset_stats(df: DataFrame, text: str = "text", min_size: int = 10) -> DataFrame:
@@ -55,7 +51,7 @@ def route_texts(
     kept = [c for c in files.columns if c != text]
     cleaned = files.withColumn("_raw", F.col(text)).withColumn(
         text, close_truncated_array(clean_text(F.col(text)))
-    ).where(~is_blank(F.col(text)))
+    )
     formatted = format_datasets(
         cleaned, text, spec.min_size, ignores_min_size(F.col(name)), DatasetColumns("_format", "_texts", "_items")
     )
@@ -71,9 +67,4 @@ def route_texts(
     routed = formatted.select(
         *kept, route.otherwise("text").alias("route"), pieces.otherwise(windows).alias("_pieces")
     )
-    return routed.select(
-        *kept,
-        "route",
-        F.size("_pieces").alias("total_chunks"),
-        F.posexplode("_pieces").alias("chunk_index", "content"),
-    )
+    return number_pieces(routed, [*kept, "route"], "_pieces")

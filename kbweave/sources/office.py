@@ -9,7 +9,8 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql.functions import arrow_udf
+
+from kbweave.functions.udfs import once
 
 # Labels in the extracted text and XML namespaces.
 SHEET_LABEL = "工作表: "
@@ -137,7 +138,7 @@ def extract_one(name: str, content: bytes) -> dict:
 def extract_office(name: Column, content: Column) -> Column:
     """``struct<text, error>`` of a docx, xlsx or pptx; NULL content gives NULL."""
 
-    @arrow_udf(EXTRACT_SCHEMA)
+    @once(EXTRACT_SCHEMA)
     def extract(names: pa.Array, contents: pa.Array) -> pa.Array:
         rows = (
             None if content.as_py() is None else extract_one(name.as_py() or "", content.as_py())
