@@ -14,6 +14,7 @@ from kbweave.functions.vector_kernels import RANDOM_UNIT_SEVERITY, double_check,
 from kbweave.operators.chunking import chunk_metadata, explode_chunks, explode_notes
 from kbweave.operators.datasets import route_texts
 from kbweave.operators.kb import complete_metadata, storable
+from kbweave.session import spread
 
 CHUNK_BITS = 20
 
@@ -73,7 +74,7 @@ def build_from_texts(
 ) -> DataFrame:
     """Numbered texts to rows: clean, chunk, embed, check, complete the metadata."""
     created_at = F.current_timestamp() if created_at is None else created_at
-    prepared = docs.select(
+    prepared = spread(docs).select(
         F.col(doc_id).alias("_doc"),
         (F.lit("default") if collection is None else collection).alias("collection"),
         (F.col(doc_id).cast("string") if source is None else source).alias("source"),
@@ -99,7 +100,7 @@ def build_from_files(
 ) -> DataFrame:
     """Extracted files to rows; datasets take their formatter. Ids hash path and place."""
     created_at = F.current_timestamp() if created_at is None else created_at
-    chunks = route_texts(files.select(path, name, text), name, text, spec, split_datasets).select(
+    chunks = route_texts(spread(files.select(path, name, text)), name, text, spec, split_datasets).select(
         F.xxhash64(path, "chunk_index").alias("id"),
         F.lit(collection).alias("collection"),
         F.col(name).alias("source"),

@@ -29,6 +29,7 @@ from kbweave.operators.chunking import (
     explode_notes,
 )
 from kbweave.plans.registry import query, table
+from kbweave.session import spread
 
 # Cleaning without back-references: characters become rows, equal neighbours a run.
 CLEAN_SQL = """
@@ -61,7 +62,7 @@ chunks AS (
 
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return docs.select("doc_id", "lang", "source", X.clean_text(F.col("text")).alias("text"))
 
 
@@ -80,7 +81,8 @@ FROM pages
 )
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pages are plain text here: their tags stay."""
-    return table(spark, sf_dir, "pages").select("page_id", X.clean_text(F.col("html")).alias("text"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", X.clean_text(F.col("html")).alias("text"))
 
 
 @query("fixed_chunks", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, total_chunks, content FROM chunks")
@@ -166,7 +168,7 @@ parts AS (SELECT doc_id, generate_subscripts(a, 1) AS p, trim(unnest(a), E' \\n\
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of the uncleaned text; a line end after a full stop is made a blank line."""
     text = F.replace("text", F.lit(".\n"), F.lit(".\n \n"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("text", text)
     return explode_chunks(docs, chunker=C.paragraph_chunks)
 
 
@@ -187,7 +189,7 @@ titled AS (
 
 def _with_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace("text", F.lit(".\n"), F.lit(".\n## "))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("text", text)
 
 
 @query(
@@ -296,7 +298,7 @@ FROM e
 )
 def unicode_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some letters turned into Chinese ones, escaped, and read back (also when escaped twice)."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.translate("text", "enst", "中文字a").alias("t")
     )
     encoded = docs.withColumn("encoded", X.encode_chinese(F.col("t")))

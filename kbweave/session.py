@@ -76,3 +76,13 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
     context.addPyFile(archive)
     _SHIPPED.add(context.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a small input one task per core.
+
+    A file with one row group is one task however many cores there are. An input
+    that already splits into enough tasks is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_scan_tasks(df) < cores else df
