@@ -7,6 +7,7 @@ streaming batch that runs twice after a failure leaves one copy.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,13 +89,18 @@ def append(rows: DataFrame, path: str, batch: str, max_records_per_file: int = 5
     _write(rows, path, batch, max_records_per_file)
 
 
-def overwrite(rows: DataFrame, path: str, batch: str = "base", max_records_per_file: int = 500_000) -> None:
-    """Replace each collection that occurs in ``rows``; other collections stay."""
+def overwrite(rows: DataFrame, path: str, max_records_per_file: int = 500_000) -> str:
+    """Replace each collection that occurs in ``rows``, keep the others; returns the new batch label.
+
+    The label is new each time, so it tells which collections this write touched.
+    """
     spark = rows.sparkSession
+    batch = f"full-{uuid.uuid4().hex}"
     _write(rows, path, batch, max_records_per_file)
     written = spark.read.schema(KB_SCHEMA).parquet(path).where(F.col("batch") == batch)
     for row in written.select("collection").distinct().toLocalIterator():
         _drop_other_batches(spark, path, row["collection"], batch)
+    return batch
 
 
 def _drop_other_batches(spark: SparkSession, path: str, collection: str, batch: str) -> None:

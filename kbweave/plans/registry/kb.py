@@ -238,7 +238,7 @@ def kb_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb.overwrite(rows, path)
     kb.append(rows, path, "second")
     kb.append(rows, path, "second")
-    kb.overwrite(rows.where(F.col("collection") == "fr"), path, "third")
+    kb.overwrite(rows.where(F.col("collection") == "fr"), path)
     kb.rename(spark, path, "de", "german")
     kb.drop(spark, path, "es")
     return kb.read(spark, path).groupBy("collection").agg(

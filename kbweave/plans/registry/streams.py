@@ -1 +1,94 @@
-"""Registered queries."""
+"""Streams over files that Spark writes from the tables; results equal the batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kbweave.operators import kb
+from kbweave.operators.ordered_text import assemble_utf8
+from kbweave.plans.build import build_from_notes
+from kbweave.plans.registry import query, table
+from kbweave.plans.registry.chat import ANSWERS_SQL, captured_lines
+from kbweave.plans.registry.sources import _LOG_SQL, log_lines
+from kbweave.session import scratch_path
+from kbweave.streaming.answers import stream_answers
+from kbweave.streaming.ingest import stream_into_kb
+from kbweave.streaming.logs import stream_logs
+
+_FILES = 4
+
+
+def _streamed(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows as a file stream of several micro-batches, and a folder for its checkpoint and sink."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.repartition(_FILES).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", _FILES // 2).parquet(f"{path}/in")
+    return stream, path
+
+
+def _finish(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream over what is there and read its sink."""
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("stream_answers", f"SELECT *, true AS complete FROM ({ANSWERS_SQL})")
+def stream_answers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a response arrive in different micro-batches."""
+    stream, path = _streamed(captured_lines(spark, sf_dir), "answers")
+    return _finish(stream_answers(stream, timeout_ms=None), path)
+
+
+@query(
+    "stream_ingest",
+    """
+WITH n AS (SELECT role AS source, length(trim(text, E' \\n\\t\\r')) AS n FROM conversations
+           WHERE trim(text, E' \\n\\t\\r') <> '')
+SELECT count(*) AS turns, sum(CASE WHEN n > 500 THEN ceil((n - 100) / 400)::BIGINT ELSE 1 END)::BIGINT AS chunks FROM n
+""",
+)
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes arrive in micro-batches and are appended to a knowledge base."""
+    notes = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"),
+        F.col("role").alias("title"),
+        F.col("text").alias("content"),
+    )
+    stream, path = _streamed(notes, "ingest")
+    stream_into_kb(stream, build_from_notes, f"{path}/kb", f"{path}/checkpoint", "notes").awaitTermination()
+    rows = kb.read(spark, f"{path}/kb")
+    return rows.agg(F.countDistinct(F.shiftright("id", 20)).alias("turns"), F.count("*").alias("chunks"))
+
+
+@query(
+    "stream_logs",
+    f"""
+WITH {_LOG_SQL}, s AS (SELECT ts, level, tag, string_split(message, E'\\n')[1] AS message FROM l)
+SELECT * FROM s WHERE level IN ('W', 'E') AND tag = 'error'
+""",
+)
+def stream_logs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "logs")
+    log_lines(spark, sf_dir).select("value").repartition(_FILES).write.text(f"{path}/in")
+    return _finish(stream_logs(spark, f"{path}/in", 2, min_level="WARNING", tag="error"), path)
+
+
+@query(
+    "byte_pieces",
+    "SELECT conv_id * 1000 + turn AS response_id, 0::BIGINT AS part, text AS answer FROM conversations WHERE text <> ''",
+)
+def byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers cut into pieces of five bytes, through the middle of characters, and joined again."""
+    data = F.encode("text", "UTF-8")
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / 5).cast("int")),
+        lambda i: F.unhex(F.substring(F.hex(data), i * 10 + 1, F.lit(10))),
+    )
+    turns = table(spark, sf_dir, "conversations").where(F.col("text") != "")
+    exploded = turns.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), F.posexplode(pieces).alias("seq", "bytes")
+    )
+    return assemble_utf8(exploded, ["response_id"], "seq", "bytes", "answer", positions=1 << 20)
