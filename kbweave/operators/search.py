@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbweave.functions.vector_kernels import lengths_of
-from kbweave.session import estimated_bytes, estimated_scan_tasks
+from kbweave.session import estimated_scan_tasks
 
 SIMILARITY_DIGITS = 6
 SQUARED_NORM_LIMIT = 1e-6
 _SCORES_PER_SLICE = 1 << 22
+_PART_BYTES = 64 << 20
 
 
 class TopK:
@@ -209,8 +210,9 @@ def search_topk(
     if checked.num_rows <= max_broadcast_questions:
         partial = _by_broadcast(checked, table, schema, k, query_id, id_col, vector, collection)
     else:
+        dim = max(1, int(lengths_of(checked.column(vector).combine_chunks()).max()))
         partial = _by_grid(
-            questions, table, schema, k, query_id, id_col, vector, collection, max_broadcast_questions
+            questions, table, schema, k, query_id, id_col, vector, collection, max_broadcast_questions, dim
         )
     return _best_overall(partial, query_id, id_col, k, estimated_scan_tasks(table))
 
@@ -233,13 +235,12 @@ def _by_broadcast(checked, table, schema, k, query_id, id_col, vector, collectio
     return table.mapInArrow(score, schema)
 
 
-def _by_grid(questions, table, schema, k, query_id, id_col, vector, collection, block_rows) -> DataFrame:
+def _by_grid(questions, table, schema, k, query_id, id_col, vector, collection, block_rows, dim) -> DataFrame:
     """Replicate each side along one axis of a (part, block) grid and score cell by cell."""
     blocks = -(-questions.count() // block_rows)
-    parts = max(
-        int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-        estimated_bytes(table) // (64 << 20) + 1,
-    )
+    rows_per_part = _PART_BYTES // (4 * dim + 16)
+    shuffle_partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffle_partitions, table.count() // rows_per_part + 1)
     axis = lambda size: F.sequence(F.lit(0), F.lit(size - 1))
     place = lambda key, size: F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
     left = table.select("*", place(id_col, parts).alias("_part"), F.explode(axis(blocks)).alias("_block"))

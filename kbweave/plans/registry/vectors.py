@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kbweave.functions import vector_kernels as K
 from kbweave.functions import vectors as V
+from kbweave.operators.quality import pool_by_model, quality_report, quality_summary
 from kbweave.operators.rerank import fallback_scores, relevance_score
 from kbweave.operators.search import mismatched_rows, search_topk
 from kbweave.plans.registry import query, table
@@ -298,16 +299,32 @@ def vector_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUALITY_REPORT_SQL = f"""
-WITH {SPOILED_SQL.format(expected=0)}
-SELECT type, count(*) AS vectors FROM judged GROUP BY type
-"""
+@query(
+    "vector_quality_report",
+    f"""
+WITH {_STATS_SQL}
+SELECT vec_id, 64 AS dimension, round(mean, 6) AS mean, round(variance, 6) AS variance,
+  round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, 'normal' AS status, 'NONE' AS type,
+  0.0::DOUBLE AS severity
+FROM s
+""",
+)
+def vector_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = quality_report(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), expected_dim=64)
+    for name in ("mean", "variance", "norm"):
+        report = report.withColumn(name, F.round(name, 6))
+    return report.drop("embedding")
 
 
-@query("vector_quality_report", _QUALITY_REPORT_SQL)
-def vector_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = spoiled_vectors(spark, sf_dir).withColumn("a", K.detect_anomaly(F.col("v")))
-    return judged.groupBy("a.type").agg(F.count("*").alias("vectors"))
+@query(
+    "vector_quality_summary",
+    f"""
+WITH {SPOILED_SQL.format(expected=0)}
+SELECT type, count(*) AS vectors FROM judged GROUP BY type
+""",
+)
+def vector_quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_summary(quality_report(spoiled_vectors(spark, sf_dir), "v")).drop("mean_severity")
 
 
 @query(
@@ -424,9 +441,9 @@ def token_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id",
         F.posexplode(
             F.arrays_zip(
-                V.pool_mean(F.col("h"), F.col("m")).alias("a"),
-                V.pool_last(F.col("h"), F.col("m")).alias("b"),
-                V.pool_first(F.col("h")).alias("c"),
+                pool_by_model(F.lit("Qwen3"), F.col("h"), F.col("m")).alias("a"),
+                pool_by_model(F.lit("qwen"), F.col("h"), F.col("m"), last_token=True).alias("b"),
+                pool_by_model(F.lit("bge-m3"), F.col("h"), F.col("m")).alias("c"),
             )
         ).alias("pos", "p"),
     )
