@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import functools
-import hashlib
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,7 @@ from kbweave.functions.vector_kernels import lengths_of, to_list_array
 
 TOKEN = r"[\p{L}\p{N}]+"
 _TOKENS_PER_SLICE = 1 << 16
+_BLOCK = 32
 
 
 def words(text: Column) -> Column:
@@ -29,15 +29,17 @@ def words(text: Column) -> Column:
     )
 
 
-@functools.lru_cache(maxsize=1 << 17)
-def _token_bytes(token: str, dim: int) -> bytes:
-    blocks = (hashlib.md5(f"{j}:{token}".encode()).digest() for j in range((dim + 15) // 16))
-    return b"".join(blocks)[:dim]
+def _token_table(tokens: pa.Array, dim: int) -> np.ndarray:
+    """One row of odd integers from -255 to 255 per token, read from SHA-256 blocks."""
+    blocks = [b"%d:" % j for j in range(-(-dim // _BLOCK))]
+    raw = b"".join(sha256(block + t).digest() for t in tokens.cast(pa.binary()).to_pylist() for block in blocks)
+    values = np.frombuffer(raw, dtype=np.uint8).reshape(-1, len(blocks) * _BLOCK)[:, :dim]
+    return values.astype(np.int16) * 2 - 255
 
 
 def _embed_slice(codes: np.ndarray, table: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    sums = np.add.reduceat(table[codes], starts, axis=0)
+    sums = np.add.reduceat(table[codes], starts, axis=0, dtype=np.int64)
     return sums / (255.0 * sizes[:, None])
 
 
@@ -53,8 +55,7 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
         for tokens in batches:
             sizes = np.maximum(lengths_of(tokens), 0)
             encoded = tokens.flatten().dictionary_encode()
-            raw = b"".join(_token_bytes(t, dim) for t in encoded.dictionary.to_pylist())
-            table = np.frombuffer(raw, dtype=np.uint8).reshape(-1, dim).astype(np.int64) * 2 - 255
+            table = _token_table(encoded.dictionary, dim)
             codes = encoded.indices.to_numpy(zero_copy_only=False)
             filled = np.flatnonzero(sizes)
             ends = np.cumsum(sizes[filled])

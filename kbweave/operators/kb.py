@@ -68,15 +68,12 @@ def storable(rows: DataFrame) -> DataFrame:
 # --- writing ---------------------------------------------------------------------
 
 
-def _write(rows: DataFrame, path: str, batch: str, max_records_per_file: int) -> None:
-    # A rebalance splits a collection that holds most of the rows over many tasks
-    # and joins small ones, so files come out even without a fixed partition count.
+def _write(rows: DataFrame, path: str, batch: str, rebalance: bool, max_records_per_file: int) -> None:
+    stored = storable(rows).withColumn("batch", F.lit(batch)).select(*KB_SCHEMA.names)
+    if rebalance:
+        stored = stored.hint("rebalance", F.col("collection"))
     (
-        storable(rows)
-        .withColumn("batch", F.lit(batch))
-        .select(*KB_SCHEMA.names)
-        .hint("rebalance", F.col("collection"))
-        .write.mode("overwrite")
+        stored.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy("collection", "batch")
@@ -84,19 +81,28 @@ def _write(rows: DataFrame, path: str, batch: str, max_records_per_file: int) ->
     )
 
 
-def append(rows: DataFrame, path: str, batch: str, max_records_per_file: int = 500_000) -> None:
-    """Add rows under a batch label; the same label again replaces that batch's rows."""
-    _write(rows, path, batch, max_records_per_file)
+def append(
+    rows: DataFrame, path: str, batch: str, rebalance: bool = False, max_records_per_file: int = 500_000
+) -> None:
+    """Add rows under a batch label; the same label again replaces that batch's rows.
+
+    The write needs no shuffle. Where every task holds rows of many collections,
+    ``rebalance`` shuffles them into fewer, even files; a collection that owns
+    most rows is split over many tasks and small ones are joined.
+    """
+    _write(rows, path, batch, rebalance, max_records_per_file)
 
 
-def overwrite(rows: DataFrame, path: str, max_records_per_file: int = 500_000) -> str:
+def overwrite(
+    rows: DataFrame, path: str, rebalance: bool = False, max_records_per_file: int = 500_000
+) -> str:
     """Replace each collection that occurs in ``rows``, keep the others; returns the new batch label.
 
     The label is new each time, so it tells which collections this write touched.
     """
     spark = rows.sparkSession
     batch = f"full-{uuid.uuid4().hex}"
-    _write(rows, path, batch, max_records_per_file)
+    _write(rows, path, batch, rebalance, max_records_per_file)
     written = spark.read.schema(KB_SCHEMA).parquet(path).where(F.col("batch") == batch)
     for row in written.select("collection").distinct().toLocalIterator():
         _drop_other_batches(spark, path, row["collection"], batch)

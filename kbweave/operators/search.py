@@ -25,8 +25,10 @@ from kbweave.session import estimated_scan_tasks
 
 SIMILARITY_DIGITS = 6
 SQUARED_NORM_LIMIT = 1e-6
+_ROUNDING = 10.0**-SIMILARITY_DIGITS
 _SCORES_PER_SLICE = 1 << 22
 _PART_BYTES = 64 << 20
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 class TopK:
@@ -39,7 +41,9 @@ class TopK:
         self.question = np.empty(0, dtype=np.int64)
         self.score = np.empty(0)
         self.ids: np.ndarray | None = None
+        # Score and id of each question's last row, once it has k of them.
         self.floor = np.full(n, -np.inf)
+        self.worst: np.ndarray | None = None
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         step = max(1, _SCORES_PER_SLICE // max(1, len(self.unit)))
@@ -49,19 +53,26 @@ class TopK:
     def _add_slice(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        scores = np.round(np.clip(self.unit @ _unit_rows(vectors[order]).T, -1.0, 1.0), SIMILARITY_DIGITS)
-        # Ids ascend, so a stable sort by falling score is the wanted order and
-        # a question with more than k candidates needs only its first k.
-        question, row = np.nonzero(scores >= self.floor[:, None])
-        counts = np.bincount(question, minlength=len(self.unit))
-        crowded = np.flatnonzero(counts > self.k)
+        raw = self.unit @ _unit_rows(vectors[order]).T
+        # Once a question has k rows nearly all others fail this one comparison;
+        # clipping, rounding and tie rules then run on the few that are left.
+        question, row = np.nonzero(raw >= self.floor[:, None] - _ROUNDING)
+        score = _similarity(raw[question, row])
+        better = score > self.floor[question]
+        if self.worst is not None:
+            better |= (score == self.floor[question]) & (ids[row] < self.worst[question])
+        question, row, score = question[better], row[better], score[better]
+        crowded = np.flatnonzero(np.bincount(question, minlength=len(self.unit)) > self.k)
         if len(crowded):
-            best = np.argsort(-scores[crowded], axis=1, kind="stable")[:, : self.k]
-            keep = counts[question] <= self.k
+            # Ids ascend, so a stable sort by falling score is the wanted order and
+            # of a question with more than k candidates only the first k matter.
+            best = np.argsort(-_similarity(raw[crowded]), axis=1, kind="stable")[:, : self.k]
+            keep = ~np.isin(question, crowded)
             question = np.concatenate([question[keep], np.repeat(crowded, best.shape[1])])
             row = np.concatenate([row[keep], best.ravel()])
+            score = _similarity(raw[question, row])
         if len(question):
-            self._merge(question, scores[question, row], ids[row])
+            self._merge(question, score, ids[row])
 
     def _merge(self, question: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         if self.ids is not None:
@@ -75,7 +86,15 @@ class TopK:
         keep = place < self.k
         self.question, self.score, self.ids = question[keep], score[keep], ids[keep]
         full = np.flatnonzero(place[keep] == self.k - 1)
+        if self.worst is None:
+            self.worst = np.empty(len(self.unit), dtype=ids.dtype)
+            self.worst[:] = ids[0]
         self.floor[self.question[full]] = self.score[full]
+        self.worst[self.question[full]] = self.ids[full]
+
+
+def _similarity(cosine: np.ndarray) -> np.ndarray:
+    return np.round(np.clip(cosine, -1.0, 1.0), SIMILARITY_DIGITS)
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
@@ -206,14 +225,14 @@ def search_topk(
             ),
         )
     schema = _hits_schema(questions, table, query_id, id_col)
+    # One more than allowed tells a set that fits from one that does not, at a bounded cost.
     checked = questions.limit(max_broadcast_questions + 1).toArrow()
-    if checked.num_rows <= max_broadcast_questions:
+    if checked.num_rows <= max_broadcast_questions and checked.nbytes <= MAX_BROADCAST_BYTES:
         partial = _by_broadcast(checked, table, schema, k, query_id, id_col, vector, collection)
     else:
         dim = max(1, int(lengths_of(checked.column(vector).combine_chunks()).max()))
-        partial = _by_grid(
-            questions, table, schema, k, query_id, id_col, vector, collection, max_broadcast_questions, dim
-        )
+        block_rows = max(1, min(max_broadcast_questions, MAX_BROADCAST_BYTES // (4 * dim + 16)))
+        partial = _by_grid(questions, table, schema, k, query_id, id_col, vector, collection, block_rows, dim)
     return _best_overall(partial, query_id, id_col, k, estimated_scan_tasks(table))
 
 

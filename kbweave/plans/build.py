@@ -37,8 +37,14 @@ def embed_chunks(
     embedder: Callable[[Column], Column] = hash_embedding,
     expected_dim: int = -1,
     repair_above: float = RANDOM_UNIT_SEVERITY,
+    balance: bool = False,
 ) -> DataFrame:
-    """Add ``embedding``: model output, normalised, double-checked; rows without a vector go."""
+    """Add ``embedding``: model output, normalised, double-checked; rows without a vector go.
+
+    Input splits are even by bytes, so embedding stays in the scan's tasks. With a
+    slow model and a few giant documents, ``balance`` evens the chunks out first.
+    """
+    chunks = chunks.hint("rebalance") if balance else chunks
     raw = chunks.withColumn("embedding", embedder(F.col(content)))
     unit = raw.withColumn("embedding", normalize_vector(F.col("embedding"), F.col(key)))
     checked = unit.withColumn(

@@ -11,6 +11,7 @@ from kbweave.operators import prompts as P
 from kbweave.operators.answers import assemble_answers, generation_stats, parse_footer, stats_footer
 from kbweave.operators.chat import chat_text_parts, chatml_parts, question_answer_pairs
 from kbweave.plans.registry import query, table
+from kbweave.session import spread
 from kbweave.sources.streams import is_done, parse_sse, sse_line
 
 _CHATML_SQL = """
@@ -100,7 +101,7 @@ def question_answer_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant turn as the lines a streaming endpoint would send: one per word, then noise, then the end."""
-    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    turns = spread(table(spark, sf_dir, "conversations").where(F.col("role") == "assistant"))
     response = (F.col("conv_id") * 1000 + F.col("turn")).alias("response_id")
     words = F.split("text", "(?<= )", -1)
     lines = F.concat(

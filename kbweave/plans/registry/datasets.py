@@ -9,6 +9,7 @@ from kbweave.functions.datasets import broken_alpaca_items, close_truncated_arra
 from kbweave.operators.chat import question_answer_pairs
 from kbweave.operators.datasets import dataset_stats, explode_datasets, route_texts
 from kbweave.plans.registry import query, table
+from kbweave.session import spread
 
 PAIRS_SQL = """
 pairs AS (
@@ -151,7 +152,7 @@ def json_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
         blank=F.lit("  "),
         list=F.array(F.col("o_orderpriority"), F.lit("end")),
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", row.alias("text"))
+    orders = spread(table(spark, sf_dir, "orders")).select("o_orderkey", row.alias("text"))
     return explode_datasets(orders).select("o_orderkey", "content")
 
 

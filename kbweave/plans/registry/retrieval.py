@@ -16,11 +16,10 @@ from kbweave.plans.registry.text import CHUNKS_SQL
 from kbweave.plans.retrieve import embed_questions, request_table, retrieve
 from kbweave.session import scratch_path
 
-CREATED = "2024-01-01 00:00:00"
 DEPTH, RERANK_COUNT = 20, 5
 _SYSTEM = "Answer from the documents."
 
-# The default embedding in SQL: per distinct word 64 bytes of MD5, summed over the words
+# The default embedding in SQL: per distinct word 64 bytes of SHA-256, summed over the words
 # of a text, divided by 255 times their number, held as float, scaled to length one.
 EMBED_SQL = """
 words AS (
@@ -30,7 +29,7 @@ counted AS (SELECT id, word, count(*) AS n FROM words GROUP BY id, word),
 sizes AS (SELECT id, sum(n) AS total FROM counted GROUP BY id),
 hashes AS (
   SELECT word, list_transform(range(64), lambda i:
-    2 * ('0x' || substr(md5((i // 16) || ':' || word), 2 * (i % 16)::INT + 1, 2))::INT - 255) AS h
+    2 * ('0x' || substr(sha256((i // 32) || ':' || word), 2 * (i % 32)::INT + 1, 2))::INT - 255) AS h
   FROM (SELECT DISTINCT word FROM counted)),
 sums AS (
   SELECT id, pos, sum(n * v) AS s
@@ -97,11 +96,15 @@ PROMPTS_SQL = (
 )
 
 
+def _created() -> F.Column:
+    return F.timestamp_seconds(F.lit(1704067200))
+
+
 def document_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as knowledge-base rows, one collection per language."""
     docs = table(spark, sf_dir, "documents")
     return build_from_texts(
-        docs, collection=F.col("lang"), source=F.col("source"), created_at=F.lit(CREATED).cast("timestamp")
+        docs, collection=F.col("lang"), source=F.col("source"), created_at=_created()
     )
 
 
@@ -199,6 +202,31 @@ def rag_without_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "rank", "rerank_rank", "score", "id")
 
 
+@query(
+    "rag_in_collection",
+    f"""
+WITH {KB_SQL}
+, question_texts AS (SELECT item_id AS id, text AS t FROM benchmark),
+{_embed_sql("question_texts", "question_vectors")},
+scored AS (
+  SELECT q.id AS query_id, k.id, x.lang AS collection,
+    round(greatest(-1, least(1, list_cosine_similarity(q.e, k.e))), 6) AS similarity
+  FROM question_vectors q JOIN kb_texts x ON x.lang = ['en', 'fr', 'de', 'es'][q.id % 4 + 1] JOIN kb_vectors k ON k.id = x.id)
+SELECT query_id, collection, rank, id, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INTEGER AS rank FROM scored)
+WHERE rank <= 20
+""",
+)
+def rag_in_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question names the knowledge base it is asked of."""
+    names = F.array(*map(F.lit, ("en", "fr", "de", "es")))
+    asked = questions(spark, sf_dir).withColumn(
+        "collection", F.element_at(names, (F.col("query_id") % 4 + 1).cast("int"))
+    )
+    hits = retrieve(asked, stored_kb(spark, sf_dir), depth=DEPTH, rerank_count=0, by_collection=True)
+    return hits.select("query_id", "collection", "rank", "id", "similarity")
+
+
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_prompts(questions(spark, sf_dir), _reranked(spark, sf_dir), system=F.lit(_SYSTEM))
 
@@ -270,5 +298,5 @@ def note_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").alias("title"),
         F.col("text").alias("content"),
     )
-    rows = build_from_notes(notes, created_at=F.lit(CREATED).cast("timestamp"))
+    rows = build_from_notes(notes, created_at=_created())
     return rows.groupBy(F.shiftright("id", 20).alias("note_id")).agg(F.count("*").alias("chunks"))

@@ -41,9 +41,9 @@ def retrieve(
     """
     collection = "collection" if by_collection else None
     hits = search_topk(embed_questions(questions, embedder), kb, depth, collection=collection)
-    hits = attach_content(hits, kb, ["content", "source"])
-    asked = questions.select("query_id", "question")
-    found = hits.join(asked, "query_id")
+    asked = questions.select("query_id", "question", *([collection] if collection else []))
+    # With the collection on the hits, the content read touches only the folders asked for.
+    found = attach_content(hits.join(asked, "query_id"), kb, ["content", "source"], collection=collection)
     if not reranker_available:
         return fallback_scores(found)
     return rerank(found, rerank_count, logits=logits)

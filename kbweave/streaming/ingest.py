@@ -28,7 +28,7 @@ def stream_into_kb(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        kb.append(build(batch), kb_path, f"{name}-{number}")
+        kb.append(build(batch), kb_path, f"{name}-{number}", rebalance=True)
 
     writer = incoming.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
