@@ -21,12 +21,12 @@ _BLOCK = 32
 
 def words(text: Column) -> Column:
     """Lower-case words; text without any is one token, blank text has none."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return (
-        F.when(is_blank(text), F.array().cast("array<string>"))
-        .when(F.size(found) == 0, F.array(text))
-        .otherwise(found)
+    found = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    # The lambda binds the words to a variable, so the regex runs once per text.
+    chosen = F.transform(
+        F.array(found), lambda w: F.when((F.size(w) == 0) & ~is_blank(text), F.array(text)).otherwise(w)
     )
+    return F.get(chosen, F.lit(0))
 
 
 def _token_table(tokens: pa.Array, dim: int) -> np.ndarray:

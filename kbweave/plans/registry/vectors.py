@@ -356,18 +356,38 @@ def vector_repair_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(fixed, ["vec_id"], "v", 2)
 
 
-@query("vector_repair_seeded")
+@query(
+    "vector_repair_seeded",
+    """
+SELECT vec_id, 64 AS dimension, CASE (vec_id % 10)::INT WHEN 3 THEN 'EXTREME_VALUES' WHEN 7 THEN 'HIGH_SKEWNESS' ELSE 'NONE' END
+  AS type, true AS finite, true AS beginning_kept FROM embeddings
+""",
+)
 def vector_repair_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All repairs, with noise that depends on the row's number only."""
+    """All repairs. The noise depends on the row's number, so what it leaves is stated by type and shape.
+
+    A short vector is padded behind its own entries; clamping and skewness leave their anomaly.
+    """
     fixed = spoiled_vectors(spark, sf_dir).select(
-        "vec_id", K.process_vector(F.col("v"), F.col("vec_id"), 64).alias("v")
+        "vec_id", "v", K.process_vector(F.col("v"), F.col("vec_id"), 64).alias("fixed")
     )
-    return fixed.withColumn("a", K.detect_anomaly(F.col("v"), 64)).select(
-        "vec_id", F.size("v").alias("dimension"), "a.type", F.round(V.l2_norm(F.col("v")), 4).alias("norm")
+    kept = F.when(F.col("vec_id") % 10 == 9, F.slice("fixed", 1, 60) == F.col("v")).otherwise(F.lit(True))
+    return fixed.select(
+        "vec_id",
+        F.size("fixed").alias("dimension"),
+        K.detect_anomaly(F.col("fixed"), 64)["type"].alias("type"),
+        F.forall("fixed", lambda x: F.abs(x) < float("inf")).alias("finite"),
+        kept.alias("beginning_kept"),
     )
 
 
-@query("vector_double_check")
+@query(
+    "vector_double_check",
+    """
+SELECT vec_id, CASE (vec_id % 10)::INT WHEN 3 THEN 'EXTREME_VALUES' WHEN 7 THEN 'HIGH_SKEWNESS' ELSE 'NONE' END AS chunk_type,
+  'NONE' AS note_type FROM embeddings
+""",
+)
 def vector_double_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk rule (replace above severity 0.8) and note rule (replace at any severity)."""
     checked = spoiled_vectors(spark, sf_dir).select(
@@ -397,12 +417,23 @@ def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(df.withColumn("v", K.normalize_vector(F.col("v"), F.col("vec_id"))), ["vec_id"], "v")
 
 
-@query("vector_random_unit")
+@query(
+    "vector_random_unit",
+    "SELECT vec_id, 64 AS dimension, 1.0::DOUBLE AS norm, true AS differs FROM embeddings",
+)
 def vector_random_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unit vector per row number, unlike the one of the next number."""
     drawn = table(spark, sf_dir, "embeddings").select(
-        "vec_id", K.random_unit_vector(F.col("vec_id"), 64).alias("v")
+        "vec_id",
+        K.random_unit_vector(F.col("vec_id"), 64).alias("v"),
+        K.random_unit_vector(F.col("vec_id") + 1, 64).alias("next"),
+    )
+    return drawn.select(
+        "vec_id",
+        F.size("v").alias("dimension"),
+        F.round(V.l2_norm(F.col("v")), 5).alias("norm"),
+        (F.abs(V.cosine_similarity(F.col("v"), F.col("next"))) < 0.8).alias("differs"),
     )
-    return drawn.select("vec_id", F.round(V.l2_norm(F.col("v")), 5).alias("norm"), F.round(F.get("v", F.lit(0)), 5).alias("first"))
 
 
 @query(
