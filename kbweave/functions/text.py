@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +12,12 @@ TRIM_CHARS = "".join(chr(c) for c in range(0x21))
 
 ESCAPE = r"\\u[0-9a-fA-F]{4}"
 # One or more escapes that together form valid text: no lone surrogate halves.
+# Possessive, since a group repeated by a plain plus recurses once per repetition.
 ESCAPE_RUN = (
     r"(?:\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4}"
-    r"|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})+"
+    r"|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})++"
 )
+CHINESE_RUN = r"[\x{4E00}-\x{9FFF}]+"
 FENCE = "```"
 
 
@@ -43,15 +47,17 @@ def contains_unicode_escapes(text: Column) -> Column:
     return F.coalesce(text.rlike(ESCAPE), F.lit(False))
 
 
+def _rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """Replace every match by a function of it: the texts between and the changed matches, woven."""
+    between = F.split(text, pattern, -1)
+    changed = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
+    return F.array_join(F.zip_with(between, changed, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def decode_unicode_escapes(text: Column) -> Column:
     """Replace ``\\uXXXX`` by the character; halves of a pair that stand alone stay as they are."""
-    plain = F.split(text, ESCAPE_RUN, -1)
-    runs = F.regexp_extract_all(text, F.lit(ESCAPE_RUN), F.lit(0))
-    decoded = F.transform(
-        runs, lambda run: F.decode(F.unhex(F.replace(run, F.lit("\\u"), F.lit(""))), "UTF-16BE")
-    )
-    woven = F.zip_with(plain, decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(contains_unicode_escapes(text), F.array_join(woven, "")).otherwise(text)
+    decode = lambda run: F.decode(F.unhex(F.replace(run, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+    return F.when(contains_unicode_escapes(text), _rewrite(text, ESCAPE_RUN, decode)).otherwise(text)
 
 
 def decode_repeatedly(text: Column, extra_rounds: int = 3) -> Column:
@@ -64,16 +70,8 @@ def decode_repeatedly(text: Column, extra_rounds: int = 3) -> Column:
 
 def encode_chinese(text: Column) -> Column:
     """Write U+4E00 to U+9FFF as lower-case ``\\uxxxx``."""
-    return F.array_join(
-        F.transform(
-            F.split(text, ""),
-            lambda c: F.when(
-                c.between("一", "鿿"),
-                F.concat(F.lit("\\u"), F.lower(F.hex(F.encode(c, "UTF-16BE")))),
-            ).otherwise(c),
-        ),
-        "",
-    )
+    escape = lambda run: F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    return _rewrite(text, CHINESE_RUN, escape)
 
 
 def decode_and_strip(text: Column) -> Column:

@@ -46,8 +46,8 @@ def assemble_utf8(
     split = parts.select(
         *keys,
         "part",
-        F.regexp_extract("_hex", "^((?:[89AB][0-9A-F])*)", 1).alias("_head"),
-        F.regexp_replace("_hex", "^(?:[89AB][0-9A-F])*", "").alias("_body"),
+        F.regexp_extract("_hex", "^((?:[89AB][0-9A-F])*+)", 1).alias("_head"),
+        F.regexp_replace("_hex", "^(?:[89AB][0-9A-F])*+", "").alias("_body"),
     )
     tails = split.select(*keys, (F.col("part") - 1).alias("part"), F.col("_head").alias("_tail"))
     whole = split.join(tails, [*keys, "part"], "left")

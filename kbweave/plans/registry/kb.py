@@ -12,7 +12,10 @@ from kbweave.session import scratch_path
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as rows without a model: the whole text is the chunk, its length the vector."""
+    """Documents as rows without a model: the whole text is the chunk, its length the vector.
+
+    Short documents have no vector.
+    """
     size = F.col("n_chars").cast("float")
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
@@ -21,7 +24,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("{}").alias("metadata"),
         "source",
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("created_at"),
-        F.when(F.col("doc_id") % 50 == 0, F.array().cast("array<float>"))
+        F.when(F.col("n_chars") < 200, F.array().cast("array<float>"))
         .otherwise(F.array(size, F.lit(1.0).cast("float")))
         .alias("embedding"),
     )
@@ -30,13 +33,13 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROWS_SQL = """
 rows AS (
   SELECT doc_id AS id, lang AS collection, text AS content, source, n_chars,
-    TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS created_at FROM documents WHERE doc_id % 50 <> 0 AND text <> '')
+    TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS created_at FROM documents WHERE n_chars >= 200 AND text <> '')
 """
 
 
 @query(
     "kb_rejects",
-    "SELECT lang AS collection, count(*) FILTER (WHERE doc_id % 50 = 0 OR text = '') AS rejected, count(*) AS total"
+    "SELECT lang AS collection, count(*) FILTER (WHERE n_chars < 200 OR text = '') AS rejected, count(*) AS total"
     " FROM documents GROUP BY lang",
 )
 def kb_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
