@@ -38,8 +38,12 @@ def _token_table(tokens: pa.Array, dim: int) -> np.ndarray:
 
 
 def _embed_slice(codes: np.ndarray, table: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    sums = np.add.reduceat(table[codes], starts, axis=0, dtype=np.int64)
+    if len(sizes) == 1:
+        # One long text: count its distinct words instead of laying out a row per word.
+        sums = np.bincount(codes, minlength=len(table))[None, :] @ table.astype(np.int64)
+    else:
+        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        sums = np.add.reduceat(table[codes], starts, axis=0, dtype=np.int64)
     return sums / (255.0 * sizes[:, None])
 
 

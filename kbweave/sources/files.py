@@ -61,8 +61,3 @@ def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_name").alias("file_name"),
         F.col("value").alias("text"),
     )
-
-
-def read_datasets(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSON dataset files, one row per file, ready for the formatters."""
-    return read_texts(spark, path)

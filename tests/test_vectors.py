@@ -279,3 +279,10 @@ def test_onnx_logits_and_tokens(spark, model):
     ids = df.select(tokenizer_ids(F.lit("a c zz"), tokens).alias("i"))
     assert ids.first()["i"] == [1, 3, 4]
     assert ids.select(tokenizer_decode(F.col("i"), tokens)).first()[0] == "a c [UNK]"
+
+
+def test_long_text_embeds_like_its_words(spark):
+    words = [f"w{i % 700}" for i in range(70_000)]
+    df = spark.createDataFrame([(" ".join(words),), (" ".join(words[:700]),), ("a b",)], "t string").coalesce(1)
+    a, b, _ = [r[0] for r in df.select(hash_embedding(F.col("t"))).collect()]
+    assert np.allclose(a, b, atol=1e-6)
