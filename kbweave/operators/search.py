@@ -29,6 +29,7 @@ _ROUNDING = 10.0**-SIMILARITY_DIGITS
 _SCORES_PER_SLICE = 1 << 22
 _PART_BYTES = 64 << 20
 MAX_BROADCAST_BYTES = 64 << 20
+MAX_BROADCAST_HITS = 1 << 20
 
 
 class TopK:
@@ -116,22 +117,25 @@ def _dense(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return fits, values[starts[fits][:, None] + np.arange(dim)].astype(np.float64)
 
 
-def _hits_schema(questions: DataFrame, kb: DataFrame, query_id: str, id_col: str) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField(query_id, questions.schema[query_id].dataType),
-            T.StructField(id_col, kb.schema[id_col].dataType),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
+def _hits_schema(
+    questions: DataFrame, kb: DataFrame, query_id: str, id_col: str, collection: str | None
+) -> T.StructType:
+    fields = [
+        T.StructField(query_id, questions.schema[query_id].dataType),
+        T.StructField(id_col, kb.schema[id_col].dataType),
+        T.StructField("similarity", T.DoubleType()),
+    ]
+    return T.StructType(fields + ([T.StructField(collection, T.StringType())] if collection else []))
 
 
-def _hits_batch(state: TopK, names: list[str], query_ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
-    ids = state.ids if state.ids is not None else np.empty(0)
-    return pa.RecordBatch.from_arrays(
-        [query_ids.take(pa.array(state.question)), pa.array(ids, type=id_type), pa.array(state.score)],
-        names=names,
-    )
+def _hits_batches(groups, names: list[str], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for name, members in groups.items():
+        for _, query_ids, state in members:
+            ids = state.ids if state.ids is not None else np.empty(0)
+            columns = [query_ids.take(pa.array(state.question)), pa.array(ids, type=id_type), pa.array(state.score)]
+            if len(names) > len(columns):
+                columns.append(pa.array([name] * len(ids), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _id_values(ids: pa.Array) -> np.ndarray:
@@ -181,7 +185,9 @@ def _score_table(groups, batches: Iterator[pa.RecordBatch], id_col: str, vector:
     return id_type
 
 
-def _best_overall(partial: DataFrame, query_id: str, id_col: str, k: int, tasks: int) -> DataFrame:
+def _best_overall(
+    partial: DataFrame, query_id: str, id_col: str, k: int, tasks: int, collection: str | None
+) -> DataFrame:
     """Merge the tasks' best rows; a question fed by many tasks is first cut down in 64 salted groups."""
     order = [F.desc("similarity"), F.col(id_col)]
     if tasks > 256:
@@ -189,7 +195,8 @@ def _best_overall(partial: DataFrame, query_id: str, id_col: str, k: int, tasks:
         first = F.row_number().over(Window.partitionBy(query_id, "_salt").orderBy(*order))
         partial = salted.withColumn("_place", first).where(F.col("_place") <= k).drop("_place", "_salt")
     ranked = partial.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order)))
-    return ranked.where(F.col("rank") <= k).select(query_id, "rank", id_col, "similarity")
+    kept = [query_id, "rank", id_col, "similarity"] + ([collection] if collection else [])
+    return ranked.where(F.col("rank") <= k).select(*kept)
 
 
 def search_topk(
@@ -201,39 +208,51 @@ def search_topk(
     id_col: str = "id",
     vector: str = "embedding",
     collection: str | None = None,
+    attach: list[str] | None = None,
     max_broadcast_questions: int = 16384,
 ) -> DataFrame:
     """``(query_id, rank, id, similarity)``: the ``k`` most similar rows of each question.
 
-    With ``collection`` both sides carry that column and a question sees only
-    its own knowledge base. Rows of another dimension than the question's are
-    left out (count them with :func:`mismatched_rows`). ``k`` of 0 finds nothing.
+    With ``collection`` both sides carry that column, a question sees only its own
+    knowledge base, and the hits name it. Rows of another dimension than the
+    question's are left out (count them with :func:`mismatched_rows`). ``k`` of 0
+    finds nothing. ``attach`` names columns of the hit rows to read afterwards.
     """
+    wide = kb
     columns = [query_id, vector] + ([collection] if collection else [])
     table_columns = [id_col, vector] + ([collection] if collection else [])
     questions, table = questions.select(*columns), kb.select(*table_columns)
+    schema = _hits_schema(questions, table, query_id, id_col, collection)
     if k <= 0:
-        return questions.sparkSession.createDataFrame(
-            [],
-            T.StructType(
-                [
-                    T.StructField(query_id, questions.schema[query_id].dataType),
-                    T.StructField("rank", T.IntegerType()),
-                    T.StructField(id_col, table.schema[id_col].dataType),
-                    T.StructField("similarity", T.DoubleType()),
-                ]
-            ),
-        )
-    schema = _hits_schema(questions, table, query_id, id_col)
+        empty = questions.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+        kept = [query_id, "rank", id_col, "similarity"] + ([collection] if collection else [])
+        return _attached(empty.select(*kept), wide, attach, id_col, collection, 0)
     # One more than allowed tells a set that fits from one that does not, at a bounded cost.
     checked = questions.limit(max_broadcast_questions + 1).toArrow()
-    if checked.num_rows <= max_broadcast_questions and checked.nbytes <= MAX_BROADCAST_BYTES:
+    fits = checked.num_rows <= max_broadcast_questions and checked.nbytes <= MAX_BROADCAST_BYTES
+    if fits:
         partial = _by_broadcast(checked, table, schema, k, query_id, id_col, vector, collection)
     else:
         dim = max(1, int(lengths_of(checked.column(vector).combine_chunks()).max()))
         block_rows = max(1, min(max_broadcast_questions, MAX_BROADCAST_BYTES // (4 * dim + 16)))
         partial = _by_grid(questions, table, schema, k, query_id, id_col, vector, collection, block_rows, dim)
-    return _best_overall(partial, query_id, id_col, k, estimated_scan_tasks(table))
+    hits = _best_overall(partial, query_id, id_col, k, estimated_scan_tasks(table), collection)
+    return _attached(hits, wide, attach, id_col, collection, checked.num_rows * k if fits else None)
+
+
+def _attached(
+    hits: DataFrame, kb: DataFrame, attach: list[str] | None, id_col: str, collection: str | None, bound: int | None
+) -> DataFrame:
+    """Join the hits to their rows' columns.
+
+    Hits of a counted question set are at most questions x k short rows. Below the
+    limit they are broadcast, so the wide table is only scanned; a plain join would
+    start shuffling it while the search still runs.
+    """
+    if not attach:
+        return hits
+    small = bound is not None and bound <= MAX_BROADCAST_HITS
+    return attach_content(F.broadcast(hits) if small else hits, kb, attach, id_col, collection)
 
 
 def _by_broadcast(checked, table, schema, k, query_id, id_col, vector, collection) -> DataFrame:
@@ -247,9 +266,7 @@ def _by_broadcast(checked, table, schema, k, query_id, id_col, vector, collectio
         groups = _grouped_questions(shared.value, query_id, vector, collection, k)
         id_type = _score_table(groups, batches, id_col, vector, collection)
         if id_type is not None:
-            for members in groups.values():
-                for _, ids, state in members:
-                    yield _hits_batch(state, names, ids, id_type)
+            yield from _hits_batches(groups, names, id_type)
 
     return table.mapInArrow(score, schema)
 
@@ -270,10 +287,9 @@ def _by_grid(questions, table, schema, k, query_id, id_col, vector, collection,
         groups = _grouped_questions(asked, query_id, vector, collection, k)
         id_type = rows.schema.field(id_col).type
         _score_table(groups, iter(rows.to_batches()), id_col, vector, collection)
-        found = [_hits_batch(state, names, ids, id_type) for members in groups.values() for _, ids, state in members]
-        empty = pa.schema(
-            [(query_id, asked.schema.field(query_id).type), (id_col, id_type), ("similarity", pa.float64())]
-        )
+        found = list(_hits_batches(groups, names, id_type))
+        types = [asked.schema.field(query_id).type, id_type, pa.float64(), pa.string()]
+        empty = pa.schema(list(zip(names, types)))
         return pa.Table.from_batches(found, empty) if found else empty.empty_table()
 
     return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(score, schema)

@@ -9,7 +9,7 @@ from kbweave.functions.vectors import l2_norm
 from kbweave.operators import kb as kb_table
 from kbweave.operators.prompts import build_prompts, score_summary
 from kbweave.operators.rerank import rerank
-from kbweave.operators.search import attach_content, search_topk
+from kbweave.operators.search import search_topk
 from kbweave.plans.build import build_from_notes, build_from_texts
 from kbweave.plans.registry import query, table
 from kbweave.plans.registry.text import CHUNKS_SQL
@@ -172,8 +172,8 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rag_search", f"WITH {HITS_SQL} SELECT query_id, rank, id, similarity, content, source FROM hits")
 def rag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb = stored_kb(spark, sf_dir)
-    hits = search_topk(embed_questions(questions(spark, sf_dir)), kb, DEPTH)
-    return attach_content(hits, kb, ["content", "source"]).select(
+    hits = search_topk(embed_questions(questions(spark, sf_dir)), kb, DEPTH, attach=["content", "source"])
+    return hits.select(
         "query_id", "rank", "id", "similarity", "content", "source"
     )
 

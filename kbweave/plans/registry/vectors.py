@@ -78,7 +78,7 @@ def vector_topk_in_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
     kb = embeddings.select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("collection"))
     questions = _centroids(embeddings).withColumn("collection", F.col("query_id").cast("string"))
-    return search_topk(questions, kb, 20, collection="collection")
+    return search_topk(questions, kb, 20, collection="collection").drop("collection")
 
 
 @query(

@@ -11,7 +11,7 @@ from kbweave.functions.embedding import hash_embedding
 from kbweave.functions.providers import detect_provider, full_endpoint
 from kbweave.operators.prompts import build_prompts, sent_body
 from kbweave.operators.rerank import fallback_scores, rerank
-from kbweave.operators.search import attach_content, search_topk
+from kbweave.operators.search import search_topk
 from kbweave.plans.build import embed_chunks
 
 
@@ -40,10 +40,10 @@ def retrieve(
     without a reranker the search order comes with falling scores.
     """
     collection = "collection" if by_collection else None
-    hits = search_topk(embed_questions(questions, embedder), kb, depth, collection=collection)
-    asked = questions.select("query_id", "question", *([collection] if collection else []))
-    # With the collection on the hits, the content read touches only the folders asked for.
-    found = attach_content(hits.join(asked, "query_id"), kb, ["content", "source"], collection=collection)
+    hits = search_topk(
+        embed_questions(questions, embedder), kb, depth, collection=collection, attach=["content", "source"]
+    )
+    found = hits.join(questions.select("query_id", "question"), "query_id")
     if not reranker_available:
         return fallback_scores(found)
     return rerank(found, rerank_count, logits=logits)

@@ -44,3 +44,19 @@ def test_no_pair_products_and_no_whole_group_windows(spark, name):
 def test_filters_reach_the_scan(spark):
     text = plan(QUERIES["question_answer_pairs"](spark, SF_DIR))
     assert "EqualTo(role,user)" in text and "EqualTo(role,assistant)" in text
+
+
+def test_texts_are_joined_without_shuffling_the_table(spark, tmp_path):
+    rows = spark.range(200000).select(
+        "id", F.array(F.rand(1).cast("float"), F.lit(1.0).cast("float")).alias("embedding"),
+        F.concat(F.lit("text "), F.repeat(F.col("id").cast("string"), 30)).alias("content"),
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("collection"),
+    )
+    rows.write.partitionBy("collection").parquet(str(tmp_path / "t"))
+    kb = spark.read.parquet(str(tmp_path / "t"))
+    asked = kb.where("id < 4 and collection = 'a'").select(F.col("id").alias("query_id"), "embedding", "collection")
+    found = search_topk(asked, kb, 3, attach=["content"], collection="collection")
+    text = plan(found)
+    scan = next(line for line in text.splitlines() if "content" in line and "FileScan" in line)
+    assert "SortMergeJoin" not in text and "dynamicpruning" in scan
+    assert found.count() == 6 and {r["collection"] for r in found.collect()} == {"a"}
