@@ -13,7 +13,7 @@ from kbweave.operators.search import search_topk
 from kbweave.plans.build import build_from_notes, build_from_texts
 from kbweave.plans.registry import query, table
 from kbweave.plans.registry.text import CHUNKS_SQL
-from kbweave.plans.retrieve import embed_questions, request_table, retrieve
+from kbweave.plans.retrieve import answer_requests, embed_questions, retrieve
 from kbweave.session import scratch_path
 
 DEPTH, RERANK_COUNT = 20, 5
@@ -247,7 +247,15 @@ FROM prompts
 """,
 )
 def rag_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return request_table(_prompts(spark, sf_dir), F.lit("m1"), F.lit("https://api.deepseek.com/"))
+    return answer_requests(
+        questions(spark, sf_dir),
+        stored_kb(spark, sf_dir),
+        model=F.lit("m1"),
+        url=F.lit("https://api.deepseek.com/"),
+        system=F.lit(_SYSTEM),
+        depth=DEPTH,
+        rerank_count=RERANK_COUNT,
+    )
 
 
 @query(

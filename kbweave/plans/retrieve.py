@@ -65,3 +65,17 @@ def request_table(prompts: DataFrame, model: Column, url: Column) -> DataFrame:
         full_endpoint(url, provider).alias("endpoint"),
         sent_body(model, F.col("system"), user).alias("body"),
     )
+
+
+def answer_requests(
+    questions: DataFrame,
+    kb: DataFrame,
+    *,
+    model: Column,
+    url: Column,
+    system: Column | None = None,
+    **options,
+) -> DataFrame:
+    """Questions to requests in one call; ``options`` are those of :func:`retrieve`."""
+    prompts = build_prompts(questions, retrieve(questions, kb, **options), system=system)
+    return request_table(prompts, model, url)
