@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kbweave.functions.chunks import ChunkSpec
 from kbweave.functions.embedding import hash_embedding
 from kbweave.functions.text import clean_text
-from kbweave.functions.vector_kernels import RANDOM_UNIT_SEVERITY, double_check, normalize_vector
+from kbweave.functions.vector_kernels import RANDOM_UNIT_SEVERITY, settle_vector
 from kbweave.operators.chunking import chunk_metadata, explode_chunks, explode_notes
 from kbweave.operators.datasets import route_texts
 from kbweave.operators.kb import complete_metadata, storable
@@ -46,11 +46,8 @@ def embed_chunks(
     """
     chunks = chunks.hint("rebalance") if balance else chunks
     raw = chunks.withColumn("embedding", embedder(F.col(content)))
-    unit = raw.withColumn("embedding", normalize_vector(F.col("embedding"), F.col(key)))
-    checked = unit.withColumn(
-        "embedding", double_check(F.col("embedding"), F.col(key), expected_dim, repair_above)
-    )
-    return checked.where(F.size("embedding") > 0)
+    settled = settle_vector(F.col("embedding"), F.col(key), expected_dim, repair_above)
+    return raw.withColumn("embedding", settled).where(F.size("embedding") > 0)
 
 
 def _as_rows(embedded: DataFrame, metadata: Column, created_at: Column) -> DataFrame:

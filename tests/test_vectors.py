@@ -87,6 +87,14 @@ def test_padding_and_double_check(spark):
     assert np.allclose(rows[0]["p"][:12], ramp(12)) and abs(np.linalg.norm(rows[2]["c"]) - 1) < 1e-5
 
 
+def test_settle_is_normalise_then_double_check(spark):
+    vectors = [ramp(16), [0.0] * 16, [0.5] * 16, [0.25] * 8 + ramp(8), [9.0] + ramp(15, -0.01, 0.01)]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<float>")
+    two = K.double_check(K.normalize_vector(F.col("v"), F.col("id")), F.col("id"))
+    rows = df.select(K.settle_vector(F.col("v"), F.col("id")).alias("a"), two.alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
+
+
 def test_blob_codec(spark):
     data = struct.pack("<3f", 1.0, -2.5, 3.0)
     df = spark.createDataFrame([(data + b"xy",), (b"",), (None,)], "b binary")
