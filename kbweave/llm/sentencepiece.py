@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from kbweave.functions.udfs import once
 
 SPACE = "▁"
-CACHE = 1 << 18
+CACHE = 1 << 18  # parts remembered in each of two generations
 
 
 class PrefixTable:
@@ -66,6 +66,7 @@ class PrefixTable:
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{stop}]+|{SPACE}+" + ("|\n" if stop else ""))
         self.fits: dict[tuple[int, int], bool] = {}
         self.seen: dict[str, array] = {}
+        self.older: dict[str, array] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merges by rank, best score first and leftmost on ties; for short texts and white space runs."""
@@ -107,11 +108,17 @@ class PrefixTable:
     def walk(self, text: str) -> list[int]:
         """Ids of a text whose characters are all in the vocabulary."""
         last, size = [0] * len(text), [0] * len(text)
+        fits, compatible = self.fits, self.compatible
         for end, (token, length) in self.automaton.iter(text):
             if not size[end]:
                 start = end - length
-                if start < 0 or (size[start] and self.compatible(last[start], token)):
-                    last[end], size[end] = token, length
+                if start >= 0:
+                    if not size[start]:
+                        continue
+                    fit = fits.get((last[start], token))
+                    if not (compatible(last[start], token) if fit is None else fit):
+                        continue
+                last[end], size[end] = token, length
         ids, end = [], len(text) - 1
         while end >= 0:
             ids.append(last[end])
@@ -120,6 +127,8 @@ class PrefixTable:
         return ids
 
     def encode_part(self, part: str) -> array:
+        if self.chars.issuperset(part) and not part.startswith(SPACE + SPACE):
+            return array("i", self.walk(part))
         out = array("i")
         known = ""
         for char in (*part, None):
@@ -143,10 +152,11 @@ class PrefixTable:
             for part in self.cut.findall(SPACE + text.replace(" ", SPACE)):
                 found = seen.get(part)
                 if found is None:
-                    found = self.encode_part(part)
+                    found = self.older.get(part) or self.encode_part(part)
                     if len(part) <= 64:
                         if len(seen) >= CACHE:
-                            seen.clear()
+                            self.older, self.seen = seen, {}
+                            seen = self.seen
                         seen[part] = found
                 ids.extend(found)
         return ids

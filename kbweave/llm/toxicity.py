@@ -47,9 +47,9 @@ class Tokens(WordIds):
 
 
 def corpus_counts(documents: DataFrame, sample: DataFrame) -> np.ndarray:
-    """Token counts by bucket: of all documents, of toxic and of other sampled texts.
+    """Numbers of texts that hold each bucket: of all documents, of toxic and of other sampled texts.
 
-    A task adds into three fixed arrays and hands on the blocks it touched, so what is shuffled is bounded
+    A text counts a bucket once, so one long or repetitive text is one piece of evidence. A task adds into three fixed arrays and hands on the blocks it touched, so what is shuffled is bounded
     by tasks x buckets; the sums, 3 x ``WIDTH`` numbers, go to the driver.
     """
     rows = documents.select("text", F.lit(0).alias("kind")).unionByName(sample.select("text", (2 - F.col("y")).alias("kind")))
@@ -60,11 +60,7 @@ def corpus_counts(documents: DataFrame, sample: DataFrame) -> np.ndarray:
             for kind, text in zip(batch.column(1).to_pylist(), texts):
                 words = text.split()
                 if words:
-                    found = tokens.of(words).astype(np.int64)
-                    if len(found) > 4096:
-                        sums[kind] += np.bincount(found, minlength=WIDTH)
-                    else:
-                        np.add.at(sums[kind], found, 1)
+                    sums[kind][np.unique(tokens.of(words)).astype(np.int64)] += 1
         parts = [(b, k, sums[k, b * BLOCK : (b + 1) * BLOCK]) for k in range(3) for b in range(WIDTH // BLOCK)]
         parts = [(b, k, part) for b, k, part in parts if part.any()]
         yield pa.RecordBatch.from_arrays(
@@ -88,14 +84,29 @@ def corpus_counts(documents: DataFrame, sample: DataFrame) -> np.ndarray:
 def log_odds(counts: np.ndarray, strength: float = 20_000.0) -> np.ndarray:
     """Shrunken log-odds of each bucket: the difference over the prior, times its z-score's reliability.
 
-    ``strength`` is the weight of the prior in tokens.
+    ``strength`` is the weight of the prior in counted buckets. The reliability ``z^2 / (z^2 + 60)`` keeps words of
+    a few near copies, which count as several texts, from passing for evidence.
     """
     prior = (counts[0] + 0.5) / (counts[0].sum() + 0.5 * counts.shape[1]) * strength
     toxic, other = counts[1] + prior, counts[2] + prior
     n_toxic, n_other = toxic.sum(), other.sum()
     delta = np.log(toxic / (n_toxic - toxic)) - np.log(other / (n_other - other))
     z = delta / np.sqrt(1 / toxic + 1 / other)
-    return (delta * z**2 / (z**2 + 8.0)).astype(np.float64)
+    return (delta * z**2 / (z**2 + 60.0)).astype(np.float64)
+
+
+def token_scores(table: np.ndarray, found: np.ndarray, span: int = 64) -> np.ndarray:
+    """Scores of a text's tokens; a positive token scores zero if the same one stands less than ``span`` tokens before.
+
+    Repeating one word adds no evidence, and would break the assumption of independent scores.
+    """
+    scores = table[found.astype(np.int64)]
+    at = np.flatnonzero(scores > 0)
+    if len(at) > 1:
+        order = at[np.lexsort((at, found[at]))]
+        again = (found[order][1:] == found[order][:-1]) & (np.diff(order) < span)
+        scores[order[1:][again]] = 0.0
+    return scores
 
 
 @dataclass(frozen=True)
@@ -174,7 +185,7 @@ def _document_stats(rows: DataFrame, scorer: Scorer) -> DataFrame:
             out = []
             for text in texts:
                 found = tokens.of(text.split())
-                segments = maximal_segments(scorer.tokens[found.astype(np.int64)])
+                segments = maximal_segments(token_scores(scorer.tokens, found))
                 best, total, strong = summary(scorer, len(found), segments)
                 out.append((len(found), best, total, len(strong)))
             cols = list(zip(*out)) if out else [[], [], [], []]
@@ -188,11 +199,12 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Sco
     """Learn token scores and their calibration.
 
     The prior counts all documents. Labels come from at most ``rows`` documents outside the held-out fold: folds 2 to 4
-    give the log-odds, fold 1 the extreme-value constant K and the logistic weights. With no labels, or only one,
+    give the log-odds (equal texts once), fold 1 the extreme-value constant K and the logistic weights. With no labels, or only one,
     all texts get the share of toxic labels as their score.
     """
     sample = labelled_sample(documents, labels, "toxic", rows)
-    counts = corpus_counts(documents, sample.filter("fold >= 2"))
+    evidence = sample.filter("fold >= 2").groupBy(F.xxhash64("text")).agg(F.min(F.struct("doc_id", "y", "text")).alias("row")).select("row.*")
+    counts = corpus_counts(documents, evidence)
     odds, decay = drifted(log_odds(counts), counts[2] if counts[2].any() else counts[0])
     first = Scorer(odds, decay, 1.0, ())
     stats = _document_stats(sample.filter("fold = 1"), first).join(F.broadcast(sample.select("doc_id", "y")), "doc_id").toPandas()
@@ -224,7 +236,7 @@ def score(documents: DataFrame, scorer: Scorer) -> DataFrame:
             bests, totals, passages = [], [], []
             for text in texts:
                 found = tokens.of(text.split())
-                best, total, strong = summary(scorer, len(found), maximal_segments(scorer.tokens[found.astype(np.int64)]))
+                best, total, strong = summary(scorer, len(found), maximal_segments(token_scores(scorer.tokens, found)))
                 bests.append(best)
                 totals.append(total)
                 passages.append([{"start": a, "tokens": b - a, "score": s} for a, b, s in strong])
