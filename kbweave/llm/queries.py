@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import quality, sentencepiece, toxicity
+from kbweave.llm import jaccard, quality, sentencepiece, toxicity
 from kbweave.llm.common import fold
 from kbweave.plans.registry import Query, table
 from kbweave.session import spread
@@ -41,6 +41,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_jaccard")
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 4, 85)
+
+
 @query("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
