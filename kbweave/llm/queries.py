@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import jaccard, quality, sentencepiece, toxicity
+from kbweave.llm import jaccard, pii, quality, sentencepiece, toxicity
 from kbweave.llm.common import fold
 from kbweave.plans.registry import Query, table
 from kbweave.session import spread
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+PII_KEY = "kbweave"  # a secret in production
 
 
 def query(name: str, sql: str | None = None):
@@ -46,6 +47,11 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 4, 85)
 
 
+@query("op4_surrogates")
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), PII_KEY)
+
+
 @query("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
