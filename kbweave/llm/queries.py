@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import jaccard, pii, quality, sentencepiece, toxicity
-from kbweave.llm.common import fold
+from kbweave.llm import decontam, jaccard, pii, quality, sentencepiece, toxicity
+from kbweave.llm.common import fold, spread
 from kbweave.plans.registry import Query, table
-from kbweave.session import spread
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +51,13 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.anonymize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), PII_KEY)
 
 
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark")
+    ).drop("row_key")
+
+
 @query("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
