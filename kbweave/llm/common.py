@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbweave.session import scratch_path
 
 FOLDS = 5
 SAMPLE_ROWS = 20_000
+BROADCAST_ROWS = 200_000
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -30,6 +31,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if it was counted to be small; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Texts of at most ``rows`` labelled documents outside the held-out fold, with their label and fold.
 
@@ -70,12 +76,7 @@ class WordIds(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """One task per core for a small input that would be a single task; larger ones are left alone."""
-    from kbweave.session import spread
-
-    return spread(df)
-
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def spread(df: DataFrame) -> DataFrame:
+    """One task per core for an input of fewer scan splits than cores; any other is left alone, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

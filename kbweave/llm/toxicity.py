@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbweave.llm.common import SAMPLE_ROWS, WordIds, labelled_sample, text_batches
+from kbweave.llm.common import SAMPLE_ROWS, WordIds, labelled_sample, text_batches, written
 from kbweave.llm.quality import logistic
 
 BITS = 18
@@ -202,7 +202,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Sco
     give the log-odds (equal texts once), fold 1 the extreme-value constant K and the logistic weights. With no labels, or only one,
     all texts get the share of toxic labels as their score.
     """
-    sample = labelled_sample(documents, labels, "toxic", rows)
+    sample = written(labelled_sample(documents, labels, "toxic", rows), "sample")
     evidence = sample.filter("fold >= 2").groupBy(F.xxhash64("text")).agg(F.min(F.struct("doc_id", "y", "text")).alias("row")).select("row.*")
     counts = corpus_counts(documents, evidence)
     odds, decay = drifted(log_odds(counts), counts[2] if counts[2].any() else counts[0])
