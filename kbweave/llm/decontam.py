@@ -15,21 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbweave.llm.common import written
+from kbweave.llm.common import bounded, written
 
 SHINGLE = 5
 PERCENT = 80
 RADIUS = 20
 BLOCKS = 8
-BROADCAST_ROWS = 500_000
 _MASKS = [m for m in range(256) if bin(m).count("1") <= RADIUS // BLOCKS]
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast if it was counted to be small; else joins shuffle it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits; null and empty texts have none."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import decontam, jaccard, pii, quality, sentencepiece, toxicity
+from kbweave.llm import ann, decontam, jaccard, pii, quality, sentencepiece, sharding, toxicity, warc
 from kbweave.llm.common import fold, spread
 from kbweave.plans.registry import Query, table
+from kbweave.session import scratch_path
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +59,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("row_key")
 
 
+@query("op6_multi_index")
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,6 +73,30 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_warc")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(warc.page_records(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))), path)
+    records = warc.read(spark, path)
+    response = F.col("record_type") == "response"
+    return records.select(
+        F.regexp_extract("record_id", "^urn:page:(.*)$", 1).cast("long").alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.regexp_extract("refers_to", "^urn:page:(.*)$", 1).cast("long").alias("refers_to"),
+    )
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = sharding.write_shards(documents, scratch_path(spark, "shards"))
+    return rows.select(
+        "doc_id", "shard", "depth", "shard_bytes", "shard_rows", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    )
+
+
 @query("op10_sentencepiece")
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
