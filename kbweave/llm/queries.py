@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import ann, decontam, jaccard, pii, quality, sentencepiece, sharding, toxicity, warc
+from kbweave.llm import ann, decontam, html_extract, jaccard, pii, quality, sentencepiece, sharding, toxicity, warc
 from kbweave.llm.common import fold, spread
 from kbweave.plans.registry import Query, table
 from kbweave.session import scratch_path
@@ -42,6 +42,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_main_text")
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query("op3_jaccard")
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 4, 85)
