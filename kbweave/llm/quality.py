@@ -14,13 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbweave.llm.common import SAMPLE_ROWS, labelled_sample, text_batches
+from kbweave.functions.udfs import once
+from kbweave.llm.common import SAMPLE_ROWS, labelled_sample
 
 TRAIN_LINES = 200_000
-SCORE = "doc_id long, score double"
 
 _UPPER = bytes(range(65, 91))
 _DIGIT = b"0123456789"
@@ -216,16 +216,26 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS // 4, m
     return train(texts, np.array(marks))
 
 
-def score(documents: DataFrame, field: Field) -> DataFrame:
-    """``doc_id, score`` of every row of ``documents``, read from its ``doc_id`` and ``text`` alone.
+def score_of(text: Column, field: Field) -> Column:
+    """Score of a text, 0 to 1; null and empty texts score as one empty line."""
 
-    Repeated rows are each scored; null and empty texts score as one empty line; a null id stays null.
+    @once("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            raw = document_quality(field, [value or b"" for value in batch.cast(pa.binary()).to_pylist()])
+            yield pa.array(1 / (1 + np.exp(-(field.slope * _logit(raw) + field.offset))), pa.float64())
+
+    return run(text)
+
+
+def score(documents: DataFrame, field: Field, name: str = "score") -> DataFrame:
+    """Every row of ``documents`` with its score, read from its ``text`` alone; a column of that name is replaced.
+
+    Repeated rows are each scored; a null id stays null.
     """
+    return documents.withColumn(name, score_of(F.col("text"), field))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches):
-            raw = document_quality(field, texts)
-            p = 1 / (1 + np.exp(-(field.slope * _logit(raw) + field.offset)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORE)
+def accepted(documents: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
+    """The documents that score ``threshold`` or more, with their columns."""
+    return score(documents, field, "_quality").filter(F.col("_quality") >= threshold).drop("_quality")
