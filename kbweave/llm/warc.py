@@ -172,7 +172,10 @@ class WarcReader(DataSourceReader):
             elif at - start > 1 << 20:
                 held, start = held[at - start :], at
 
-    def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
+        """Records of one file; Spark asks for a partition without a value if the folder holds no file."""
+        if partition is None:
+            return
         schema = _arrow_schema()
         fs, _ = filesystem(self.path)
         with fs.open_input_file(partition.path) as source:
