@@ -21,17 +21,17 @@ from kbweave.functions.udfs import once
 # Anomaly types.
 TYPES = (
     "NONE",
-    "ZERO_VECTOR",
     "NAN_VALUES",
     "INFINITE_VALUES",
     "EXTREME_VALUES",
+    "ZERO_VECTOR",
+    "DIMENSION_MISMATCH",
+    "DIMENSION_MISSING",
+    "DIMENSION_REDUNDANT",
     "LOW_VARIANCE",
     "HIGH_VARIANCE",
     "HIGH_SKEWNESS",
     "ABNORMAL_CLUSTERING",
-    "DIMENSION_MISSING",
-    "DIMENSION_MISMATCH",
-    "DIMENSION_REDUNDANT",
 )
 CODE = {name: code for code, name in enumerate(TYPES)}
 

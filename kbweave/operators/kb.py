@@ -2,6 +2,10 @@
 
 A write replaces its own (collection, batch) partitions, so a build step or a
 streaming batch that runs twice after a failure leaves one copy.
+
+A stored row's key is (collection, batch, row_id): the write numbers its rows, so
+notes, documents and repeated appends of the same documents share a table without
+clashes. ``id`` stays what the build called the row and may repeat.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+GUARD_BROADCAST_ROWS = 100_000
 KB_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -21,6 +26,8 @@ KB_SCHEMA = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("created_at", T.TimestampType()),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("dimension", T.IntegerType()),
+        T.StructField("row_id", T.LongType()),
         T.StructField("collection", T.StringType()),
         T.StructField("batch", T.StringType()),
     ]
@@ -69,7 +76,9 @@ def storable(rows: DataFrame) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, batch: str, rebalance: bool, max_records_per_file: int) -> None:
-    stored = storable(rows).withColumn("batch", F.lit(batch)).select(*KB_SCHEMA.names)
+    stored = storable(rows).withColumns(
+        {"batch": F.lit(batch), "dimension": F.size("embedding"), "row_id": F.monotonically_increasing_id()}
+    ).select(*KB_SCHEMA.names)
     if rebalance:
         stored = stored.hint("rebalance", F.col("collection"))
     (
@@ -86,11 +95,34 @@ def append(
 ) -> None:
     """Add rows under a batch label; the same label again replaces that batch's rows.
 
+    A row of another dimension than its collection already has fails the write, which then leaves nothing behind.
+
     The write needs no shuffle. Where every task holds rows of many collections,
     ``rebalance`` shuffles them into fewer, even files; a collection that owns
     most rows is split over many tasks and small ones are joined.
     """
-    _write(rows, path, batch, rebalance, max_records_per_file)
+    _write(guarded(rows, path, batch), path, batch, rebalance, max_records_per_file)
+
+
+def guarded(rows: DataFrame, path: str, batch: str) -> DataFrame:
+    """The rows, with an error at run time for one whose dimension is not its collection's.
+
+    The rows a write replaces do not count. Names and dimensions of collections are
+    broadcast if they are few, which is counted; else the join shuffles.
+    """
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return rows
+    known = read(spark, path).where(F.col("batch") != batch).groupBy("collection").agg(F.min("dimension").alias("_known"))
+    few = known.limit(GUARD_BROADCAST_ROWS + 1).count() <= GUARD_BROADCAST_ROWS
+    joined = rows.join(F.broadcast(known) if few else known, "collection", "left")
+    size = F.size("embedding")
+    message = F.format_string("collection %s has dimension %d, got %d", F.col("collection"), F.col("_known"), size)
+    wrong = (F.col("embedding").isNotNull()) & (size > 0) & (size != F.col("_known"))
+    return joined.withColumn(
+        "embedding", F.when(wrong, F.raise_error(message).cast("array<float>")).otherwise(F.col("embedding"))
+    ).drop("_known")
 
 
 def overwrite(
@@ -173,8 +205,11 @@ def list_collections(kb: DataFrame) -> DataFrame:
 
 
 def catalog(kb: DataFrame) -> DataFrame:
-    """One row per collection. The distinct sources are counted, not gathered into one row."""
-    dims = F.size("embedding")
+    """One row per collection. The distinct sources are counted, not gathered into one row.
+
+    A stored table has its dimensions as a column, so no vector is read.
+    """
+    dims = F.col("dimension") if "dimension" in kb.columns else F.size("embedding")
     return kb.groupBy("collection").agg(
         F.count("*").alias("chunk_count"),
         F.countDistinct("source").alias("source_count"),

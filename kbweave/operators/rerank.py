@@ -28,19 +28,19 @@ def lexical_logits(query: Column, doc: Column) -> Column:
     return F.transform(F.array(-logit, logit), lambda x: x.cast("float"))
 
 
-def relevance_score(logits: Column, key: Column) -> Column:
-    """Sigmoid of the deciding logit; 0.5 without logits or when repair does not help.
+def with_relevance(df: DataFrame, logits: Column, key: Column, name: str = "score") -> DataFrame:
+    """Add the sigmoid of the deciding logit; 0.5 without logits or when repair does not help.
 
-    Pairs and longer are checked for anomalies; one logit has no spread to check.
+    Pairs and longer are checked for anomalies; one logit has no spread to check. Logits, repair and check are columns of
+    their own, one projection after the other, so each kernel runs once a row.
     """
-    several = F.when(F.size(logits) >= 2, logits)
-    repaired = process_vector(several, key)
-    still_bad = F.coalesce(detect_anomaly(repaired)["is_anomalous"], F.lit(False))
-    usable = F.when(F.size(logits) >= 2, repaired).otherwise(logits)
-    plain = sigmoid(relevance_logit(usable))
-    return F.when(F.coalesce(F.size(logits), F.lit(0)) <= 0, 0.5).when(
-        (F.size(logits) >= 2) & still_bad, 0.5
-    ).otherwise(plain)
+    several = F.size("_logits") >= 2
+    df = df.withColumn("_logits", logits).withColumn("_repaired", process_vector(F.when(several, F.col("_logits")), key))
+    df = df.withColumn("_found", detect_anomaly(F.col("_repaired")))
+    still_bad = several & F.coalesce(F.col("_found.is_anomalous"), F.lit(False))
+    plain = sigmoid(relevance_logit(F.when(several, F.col("_repaired")).otherwise(F.col("_logits"))))
+    none = F.coalesce(F.size("_logits"), F.lit(0)) <= 0
+    return df.withColumn(name, F.when(none | still_bad, 0.5).otherwise(plain)).drop("_logits", "_repaired", "_found")
 
 
 def rerank(
@@ -55,23 +55,26 @@ def rerank(
 ) -> DataFrame:
     """Score every non-blank hit and keep the best; equal scores keep the search order.
 
-    A count of 0 switches reranking off. The window holds one question's hits,
-    at most the search depth.
+    A count of 0 switches reranking off. A blank question has nothing to compare: its
+    hits keep the search order with falling scores and are not cut. The window holds
+    one question's hits, at most the search depth.
     """
     if rerank_count <= 0:
         return hits.withColumn("rerank_rank", F.col(rank)).withColumn("score", F.lit(None).cast("double"))
     if logits is None:
         logits = lexical_logits(F.col(query), F.col(content))
-    scored = hits.where(~is_blank(F.col(content))).withColumn("_logits", logits)
-    scored = scored.withColumn(
-        "score", F.round(relevance_score(F.col("_logits"), F.xxhash64(query_id, rank)), SCORE_DIGITS)
-    ).drop("_logits")
+    scored = with_relevance(hits.where(~is_blank(F.col(content))), logits, F.xxhash64(query_id, rank))
+    unasked = F.coalesce(is_blank(F.col(query)), F.lit(True))
+    score = F.when(unasked, falling_score(rank)).otherwise(F.round("score", SCORE_DIGITS))
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.col(rank))
-    return scored.withColumn("rerank_rank", F.row_number().over(order)).where(
-        F.col("rerank_rank") <= rerank_count
-    )
+    ranked = scored.withColumn("score", score).withColumn("rerank_rank", F.row_number().over(order))
+    return ranked.where(unasked | (F.col("rerank_rank") <= rerank_count))
+
+
+def falling_score(rank: str) -> Column:
+    return 1 - 0.01 * (F.col(rank) - 1)
 
 
 def fallback_scores(hits: DataFrame, rank: str = "rank") -> DataFrame:
     """When no reranker answers: the search order with scores 1, 0.99, 0.98, ..."""
-    return hits.withColumn("rerank_rank", F.col(rank)).withColumn("score", 1 - 0.01 * (F.col(rank) - 1))
+    return hits.withColumn("rerank_rank", F.col(rank)).withColumn("score", falling_score(rank))

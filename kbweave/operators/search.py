@@ -5,8 +5,10 @@ keeps the best ``k`` per question while it reads and ships only those, so what
 is shuffled grows with questions x k x tasks and not with the table.
 
 * A question set whose size was checked travels as a broadcast matrix.
-* A larger one is cut into blocks that meet the table's parts in a grid: each
-  (part, block) cell has a bounded size, and nothing passes through the driver.
+* A larger one is cut into blocks of such a size, one after the other: each is a
+  pass over the unshuffled table, and its few best rows are written before the next.
+
+Rows of a stored table are told apart by ``ROW_KEYS``, not by their ids, which may repeat.
 """
 
 from __future__ import annotations
@@ -21,15 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbweave.functions.vector_kernels import lengths_of
-from kbweave.session import estimated_scan_tasks
+from kbweave.session import estimated_scan_tasks, scratch_path
 
 SIMILARITY_DIGITS = 6
 SQUARED_NORM_LIMIT = 1e-6
 _ROUNDING = 10.0**-SIMILARITY_DIGITS
 _SCORES_PER_SLICE = 1 << 22
-_PART_BYTES = 64 << 20
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 1 << 20
+ROW_KEYS = ("collection", "batch", "row_id")
 
 
 class TopK:
@@ -42,18 +44,21 @@ class TopK:
         self.question = np.empty(0, dtype=np.int64)
         self.score = np.empty(0)
         self.ids: np.ndarray | None = None
+        self.keys: list[np.ndarray] = []
         # Score and id of each question's last row, once it has k of them.
         self.floor = np.full(n, -np.inf)
         self.worst: np.ndarray | None = None
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray, keys: tuple[np.ndarray, ...] = ()) -> None:
+        """``keys`` go along with the ids and decide between rows of the same id."""
         step = max(1, _SCORES_PER_SLICE // max(1, len(self.unit)))
         for start in range(0, len(ids), step):
-            self._add_slice(ids[start : start + step], vectors[start : start + step])
+            at = slice(start, start + step)
+            self._add_slice(ids[at], vectors[at], [key[at] for key in keys])
 
-    def _add_slice(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
+    def _add_slice(self, ids: np.ndarray, vectors: np.ndarray, keys: list[np.ndarray]) -> None:
+        order = np.lexsort((*_places(keys), ids))
+        ids, keys = ids[order], [key[order] for key in keys]
         raw = self.unit @ _unit_rows(vectors[order]).T
         # Once a question has k rows nearly all others fail this one comparison;
         # clipping, rounding and tie rules then run on the few that are left.
@@ -61,7 +66,7 @@ class TopK:
         score = _similarity(raw[question, row])
         better = score > self.floor[question]
         if self.worst is not None:
-            better |= (score == self.floor[question]) & (ids[row] < self.worst[question])
+            better |= (score == self.floor[question]) & (ids[row] <= self.worst[question])
         question, row, score = question[better], row[better], score[better]
         crowded = np.flatnonzero(np.bincount(question, minlength=len(self.unit)) > self.k)
         if len(crowded):
@@ -73,19 +78,21 @@ class TopK:
             row = np.concatenate([row[keep], best.ravel()])
             score = _similarity(raw[question, row])
         if len(question):
-            self._merge(question, score, ids[row])
+            self._merge(question, score, ids[row], [key[row] for key in keys])
 
-    def _merge(self, question: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+    def _merge(self, question: np.ndarray, score: np.ndarray, ids: np.ndarray, keys: list[np.ndarray]) -> None:
         if self.ids is not None:
             question = np.concatenate([self.question, question])
             score = np.concatenate([self.score, score])
             ids = np.concatenate([self.ids, ids])
-        order = np.lexsort((ids, -score, question))
+            keys = [np.concatenate(pair) for pair in zip(self.keys, keys)]
+        order = np.lexsort((*_places(keys), ids, -score, question))
         question, score, ids = question[order], score[order], ids[order]
         starts = np.concatenate(([True], question[1:] != question[:-1]))
         place = np.arange(len(question)) - np.maximum.accumulate(np.where(starts, np.arange(len(question)), 0))
         keep = place < self.k
         self.question, self.score, self.ids = question[keep], score[keep], ids[keep]
+        self.keys = [key[order][keep] for key in keys]
         full = np.flatnonzero(place[keep] == self.k - 1)
         if self.worst is None:
             self.worst = np.empty(len(self.unit), dtype=ids.dtype)
@@ -94,6 +101,11 @@ class TopK:
         self.worst[self.question[full]] = self.ids[full]
 
 
+def _places(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """Sort keys, the first one last as ``lexsort`` wants it; texts by their place among the texts there are."""
+    return [np.unique(key, return_inverse=True)[1] if key.dtype == object else key for key in reversed(keys)]
+
+
 def _similarity(cosine: np.ndarray) -> np.ndarray:
     return np.round(np.clip(cosine, -1.0, 1.0), SIMILARITY_DIGITS)
 
@@ -118,12 +130,13 @@ def _dense(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hits_schema(
-    questions: DataFrame, kb: DataFrame, query_id: str, id_col: str, collection: str | None
+    questions: DataFrame, kb: DataFrame, query_id: str, id_col: str, collection: str | None, keys: list[str]
 ) -> T.StructType:
     fields = [
         T.StructField(query_id, questions.schema[query_id].dataType),
         T.StructField(id_col, kb.schema[id_col].dataType),
         T.StructField("similarity", T.DoubleType()),
+        *(T.StructField(key, kb.schema[key].dataType) for key in keys),
     ]
     return T.StructType(fields + ([T.StructField(collection, T.StringType())] if collection else []))
 
@@ -133,6 +146,9 @@ def _hits_batches(groups, names: list[str], id_type: pa.DataType) -> Iterator[pa
         for _, query_ids, state in members:
             ids = state.ids if state.ids is not None else np.empty(0)
             columns = [query_ids.take(pa.array(state.question)), pa.array(ids, type=id_type), pa.array(state.score)]
+            if state.ids is None:
+                continue
+            columns += [pa.array(key) for key in state.keys]
             if len(names) > len(columns):
                 columns.append(pa.array([name] * len(ids), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -173,7 +189,9 @@ def _grouped_questions(table: pa.Table, query_id: str, vector: str, collection:
     return groups
 
 
-def _score_table(groups, batches: Iterator[pa.RecordBatch], id_col: str, vector: str, collection: str | None):
+def _score_table(
+    groups, batches: Iterator[pa.RecordBatch], id_col: str, vector: str, collection: str | None, keys: list[str]
+):
     id_type = None
     for batch in batches:
         id_type = batch.column(id_col).type
@@ -181,21 +199,25 @@ def _score_table(groups, batches: Iterator[pa.RecordBatch], id_col: str, vector:
             for dim, _, state in groups.get(name, ()):
                 fits, matrix = _dense(part.column(vector), dim)
                 if len(matrix):
-                    state.add(_id_values(part.column(id_col))[fits], matrix)
+                    state.add(
+                        _id_values(part.column(id_col))[fits],
+                        matrix,
+                        tuple(part.column(key).to_numpy(zero_copy_only=False)[fits] for key in keys),
+                    )
     return id_type
 
 
 def _best_overall(
-    partial: DataFrame, query_id: str, id_col: str, k: int, tasks: int, collection: str | None
+    partial: DataFrame, query_id: str, id_col: str, k: int, tasks: int, keys: list[str]
 ) -> DataFrame:
     """Merge the tasks' best rows; a question fed by many tasks is first cut down in 64 salted groups."""
-    order = [F.desc("similarity"), F.col(id_col)]
+    order = [F.desc("similarity"), F.col(id_col), *keys]
     if tasks > 256:
         salted = partial.withColumn("_salt", F.spark_partition_id() % 64)
         first = F.row_number().over(Window.partitionBy(query_id, "_salt").orderBy(*order))
         partial = salted.withColumn("_place", first).where(F.col("_place") <= k).drop("_place", "_salt")
     ranked = partial.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order)))
-    kept = [query_id, "rank", id_col, "similarity"] + ([collection] if collection else [])
+    kept = [query_id, "rank", id_col, "similarity", *keys]
     return ranked.where(F.col("rank") <= k).select(*kept)
 
 
@@ -220,28 +242,43 @@ def search_topk(
     """
     wide = kb
     columns = [query_id, vector] + ([collection] if collection else [])
-    table_columns = [id_col, vector] + ([collection] if collection else [])
+    keys = [name for name in ROW_KEYS if name in kb.columns and "row_id" in kb.columns and name != collection]
+    table_columns = [id_col, vector, *keys] + ([collection] if collection else [])
     questions, table = questions.select(*columns), kb.select(*table_columns)
-    schema = _hits_schema(questions, table, query_id, id_col, collection)
+    schema = _hits_schema(questions, table, query_id, id_col, collection, keys)
+    named = keys + ([collection] if collection else [])
     if k <= 0:
         empty = questions.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-        kept = [query_id, "rank", id_col, "similarity"] + ([collection] if collection else [])
-        return _attached(empty.select(*kept), wide, attach, id_col, collection, 0)
-    # One more than allowed tells a set that fits from one that does not, at a bounded cost.
-    checked = questions.limit(max_broadcast_questions + 1).toArrow()
-    fits = checked.num_rows <= max_broadcast_questions and checked.nbytes <= MAX_BROADCAST_BYTES
-    if fits:
-        partial = _by_broadcast(checked, table, schema, k, query_id, id_col, vector, collection)
+        return _attached(empty.select(query_id, "rank", id_col, "similarity", *named), wide, attach, id_col, named, 0)
+    # Embedded once, counted where they are, and fetched only as far as the count allows.
+    asked = questions.persist()
+    facts = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim")).first()
+    block_rows = max(1, min(max_broadcast_questions, MAX_BROADCAST_BYTES // (4 * max(1, facts["dim"]) + 64)))
+    blocks = max(1, -(-facts["n"] // block_rows))
+    score = lambda part: _by_broadcast(part, table, schema, k, query_id, id_col, vector, collection, keys)
+    if blocks == 1:
+        partial, _ = score(asked.toArrow())
     else:
-        dim = max(1, int(lengths_of(checked.column(vector).combine_chunks()).max()))
-        block_rows = max(1, min(max_broadcast_questions, MAX_BROADCAST_BYTES // (4 * dim + 16)))
-        partial = _by_grid(questions, table, schema, k, query_id, id_col, vector, collection, block_rows, dim)
-    hits = _best_overall(partial, query_id, id_col, k, estimated_scan_tasks(table), collection)
-    return _attached(hits, wide, attach, id_col, collection, checked.num_rows * k if fits else None)
+        partial = _by_blocks(asked, schema, score, query_id, blocks)
+    asked.unpersist()
+    hits = _best_overall(partial, query_id, id_col, k, estimated_scan_tasks(table), named)
+    return _attached(hits, wide, attach, id_col, named, facts["n"] * k)
+
+
+def _by_blocks(questions: DataFrame, schema: T.StructType, score, query_id: str, blocks: int) -> DataFrame:
+    """Block after block over the scan. A block's best rows are written, then its broadcast copies go."""
+    spark = questions.sparkSession
+    path = scratch_path(spark, "hits")
+    block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    for number in range(blocks):
+        partial, shared = score(questions.where(block == number).toArrow())
+        partial.write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _attached(
-    hits: DataFrame, kb: DataFrame, attach: list[str] | None, id_col: str, collection: str | None, bound: int | None
+    hits: DataFrame, kb: DataFrame, attach: list[str] | None, id_col: str, keys: list[str], bound: int
 ) -> DataFrame:
     """Join the hits to their rows' columns.
 
@@ -251,11 +288,12 @@ def _attached(
     """
     if not attach:
         return hits
-    small = bound is not None and bound <= MAX_BROADCAST_HITS
-    return attach_content(F.broadcast(hits) if small else hits, kb, attach, id_col, collection)
+    small = bound <= MAX_BROADCAST_HITS
+    return attach_content(F.broadcast(hits) if small else hits, kb, attach, id_col, keys)
 
 
-def _by_broadcast(checked, table, schema, k, query_id, id_col, vector, collection) -> DataFrame:
+def _by_broadcast(checked, table, schema, k, query_id, id_col, vector, collection, keys):
+    """The tasks' best rows for a fetched block of questions, and the broadcast block."""
     if collection:
         wanted = sorted({name for name in checked.column(collection).to_pylist() if name is not None})
         table = table.where(F.col(collection).isin(wanted)) if wanted else table.where(F.lit(False))
@@ -264,35 +302,11 @@ def _by_broadcast(checked, table, schema, k, query_id, id_col, vector, collectio
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = _grouped_questions(shared.value, query_id, vector, collection, k)
-        id_type = _score_table(groups, batches, id_col, vector, collection)
+        id_type = _score_table(groups, batches, id_col, vector, collection, keys)
         if id_type is not None:
             yield from _hits_batches(groups, names, id_type)
 
-    return table.mapInArrow(score, schema)
-
-
-def _by_grid(questions, table, schema, k, query_id, id_col, vector, collection, block_rows, dim) -> DataFrame:
-    """Replicate each side along one axis of a (part, block) grid and score cell by cell."""
-    blocks = -(-questions.count() // block_rows)
-    rows_per_part = _PART_BYTES // (4 * dim + 16)
-    shuffle_partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffle_partitions, table.count() // rows_per_part + 1)
-    axis = lambda size: F.sequence(F.lit(0), F.lit(size - 1))
-    place = lambda key, size: F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
-    left = table.select("*", place(id_col, parts).alias("_part"), F.explode(axis(blocks)).alias("_block"))
-    right = questions.select("*", place(query_id, blocks).alias("_block"), F.explode(axis(parts)).alias("_part"))
-    names = schema.names
-
-    def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        groups = _grouped_questions(asked, query_id, vector, collection, k)
-        id_type = rows.schema.field(id_col).type
-        _score_table(groups, iter(rows.to_batches()), id_col, vector, collection)
-        found = list(_hits_batches(groups, names, id_type))
-        types = [asked.schema.field(query_id).type, id_type, pa.float64(), pa.string()]
-        empty = pa.schema(list(zip(names, types)))
-        return pa.Table.from_batches(found, empty) if found else empty.empty_table()
-
-    return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(score, schema)
+    return table.mapInArrow(score, schema), shared
 
 
 def mismatched_rows(kb: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
@@ -311,8 +325,8 @@ def attach_content(
     kb: DataFrame,
     columns: list[str],
     id_col: str = "id",
-    collection: str | None = None,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """Read the texts after the search: only ids and vectors were scanned before, and hits are few."""
-    keys = [id_col] + ([collection] if collection else [])
-    return hits.join(kb.select(*keys, *columns), keys, "inner")
+    """Read the texts after the search: only ids, keys and vectors were scanned before, and hits are few."""
+    on = [id_col, *(keys or [])]
+    return hits.join(kb.select(*on, *columns), on, "inner")

@@ -20,14 +20,13 @@ CHUNK_BITS = 20
 
 
 def chunk_id(doc_id: Column, chunk_index: Column) -> Column:
-    """A BIGINT from a document's number and the chunk's place, unique while both fit.
+    """A BIGINT that names a chunk: document number and place, or their hash where they do not fit.
 
-    More than 2^20 chunks per document or 2^43 documents are an error, not a collision.
+    It is a name, not a key: the stored table numbers its rows itself.
     """
     fits = (chunk_index < (1 << CHUNK_BITS)) & (doc_id >= 0) & (doc_id < (1 << (63 - CHUNK_BITS)))
-    return F.when(
-        fits, F.shiftleft(doc_id.cast("bigint"), CHUNK_BITS) + chunk_index.cast("bigint")
-    ).otherwise(F.raise_error(F.lit("document number or chunk index too large for an id")).cast("bigint"))
+    packed = F.shiftleft(doc_id.cast("bigint"), CHUNK_BITS) + chunk_index.cast("bigint")
+    return F.when(fits, packed).otherwise(F.xxhash64(doc_id, chunk_index))
 
 
 def embed_chunks(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kbweave.functions import vector_kernels as K
 from kbweave.functions import vectors as V
 from kbweave.operators.quality import pool_by_model, quality_report, quality_summary
-from kbweave.operators.rerank import fallback_scores, relevance_score
+from kbweave.operators.rerank import fallback_scores, with_relevance
 from kbweave.operators.search import mismatched_rows, search_topk
 from kbweave.plans.registry import query, table
 
@@ -498,9 +498,11 @@ def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings").select(
         "vec_id", pair.alias("pair"), F.array(F.get(v, F.lit(0))).alias("single")
     )
+    df = with_relevance(df, F.col("pair"), F.col("vec_id"))
+    df = with_relevance(df, F.col("single"), F.col("vec_id"), "single_score")
     return df.select(
         "vec_id",
-        F.round(relevance_score(F.col("pair"), F.col("vec_id")), 6).alias("score"),
-        F.round(relevance_score(F.col("single"), F.col("vec_id")), 6).alias("single_score"),
+        F.round("score", 6).alias("score"),
+        F.round("single_score", 6).alias("single_score"),
         F.round(F.get(V.softmax(F.col("pair")), F.lit(1)), 6).alias("softmax_second"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +24,24 @@ def stream_into_kb(
 ) -> StreamingQuery:
     """Build each micro-batch into rows and append them.
 
-    The batch label comes from the stream's name and the batch number, so a
-    micro-batch that runs again after a failure replaces its own rows.
+    The batch label comes from the stream's name, the id its checkpoint keeps and the
+    batch number: a micro-batch that runs again after a failure replaces its own rows,
+    another stream of the same name does not. Rows of another dimension than their
+    collection fail the batch.
     """
+    started = threading.Event()
+    stream: list[str] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        kb.append(build(batch), kb_path, f"{name}-{number}", rebalance=True)
+        started.wait()
+        kb.append(build(batch), kb_path, f"{name}-{stream[0]}-{number}", rebalance=True)
 
     writer = incoming.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
-    return writer.start()
+    query = writer.start()
+    stream.append(query.id)
+    started.set()
+    return query
 
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kbweave.operators import kb, staging
 from kbweave.operators.chunking import explode_notes
-from kbweave.plans.build import build_from_files, build_from_texts, chunk_id
+from kbweave.plans.build import build_from_files, build_from_notes, build_from_texts, chunk_id
 from kbweave.plans.retrieve import request_table, retrieve
 
 
@@ -45,6 +45,38 @@ def test_lifecycle(spark, tmp_path):
         kb.check_name("_hidden")
 
 
+def test_append_refuses_another_dimension(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    kb.overwrite(rows(spark, BASE), path)
+    kb.append(rows(spark, [(4, "new", "t", "f", [1.0, 2.0])]), path, "more")
+    with pytest.raises(Exception, match="collection a has dimension 1, got 2"):
+        kb.append(rows(spark, [(5, "a", "t", "f", [1.0, 2.0]), (6, "new", "t", "f", [1.0, 2.0])]), path, "wrong")
+    assert ids(kb.read(spark, path)) == [1, 2, 3, 4]
+    kb.append(rows(spark, [(7, "new", "t", "f", [1.0, 2.0, 3.0])]), path, "more")  # replaces the only rows of its label
+    assert ids(kb.read(spark, path, "new")) == [7]
+
+
+def test_mixed_kinds_and_repeated_appends_keep_their_own_texts(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    docs = spark.createDataFrame([(1, "the red fox runs over the hill"), (2, "blue whales swim in the cold sea")], "doc_id long, text string")
+    notes = spark.createDataFrame([(1, "fox", "a note on the red fox"), (2, "sea", "a note on the sea")], "note_id long, title string, content string")
+    kb.append(build_from_texts(docs, collection=F.lit("c")).unionByName(build_from_notes(notes, collection=F.lit("c"))), path, "one")
+    kb.append(build_from_texts(docs, collection=F.lit("c")), path, "two")
+    stored = kb.read(spark, path)
+    assert stored.count() == 6 and stored.select("batch", "row_id").distinct().count() == 6
+    asked = spark.createDataFrame([(1, "red fox")], "query_id long, question string")
+    for depth in (1, 2, 3, 6):
+        hits = retrieve(asked, stored, depth=depth, rerank_count=0).orderBy("rank").collect()
+        assert [r["rank"] for r in hits] == list(range(1, depth + 1))
+    assert sorted(r["content"] for r in hits) == sorted(r["content"] for r in stored.collect())
+
+
+def test_chunk_names_never_end_the_build(spark):
+    big = spark.createDataFrame([(-1, 0), (1 << 50, 3), (5, 1 << 21), (5, 7)], "d long, i long")
+    names = [r[0] for r in big.select(chunk_id(F.col("d"), F.col("i"))).collect()]
+    assert len(set(names)) == 4 and names[3] == (5 << 20) + 7
+
+
 def test_reading_one_collection_prunes_folders(spark, tmp_path):
     path = str(tmp_path / "kb")
     kb.overwrite(rows(spark, BASE), path)
@@ -132,8 +164,6 @@ def test_build_from_files(spark):
 def test_chunk_ids(spark):
     df = spark.createDataFrame([(5, 3)], "d long, c int")
     assert df.select(chunk_id(F.col("d"), F.col("c"))).first()[0] == (5 << 20) + 3
-    with pytest.raises(Exception, match="too large for an id"):
-        df.select(chunk_id(F.col("d"), F.lit(1 << 20))).collect()
 
 
 def test_requests_keep_blank_lines(spark):

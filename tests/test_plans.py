@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kbweave.operators.rerank import rerank
 from kbweave.operators.search import search_topk
 from kbweave.plans.build import build_from_texts
 from kbweave.plans.registry import QUERIES, load_all
@@ -34,6 +35,19 @@ def test_search_reads_ids_and_vectors_only(spark, tmp_path):
     assert "WindowGroupLimit" in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_a_larger_question_set_does_not_shuffle_the_table(spark, tmp_path):
+    spark.range(3000).select("id", F.array(F.rand(3).cast("float"), F.lit(1.0).cast("float")).alias("embedding")).write.parquet(str(tmp_path / "t"))
+    kb = spark.read.parquet(str(tmp_path / "t"))
+    text = plan(search_topk(kb.limit(40).withColumnRenamed("id", "query_id"), kb, 3, max_broadcast_questions=9))
+    assert "cogroup" not in text.lower() and "FlatMapCoGroups" not in text and str(tmp_path / "t") not in text
+
+
+def test_rerank_runs_its_kernels_once(spark):
+    hits = spark.createDataFrame([(1, "q", 1, "t")], "query_id long, question string, rank int, content string")
+    nodes = [line for line in plan(rerank(hits, 5)).splitlines() if "ArrowEvalPython" in line]
+    assert len(nodes) <= 2 and sum(line.count("process") for line in nodes) <= 2
+
+
 @pytest.mark.parametrize("name", ["chat_text", "chatml_no_think", "answer_assembly", "question_answer_pairs", "kb_catalog"])
 def test_no_pair_products_and_no_whole_group_windows(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))

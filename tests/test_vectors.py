@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kbweave.functions import vector_kernels as K
 from kbweave.functions import vectors as V
 from kbweave.functions.embedding import hash_embedding, onnx_embedding, onnx_logits, tokenizer_decode, tokenizer_ids
-from kbweave.operators.rerank import fallback_scores, relevance_score, rerank
+from kbweave.operators.rerank import fallback_scores, rerank, with_relevance
 from kbweave.operators.search import mismatched_rows, require_dimension, search_topk
 
 NAN, INF = float("nan"), float("inf")
@@ -119,7 +119,7 @@ def test_cosine_refuses_unequal_lengths(spark):
 def test_relevance(spark):
     logits = [None, [], [0.0], [2.0], [1.0, 3.0], [9.0, NAN], [0.0, 800.0]]
     df = spark.createDataFrame([(i, l) for i, l in enumerate(logits)], "id long, l array<float>")
-    got = [r[0] for r in df.select(relevance_score(F.col("l"), F.col("id"))).collect()]
+    got = [r[0] for r in with_relevance(df, F.col("l"), F.col("id")).orderBy("id").select("score").collect()]
     assert got[:3] == [0.5, 0.5, 0.5]
     assert abs(got[3] - 1 / (1 + np.exp(-2))) < 1e-9 and abs(got[4] - 1 / (1 + np.exp(-3))) < 1e-9
     assert 0 <= got[5] <= 1 and 0 <= got[6] <= 1
@@ -194,6 +194,26 @@ def test_topk_stays_in_its_collection(spark, limit):
     assert {(r["query_id"], r["id"]) for r in got.collect()} == {(1, 0), (1, 2), (2, 1), (2, 3)}
 
 
+def test_repeated_ids_are_told_apart_by_their_row_keys(spark):
+    schema = "id long, embedding array<float>, collection string, batch string, row_id long, content string"
+    rows = [(i % 3, [1.0, 0.0], "c", f"b{i % 2}", i, f"text {i}") for i in range(12)] + [(9, [0.0, 1.0], "c", "b0", 50, "far")]
+    t = spark.createDataFrame(rows, schema).repartition(4)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, embedding array<float>")
+    order = [r[5] for r in sorted(rows[:12], key=lambda r: (r[0], r[2], r[3], r[4]))]
+    for limit in (16384, 1):
+        hits = search_topk(q, t, 5, attach=["content"], max_broadcast_questions=limit).orderBy("query_id", "rank").collect()
+        assert [r["content"] for r in hits if r["query_id"] == 1] == order[:5]
+        assert len(hits) == 10 and hits[5]["content"] == "far"
+
+
+def test_blank_question_keeps_the_search_order(spark):
+    rows = [(q, t, i + 1, f"text {i}") for q, t in ((1, " "), (2, "text 3")) for i in range(6)]
+    hits = spark.createDataFrame(rows, "query_id long, question string, rank int, content string")
+    got = rerank(hits, 2).orderBy("query_id", "rerank_rank").collect()
+    assert [(r["rank"], r["rerank_rank"], round(r["score"], 2)) for r in got if r["query_id"] == 1] == [(i, i, round(1.01 - 0.01 * i, 2)) for i in range(1, 7)]
+    assert [r["rank"] for r in got if r["query_id"] == 2] == [4, 1]
+
+
 def test_mismatch_is_counted(spark):
     _, t = frames(spark, [(1, [1.0])], [(1, [1.0]), (2, [1.0, 2.0]), (3, None)])
     assert mismatched_rows(t, 2).first()[0] == 2
