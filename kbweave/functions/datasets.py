@@ -10,12 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbweave.functions.chat import labelled_turn
-from kbweave.functions.text import trim_blank
+from kbweave.functions.text import TRIM_CHARS, trim_blank
 from kbweave.functions.udfs import once
 
 FIELDS = "map<string,string>"
-SPECIAL_MAX_ITEMS = 1000
-REPAIR_MIN_CHARS = 1_000_000
 
 
 # --- shape of the text ---------------------------------------------------------
@@ -33,11 +31,18 @@ def is_json_content(text: Column) -> Column:
     return has_json_shape(text) & F.try_parse_json(text).isNotNull()
 
 
-def close_truncated_array(text: Column, min_chars: int = REPAIR_MIN_CHARS) -> Column:
-    """A very long array whose closing bracket is missing gets one."""
+def close_truncated_array(text: Column) -> Column:
+    """An array whose closing bracket is missing gets one, if that makes it JSON; any length."""
     t = trim_blank(text)
-    broken = (F.length(text) > min_chars) & F.startswith(t, F.lit("[")) & ~F.endswith(t, F.lit("]"))
-    return F.when(broken, F.concat(t, F.lit("]"))).otherwise(text)
+    closed = F.concat(t, F.lit("]"))
+    broken = F.startswith(t, F.lit("[")) & ~F.endswith(t, F.lit("]"))
+    return F.when(broken & F.try_parse_json(closed).isNotNull(), closed).otherwise(text)
+
+
+def json_problem(text: Column) -> Column:
+    """Why a text with the shape of JSON is not read as JSON; NULL for all others."""
+    broken = has_json_shape(text) & F.try_parse_json(text).isNull()
+    return F.when(broken, F.lit("not valid JSON, nested too deeply, or a number too long"))
 
 
 def _line_value(line: Column) -> Column:
@@ -211,11 +216,10 @@ def conversation_text(m: Column, min_size: int, ignore_min: Column) -> Column:
     )
 
 
-def has_special_name(items: Column, first: Column) -> Column:
-    """Small instruction sets marked STAR keep items of any size."""
+def has_special_name(first: Column) -> Column:
+    """Instruction sets marked STAR keep items of any size, however many there are."""
     return F.coalesce(
-        (F.size(items) < SPECIAL_MAX_ITEMS)
-        & _has(first, "instruction")
+        _has(first, "instruction")
         & _has(first, "output", "response")
         & F.contains(_text(first, "instruction"), F.lit("STAR")),
         F.lit(False),
@@ -226,40 +230,51 @@ def has_special_name(items: Column, first: Column) -> Column:
 
 
 def _object_text(obj: dict, min_size: int) -> str | None:
-    parts = []
-    for key, value in obj.items():
-        if isinstance(value, str) and value.strip():
-            parts.append(f"{key}: {value}\n\n")
-        elif isinstance(value, dict):
-            nested = _object_text(value, min_size)
-            if nested is not None:
-                parts.append(f"{key}:\n{nested}\n\n")
-        elif isinstance(value, list) and value:
-            items = "".join(f"- {item}\n" for item in value if isinstance(item, str))
-            parts.append(f"{key}:\n{items}\n")
-    text = "".join(parts)
-    return text.strip() if len(text) >= min_size else None
+    """Text of an object; nested objects are finished first, from a stack of its own, so depth has no bound here."""
+    done: dict[int, str | None] = {}
+    stack = [(obj, False)]
+    while stack:
+        node, ready = stack.pop()
+        inner = [v for v in node.values() if isinstance(v, dict)]
+        if not ready and inner:
+            stack.append((node, True))
+            stack.extend((v, False) for v in inner)
+            continue
+        parts = []
+        for key, value in node.items():
+            if isinstance(value, str) and value.strip(TRIM_CHARS):
+                parts.append(f"{key}: {value}\n\n")
+            elif isinstance(value, dict):
+                nested = done.pop(id(value))
+                if nested is not None:
+                    parts.append(f"{key}:\n{nested}\n\n")
+            elif isinstance(value, list) and value:
+                items = "".join(f"- {item}\n" for item in value if isinstance(item, str))
+                parts.append(f"{key}:\n{items}\n")
+        text = "".join(parts)
+        done[id(node)] = text.strip(TRIM_CHARS) if len(text) >= min_size else None
+    return done[id(obj)]
 
 
 def _generic_texts(value, min_size: int) -> list[str]:
-    if isinstance(value, dict):
-        text = _object_text(value, min_size)
-        return [] if text is None else [text]
-    if isinstance(value, list):
-        return [
-            text
-            for item in value
-            for text in (
-                [item] if isinstance(item, str) and item.strip() and len(item) >= min_size
-                else [] if isinstance(item, str)
-                else _generic_texts(item, min_size)
-            )
-        ]
-    return []
+    """Texts of a value in document order; lists may nest to any depth."""
+    found: list[str] = []
+    stack = [value]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, dict):
+            text = _object_text(item, min_size)
+            if text is not None:
+                found.append(text)
+        elif isinstance(item, list):
+            stack.extend(reversed(item))
+        elif isinstance(item, str) and item is not value and item.strip(TRIM_CHARS) and len(item) >= min_size:
+            found.append(item)
+    return found
 
 
 def generic_texts(documents: Column, min_size: int = 10) -> Column:
-    """``array<array<string>>``: the texts of each JSON document, any depth.
+    """``array<array<string>>``: the texts of each JSON document, any depth; NULL for one that cannot be read.
 
     Key order and the difference between ``"5"`` and ``5`` decide the result, and
     nesting has no bound, so this one rule runs as an Arrow UDF.
@@ -267,23 +282,32 @@ def generic_texts(documents: Column, min_size: int = 10) -> Column:
 
     @once("array<array<string>>")
     def texts(rows: pa.Array) -> pa.Array:
-        out = []
-        for row in rows.to_pylist():
-            if row is None:
-                out.append(None)
-                continue
-            found = []
-            for document in row:
-                try:
-                    found.append(_generic_texts(json.loads(document), min_size))
-                except (TypeError, ValueError):
-                    found.append([])
-            out.append(found)
+        def read(document: str | None) -> list[str] | None:
+            try:
+                return [] if document is None else _generic_texts(json.loads(document), min_size)
+            except (ValueError, RecursionError):
+                return None
+
+        out = [None if row is None else [read(document) for document in row] for row in rows.to_pylist()]
         return pa.array(out, pa.list_(pa.list_(pa.string())))
 
     return texts(documents)
 
 
+def object_fields(text: Column) -> Column:
+    """A JSON object as a map of texts; of a repeated key the last value counts."""
+    fields = F.from_json(text, FIELDS)
+
+    def last_wins(m: Column) -> Column:
+        entries = F.map_entries(m)
+        final = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])
+        return F.when(
+            F.size(F.array_distinct(F.map_keys(m))) < F.size(m), F.map_from_entries(F.filter(entries, final))
+        ).otherwise(m)
+
+    return F.transform(F.array(fields), last_wins)[0]
+
+
 # --- whole documents --------------------------------------------------------------
 
 
@@ -294,13 +318,15 @@ class DatasetColumns:
     format: str = "format"
     texts: str = "texts"
     items: str = "items"
+    unread: str = "unread"
 
 
 def format_datasets(
     df: DataFrame, text: str = "text", min_size: int = 10, ignore_min: Column | None = None,
     out: DatasetColumns = DatasetColumns(),
 ) -> DataFrame:
-    """Add ``format``, ``items`` (elements seen) and ``texts`` (formatted, in order) to each JSON text.
+    """Add ``format``, ``items`` (elements seen), ``texts`` (formatted, in order) and ``unread`` (elements the generic
+    rule could not read) to each JSON text.
 
     The unit is the text: its first element decides the format of all. Everything
     is an expression over that one row, so there is no shuffle and no join.
@@ -311,7 +337,7 @@ def format_datasets(
     t = trim_blank(F.col(text))
     step = df.withColumn("_ignore", ignore).withColumn("_json", F.when(is_json_content(F.col(text)), t))
     is_array, is_object = F.startswith("_json", F.lit("[")), F.startswith("_json", F.lit("{"))
-    step = step.withColumn("_top", F.when(is_object, F.from_json("_json", FIELDS)))
+    step = step.withColumn("_top", F.when(is_object, object_fields(F.col("_json"))))
     top = F.col("_top")
     wrapped = F.lit(None).cast("string")
     for name in ("examples", "conversations", "data"):
@@ -321,7 +347,7 @@ def format_datasets(
         "_talks", F.coalesce(talks, F.lit(False))
     )
     step = step.withColumn("_elements", F.from_json("_list", "array<string>")).withColumn(
-        "_maps", F.transform("_elements", lambda e: F.from_json(e, FIELDS))
+        "_maps", F.transform("_elements", object_fields)
     )
     first = F.get("_maps", F.lit(0))
     detected = (
@@ -330,7 +356,7 @@ def format_datasets(
         .otherwise(dataset_format(first))
     )
     step = step.withColumn("_format", detected).withColumn(
-        "_any_size", F.col("_ignore") | has_special_name(F.col("_maps"), first)
+        "_any_size", F.col("_ignore") | has_special_name(first)
     )
     kind = F.col("_format")
     leftovers = F.transform(
@@ -373,4 +399,7 @@ def format_datasets(
         F.col("_format").alias(out.format),
         F.when(kind == "object", 1).otherwise(F.coalesce(F.size("_elements"), F.lit(0))).alias(out.items),
         F.coalesce(texts, F.array().cast("array<string>")).alias(out.texts),
+        F.when(kind.isin("object", "generic"), F.coalesce(F.size(F.filter("_generic", lambda a: a.isNull())), F.lit(0)))
+        .otherwise(0)
+        .alias(out.unread),
     )

@@ -12,6 +12,7 @@ from kbweave.functions.datasets import (
     close_truncated_array,
     format_datasets,
     is_json_content,
+    json_problem,
 )
 from kbweave.functions.text import clean_text, ignores_min_size
 from kbweave.operators.chunking import number_pieces
@@ -24,6 +25,14 @@ def explode_datasets(df: DataFrame, text: str = "text", min_size: int = 10, igno
     return number_pieces(formatted, [*kept, "format"], "texts")
 
 
+def unread_datasets(df: DataFrame, text: str = "text", min_size: int = 10) -> DataFrame:
+    """Quarantine: the texts with the shape of JSON that are not read, or only in part, with the ``reason``."""
+    kept = [c for c in df.columns if c != text]
+    formatted = format_datasets(df, text, min_size)
+    reason = F.coalesce(json_problem(F.col(text)), F.when(F.col("unread") > 0, F.lit("an element could not be read")))
+    return formatted.select(*kept, reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def dataset_stats(df: DataFrame, text: str = "text", min_size: int = 10) -> DataFrame:
     """Elements seen, texts added and elements skipped, by format."""
     formatted = format_datasets(df.select(text), text, min_size)
@@ -40,7 +49,7 @@ def route_texts(
     text: str = "text",
     spec: ChunkSpec = ChunkSpec(),
     split_datasets: bool = True,
-    read_broken: bool = False,
+    read_broken: bool = True,
 ) -> DataFrame:
     """Chunk every file: datasets by their formatter, all else by fixed windows.
 
@@ -53,7 +62,7 @@ def route_texts(
         text, close_truncated_array(clean_text(F.col(text)))
     )
     formatted = format_datasets(
-        cleaned, text, spec.min_size, ignores_min_size(F.col(name)), DatasetColumns("_format", "_texts", "_items")
+        cleaned, text, spec.min_size, ignores_min_size(F.col(name)), DatasetColumns("_format", "_texts", "_items", "_unread")
     )
     windows = fixed_chunks(F.col(text), spec)
     use_dataset = F.lit(split_datasets) & (F.size("_texts") > 0)

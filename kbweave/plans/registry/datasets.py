@@ -183,16 +183,41 @@ def json_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "json_repair",
     """
-SELECT event_id, '[' || props || ']' AS repaired, '[' || props AS too_short FROM events
+SELECT event_id, '[' || props || ']' AS repaired, '[' || props[1:length(props) - 1] AS beyond_repair FROM events
 """,
 )
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list without its end; the limit is lowered so that these short texts count as long."""
-    cut = F.concat(F.lit("["), F.col("props"))
+    """A list without its end is closed whatever its length; one cut inside an element stays as it is."""
+    props = F.col("props")
     return table(spark, sf_dir, "events").select(
         "event_id",
-        close_truncated_array(cut, min_chars=3).alias("repaired"),
-        close_truncated_array(cut).alias("too_short"),
+        close_truncated_array(F.concat(F.lit("["), props)).alias("repaired"),
+        close_truncated_array(F.concat(F.lit("["), F.left(props, F.length(props) - 1))).alias("beyond_repair"),
+    )
+
+
+@query(
+    "dataset_edges",
+    f"""
+WITH {PAIRS_SQL}, sized AS (SELECT conv_id, turn, unnest([3, 1200]) AS n FROM pairs WHERE turn < 2)
+SELECT 'repeated_key' AS kind, conv_id, turn, 0 AS n, 1 AS texts, E'指令: x\\n\\n输出: ' || r AS first_text FROM pairs
+UNION ALL SELECT 'wide_blank', conv_id, turn, 0, 1, E'name: \u3000\n\nlist:\n- ' || q FROM pairs
+UNION ALL SELECT 'star', conv_id, turn, n, n, E'指令: STAR\n\n输出: a' FROM sized
+""",
+)
+def dataset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last value of a repeated key, a field of U+3000, short STAR items in small and large sets."""
+    pairs = _pairs(spark, sf_dir)
+    quoted = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
+    repeated = F.concat(F.lit('[{"instruction": "x", "output": "first", "output": '), quoted(F.col("r")), F.lit("}]"))
+    wide = _json(name=F.lit("\u3000"), list=F.array("q"))
+    star = F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('{"instruction": "STAR", "output": "a"}'), F.col("n")), ","), F.lit("]"))
+    texts = pairs.select("conv_id", "turn", F.lit(0).alias("n"), F.inline(_forms({"repeated_key": repeated, "wide_blank": wide})))
+    sized = pairs.where("turn < 2").select("conv_id", "turn", F.explode(F.array(F.lit(3), F.lit(1200))).alias("n"))
+    texts = texts.unionByName(sized.select("conv_id", "turn", "n", F.lit("star").alias("kind"), star.alias("text")))
+    found = explode_datasets(texts)
+    return found.groupBy("kind", "conv_id", "turn", "n").agg(
+        F.count("*").cast("int").alias("texts"), F.max_by("content", -F.col("chunk_index")).alias("first_text")
     )
 
 
@@ -224,7 +249,7 @@ WITH {PAIRS_SQL}, texts AS (
     regexp_replace(r, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS r, '[{{"instruction":"' || q || '","output":"' || r || '"}}]' AS raw
   FROM (SELECT conv_id, turn, translate(q, '\\"', '') AS q, translate(r, '\\"', '') AS r FROM pairs)),
 broken AS (
-  SELECT conv_id, turn, trim(regexp_replace(raw[1:length(raw) - 1], '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM texts)
+  SELECT conv_id, turn, trim(regexp_replace(raw[1:length(raw) - 2], '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM texts)
 SELECT 'json' AS kind, conv_id, turn, 'dataset' AS route, 0 AS chunk_index, 1 AS total_chunks,
   '指令: ' || q || E'\\n\\n输出: ' || r AS content FROM texts
 UNION ALL
@@ -233,13 +258,13 @@ FROM (SELECT *, unnest(range(n)) AS w FROM (SELECT *, greatest(1, ceil((length(t
 """,
 )
 def route_texts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole JSON goes to its formatter, JSON cut short to the windows."""
+    """Whole JSON goes to its formatter, JSON cut inside its last element to the windows."""
     plain = lambda c: F.translate(c, '\\"', "")
     whole = F.concat(
         F.lit('[{"instruction":"'), plain(F.col("q")), F.lit('","output":"'), plain(F.col("r")), F.lit('"}]')
     )
     pairs = _pairs(spark, sf_dir).select("conv_id", "turn", whole.alias("w"))
-    forms = _forms({"json": F.col("w"), "broken": F.left("w", F.length("w") - 1)})
+    forms = _forms({"json": F.col("w"), "broken": F.left("w", F.length("w") - 2)})
     name = F.when(F.col("kind") == "json", "a.json").otherwise("a.txt")
     files = pairs.select("conv_id", "turn", F.inline(forms)).withColumn("file_name", name)
-    return route_texts(files).drop("file_name")
+    return route_texts(files, read_broken=False).drop("file_name")

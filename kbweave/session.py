@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+# A repeated key in JSON keeps its last value instead of making the text unreadable.
+SETTINGS = {"spark.sql.variant.allowDuplicateKeys": "true"}
 
 
 def local_session(cores: str = "*", app_name: str = "kbweave", **conf: str) -> SparkSession:
@@ -67,8 +69,10 @@ def estimated_scan_tasks(df: DataFrame) -> int:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor."""
+    """Make this package importable in the Python workers of every executor, and the session settings it needs."""
     context = spark.sparkContext
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     if context.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.abspath(__file__))
