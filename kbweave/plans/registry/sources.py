@@ -16,7 +16,7 @@ from kbweave.plans.registry import query, table
 from kbweave.session import spread
 from kbweave.sources.files import extract_files, quarantine, scan_files, usable
 from kbweave.sources.office import A, P, R, REL, S, W
-from kbweave.sources.streams import format_log_line, parse_log_lines
+from kbweave.sources.streams import format_log_line, join_entries, parse_log_lines
 
 # --- logs ----------------------------------------------------------------------------
 
@@ -54,18 +54,11 @@ def log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", level_rank(F.col("level")).alias("level_rank"), "tag")
 
 
-@query(
-    "log_continuation",
-    f"""
-WITH {_LOG_SQL}, s AS (SELECT *, string_split(message, E'\\n') AS m FROM l)
-SELECT event_id, ts, level, tag, m[1] AS message FROM s
-UNION ALL SELECT event_id, NULL, NULL, NULL, m[2] FROM s
-""",
-)
+@query("log_continuation", f"WITH {_LOG_SQL} SELECT event_id, ts, level, tag, message FROM l")
 def log_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Read line by line, the second line of an entry is a message without a header."""
-    lines = log_lines(spark, sf_dir).select("event_id", F.explode(F.split("value", "\n")).alias("value"))
-    return parse_log_lines(lines)
+    """Line by line in blocks of one line, so that every second line finds its header in an earlier block."""
+    lines = log_lines(spark, sf_dir).select("event_id", F.posexplode(F.split("value", "\n")).alias("block", "value"))
+    return parse_log_lines(join_entries(lines.withColumn("place", F.lit(0)), "event_id", "block", "place"))
 
 
 # --- files ---------------------------------------------------------------------------

@@ -45,32 +45,33 @@ def stream_answers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_ingest",
     """
-WITH n AS (SELECT role AS source, length(trim(text, E' \\n\\t\\r')) AS n FROM conversations
-           WHERE trim(text, E' \\n\\t\\r') <> '')
-SELECT count(*) AS turns, sum(CASE WHEN n > 500 THEN ceil((n - 100) / 400)::BIGINT ELSE 1 END)::BIGINT AS chunks FROM n
+WITH n AS (SELECT role AS source, trim(text, E' \\n\\t\\r') AS t, conv_id * 1000 + turn AS note_id FROM conversations
+           WHERE trim(text, E' \\n\\t\\r') <> ''),
+s AS (SELECT *, CASE WHEN length(t) > 500 THEN ceil((length(t) - 100) / 400)::BIGINT ELSE 1 END AS c FROM n)
+SELECT source, note_id, c AS chunks, length(t)::BIGINT + greatest(c - 1, 0) * 100 AS chars, 64 AS dimension FROM s
 """,
 )
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes arrive in micro-batches and are appended to a knowledge base."""
+    """Notes arrive by two streams of one name, each half of them in micro-batches; all rows are there."""
     notes = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"),
         F.col("role").alias("title"),
         F.col("text").alias("content"),
     )
-    stream, path = _streamed(notes, "ingest")
-    stream_into_kb(stream, build_from_notes, f"{path}/kb", f"{path}/checkpoint", "notes").awaitTermination()
-    rows = kb.read(spark, f"{path}/kb")
-    return rows.agg(F.countDistinct(F.shiftright("id", 20)).alias("turns"), F.count("*").alias("chunks"))
+    target = scratch_path(spark, "ingest-kb")
+    for half in range(2):
+        stream, path = _streamed(notes.where(F.col("note_id") % 2 == half), "ingest")
+        stream_into_kb(stream, build_from_notes, target, f"{path}/checkpoint", "notes").awaitTermination()
+    title = F.regexp_replace("source", r" \(BLK \d+/\d+\)$", "")
+    rows = kb.read(spark, target).groupBy(title.alias("source"), F.shiftright("id", 20).alias("note_id"))
+    return rows.agg(
+        F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"), F.max("dimension").alias("dimension")
+    )
 
 
-@query(
-    "stream_logs",
-    f"""
-WITH {_LOG_SQL}, s AS (SELECT ts, level, tag, string_split(message, E'\\n')[1] AS message FROM l)
-SELECT * FROM s WHERE level IN ('W', 'E') AND tag = 'error'
-""",
-)
+@query("stream_logs", f"WITH {_LOG_SQL} SELECT ts, level, tag, message FROM l WHERE level IN ('W', 'E') AND tag = 'error'")
 def stream_logs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries keep the lines below their first one."""
     path = scratch_path(spark, "logs")
     log_lines(spark, sf_dir).select("value").repartition(_FILES).write.text(f"{path}/in")
     return _finish(stream_logs(spark, f"{path}/in", 2, min_level="WARNING", tag="error"), path)

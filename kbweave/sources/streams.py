@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) ([^/ ]+)/(.*?): ((?s).*)$"
+LOG_HEADER = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3} [^/ \n]+/[^\n]*?: "
 DATA_PREFIX = "data: "
 DONE_LINE = "data: [DONE]"
 DELTA_SCHEMA = "struct<choices:array<struct<delta:struct<content:string>>>>"
@@ -16,22 +16,59 @@ def format_log_line(ts: Column, level: Column, tag: Column, message: Column) ->
 
 
 def parse_log_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """``ts, level, tag, message`` per line; a line without a header is a message of its own."""
+    """``ts, level, tag, message`` per entry; a text without a header is a message of its own.
+
+    Only the test for a header is a pattern; the fields are cut at fixed places and at the first ``/`` and ``: ``.
+    """
     kept = [c for c in lines.columns if c != line]
     text = F.col(line)
-    field = lambda i: F.nullif(F.regexp_extract(text, LOG_LINE, i), F.lit(""))
-    has_header = text.rlike(LOG_LINE)
-    return lines.select(
+    rest = F.substring(text, F.lit(25), F.length(text))
+    slash = F.instr(rest, "/")
+    tagged = F.substring(rest, slash + 1, F.length(rest))
+    colon = F.instr(tagged, ": ")
+    headed = lambda value: F.when(F.col("_headed"), value)
+    return lines.withColumn("_headed", F.coalesce(text.rlike(LOG_HEADER), F.lit(False))).select(
         *kept,
-        F.to_timestamp(field(1), "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"),
-        field(2).alias("level"),
-        field(3).alias("tag"),
-        F.when(has_header, F.regexp_extract(text, LOG_LINE, 4)).otherwise(text).alias("message"),
+        headed(F.try_to_timestamp(F.left(text, F.lit(23)), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))).alias("ts"),
+        headed(F.substring(rest, F.lit(1), slash - 1)).alias("level"),
+        headed(F.nullif(F.substring(tagged, F.lit(1), colon - 1), F.lit(""))).alias("tag"),
+        F.when(F.col("_headed"), F.substring(tagged, colon + 2, F.length(tagged))).otherwise(text).alias("message"),
     )
 
 
+def join_entries(lines: DataFrame, file: str, block: str, place: str, line: str = "value") -> DataFrame:
+    """``file, value``: every entry with all its lines, joined with line ends.
+
+    A line without a header belongs to the last header before it in its file. ``place`` orders the lines of a block, ``block`` the blocks of a
+    file. Lines look for their header in their own block; what an entry continues from an earlier block is told by one row a block.
+    Lines before a file's first header are entries of their own.
+    """
+    header = F.when(F.col(line).rlike(LOG_HEADER), F.struct(block, place))
+    so_far = Window.partitionBy(file, block).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    own = lines.withColumn("_entry", F.last(header, ignorenulls=True).over(so_far))
+    ends = lines.groupBy(file, block).agg(F.max(header).alias("_last"))
+    earlier = Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(file, block, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    entry = F.coalesce("_entry", "_carried", F.struct(block, place))
+    found = own.join(ends, [file, block]).withColumn("_entry", entry)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(block, place, line))), lambda x: x[line])
+    return found.groupBy(file, "_entry").agg(F.array_join(texts, "\n").alias(line)).drop("_entry")
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    return parse_log_lines(spark.read.text(path))
+    """Entries of all log files below ``path`` with all their lines: ``file, ts, level, tag, message``."""
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    return parse_log_lines(join_entries(lines, "file", "block", "place"))
+
+
+def split_entries(text: Column) -> Column:
+    """The entries of a whole log file."""
+    return F.split(F.rtrim(text, F.lit("\n")), r"\n(?=" + LOG_HEADER[1:] + ")", -1)
 
 
 def sse_content(line: Column) -> Column:

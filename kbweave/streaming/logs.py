@@ -1,14 +1,19 @@
-"""Growing log files as parsed rows."""
+"""Log files as a stream of entries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kbweave.operators.answers import filter_log
-from kbweave.sources.streams import parse_log_lines
+from kbweave.sources.streams import parse_log_lines, split_entries
 
 
-def stream_logs(spark: SparkSession, path: str, files_per_batch: int = 1000, **filters) -> DataFrame:
-    """New log files below a folder, parsed line by line and filtered like a batch."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    return filter_log(parse_log_lines(lines), **filters)
+def stream_logs(spark: SparkSession, path: str, files_per_batch: int = 100, **filters) -> DataFrame:
+    """Entries of new log files with all their lines, filtered like :func:`filter_log`.
+
+    A file arrives whole, as rotated logs do, and is one row until it is cut into entries.
+    """
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
+    entries = files.where(F.length("value") > 0).select(F.explode(split_entries(F.col("value"))).alias("value"))
+    return filter_log(parse_log_lines(entries), **filters)
