@@ -11,7 +11,7 @@ from kbweave.functions.chunks import ChunkSpec
 from kbweave.functions.embedding import hash_embedding
 from kbweave.functions.text import clean_text
 from kbweave.functions.vector_kernels import RANDOM_UNIT_SEVERITY, settle_vector
-from kbweave.operators.chunking import chunk_metadata, explode_chunks, explode_notes
+from kbweave.operators.chunking import chunk_metadata, dataset_metadata, explode_chunks, explode_notes
 from kbweave.operators.datasets import route_texts
 from kbweave.operators.kb import complete_metadata, storable
 from kbweave.session import spread
@@ -95,22 +95,34 @@ def build_from_files(
     text: str = "text",
     name: str = "file_name",
     path: str = "path",
+    file_index: Column | None = None,
     created_at: Column | None = None,
     spec: ChunkSpec = ChunkSpec(),
     split_datasets: bool = True,
     embedder: Callable[[Column], Column] = hash_embedding,
 ) -> DataFrame:
-    """Extracted files to rows; datasets take their formatter. Ids hash path and place."""
+    """Extracted files to rows; datasets take their formatter and its metadata. Ids hash path and place.
+
+    ``text`` is the file as it was read: it is cleaned here, and an instruction file that does not parse is
+    read by its lines. ``file_index`` is the file's number in a list, where there is one.
+    """
     created_at = F.current_timestamp() if created_at is None else created_at
-    chunks = route_texts(spread(files.select(path, name, text)), name, text, spec, split_datasets).select(
+    chosen = files.select(path, name, text, (F.lit(0) if file_index is None else file_index).alias("_file"))
+    chunks = route_texts(spread(chosen), name, text, spec, split_datasets).select(
         F.xxhash64(path, "chunk_index").alias("id"),
         F.lit(collection).alias("collection"),
         F.col(name).alias("source"),
         "chunk_index",
+        "total_chunks",
+        "route",
+        "_file",
         "content",
     )
     embedded = embed_chunks(chunks, embedder=embedder)
-    metadata = chunk_metadata(F.col("source"), F.col("chunk_index"), F.unix_millis(created_at))
+    source, index, millis = F.col("source"), F.col("chunk_index"), F.unix_millis(created_at)
+    metadata = F.when(F.col("route") == "text", chunk_metadata(source, index, millis)).otherwise(
+        dataset_metadata(source, F.col("_file"), index, F.col("total_chunks"), millis)
+    )
     return _as_rows(embedded, metadata, created_at)
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from kbweave.functions.datasets import broken_alpaca_items, close_truncated_array, is_json_content
 from kbweave.operators.chat import question_answer_pairs
 from kbweave.operators.datasets import dataset_stats, explode_datasets, route_texts
+from kbweave.operators import kb as kb_table
+from kbweave.plans.build import build_from_files
 from kbweave.plans.registry import query, table
-from kbweave.session import spread
+from kbweave.session import scratch_path, spread
 
 PAIRS_SQL = """
 pairs AS (
@@ -268,3 +270,37 @@ def route_texts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("kind") == "json", "a.json").otherwise("a.txt")
     files = pairs.select("conv_id", "turn", F.inline(forms)).withColumn("file_name", name)
     return route_texts(files, read_broken=False).drop("file_name")
+
+
+@query(
+    "file_kb",
+    f"""
+WITH {PAIRS_SQL}, t AS (
+  SELECT conv_id, turn, regexp_replace(translate(q, '\\"', ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS q,
+    regexp_replace(translate(r, '\\"', ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS r, translate(q, E'\\n\\\\"', ' ') AS lq, translate(r, E'\\n\\\\"', ' ') AS lr
+  FROM pairs)
+SELECT 'd' || conv_id || '-' || turn || '.json' AS source, '指令: ' || q || E'\\n\\n输出: ' || r AS content, 64 AS dimension,
+  '{{"fileName":"d' || conv_id || '-' || turn || '.json","fileIndex":' || turn
+    || ',"chunkIndex":0,"totalChunks":1,"extractionTime":1704067200000,"processingMethod":"JsonOptimized","source":"d' || conv_id || '-' || turn || '.json","created_at":1704067200000}}' AS metadata FROM t
+UNION ALL
+SELECT 'l' || conv_id || '-' || turn || '.json', 'Instruction: ' || lq || E'\\n\\nOutput: ' || lr, 64,
+  '{{"fileName":"l' || conv_id || '-' || turn || '.json","fileIndex":' || turn
+    || ',"chunkIndex":0,"totalChunks":1,"extractionTime":1704067200000,"processingMethod":"JsonOptimized","source":"l' || conv_id || '-' || turn || '.json","created_at":1704067200000}}' FROM t
+""",
+)
+def file_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to stored rows: datasets by their formatter, broken ones by their lines, with the metadata of datasets."""
+    q, r = F.col("q"), F.col("r")
+    plain = lambda c: F.translate(c, '\\"', "")
+    flat = lambda c: F.translate(c, '\n\\"', " ")
+    whole = F.concat(F.lit('[{"instruction":"'), plain(q), F.lit('","output":"'), plain(r), F.lit('"}]'))
+    lines = F.concat(F.lit('[{{\n"instruction": "'), flat(q), F.lit('",\n"output": "'), flat(r), F.lit('"\n'))
+    files = _pairs(spark, sf_dir).select("conv_id", "turn", F.inline(_forms({"d": whole, "l": lines})))
+    name = F.concat("kind", F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".json"))
+    files = files.select("turn", "text", name.alias("file_name"), F.concat(F.lit("/files/"), name).alias("path"))
+    rows = build_from_files(
+        files, collection="files", file_index=F.col("turn"), created_at=F.timestamp_seconds(F.lit(1704067200))
+    )
+    path = scratch_path(spark, "file-kb")
+    kb_table.overwrite(rows, path)
+    return kb_table.read(spark, path).select("source", "content", "dimension", "metadata")

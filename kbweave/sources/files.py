@@ -23,8 +23,10 @@ def route_of(name: Column) -> Column:
     return F.when(is_office_document(name), "office").when(is_pdf_document(name), "pdf").otherwise("text")
 
 
-def extract_files(files: DataFrame) -> DataFrame:
-    """``path, file_name, text, error``: cleaned text, or the reason there is none.
+def extract_files(files: DataFrame, clean: bool = True) -> DataFrame:
+    """``path, file_name, text, error``: the text, cleaned on request, or the reason there is none.
+
+    A build cleans by itself and reads broken datasets by their line ends: give it the text as it is.
 
     Office files go through the parser; for all others the UDF sees NULL and the
     bytes are decoded in the JVM. Text read as office or as plain file is cleaned alike.
@@ -38,7 +40,7 @@ def extract_files(files: DataFrame) -> DataFrame:
     return parsed.select(
         "path",
         "file_name",
-        F.when(text.isNotNull(), clean_text(text)).alias("text"),
+        (F.when(text.isNotNull(), clean_text(text)) if clean else text).alias("text"),
         error.alias("error"),
     )
 

@@ -60,5 +60,5 @@ def watch_files(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def usable_files(files: DataFrame) -> DataFrame:
-    """Extracted text of a batch of watched files."""
-    return usable(extract_files(files))
+    """Extracted text of a batch of watched files, as a build takes it."""
+    return usable(extract_files(files, clean=False))

@@ -7,7 +7,7 @@ from kbweave.operators.answers import filter_log, level_rank, parse_footer
 from kbweave.plans.registry.sources import _package, _rels, make_docx, make_pptx
 from kbweave.sources.files import extract_files, quarantine, read_texts, scan_files, usable
 from kbweave.sources.office import S, W, _java_double, docx_text, extract_one, xlsx_text
-from kbweave.sources.streams import parse_log_lines, parse_sse
+from kbweave.sources.streams import parse_log_lines, parse_sse, read_logs
 
 
 def test_scan_and_extract(spark, tmp_path):
@@ -76,6 +76,24 @@ def test_logs(spark, tmp_path):
     assert [r[0] for r in names.select(level_rank(F.col("l"))).collect()] == [0, 3, None]
 
 
+def test_entries_keep_their_lines_across_splits(spark, tmp_path):
+    entries = []
+    for i in range(200):
+        trace = "".join(f"\n\tat line {j} of {i}" for j in range(i % 7 * 5))
+        entries.append((f"2024-05-06 07:08:09.{i:03d} E/Tag: entry {i}" + trace, f"entry {i}" + trace))
+    (tmp_path / "a.log").write_text("early line\n" + "\n".join(e for e, _ in entries) + "\n")
+    (tmp_path / "b.log").write_text(entries[1][0] + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        rows = read_logs(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    messages = sorted(r["message"] for r in rows)
+    assert messages == sorted([m for _, m in entries] + ["early line", entries[1][1]])
+    assert sum(r["level"] == "E" for r in rows) == 201
+
+
 def test_sse(spark):
     lines = [
         'data: {"choices":[{"delta":{"content":"a"}}]}', "data: [DONE]", "", "data: {bad", 'data: {"choices":[]}',
