@@ -74,105 +74,3 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
             yield to_list_array(len(tokens), groups)
 
     return embed(words(text))
-
-
-def _pooled(hidden: np.ndarray, mask: np.ndarray, pooling: str) -> np.ndarray:
-    if hidden.ndim == 2:
-        return hidden.astype(np.float32)
-    hidden = hidden.astype(np.float32)
-    if pooling == "mean":
-        weights = mask[:, :, None].astype(np.float32)
-        return (hidden * weights).sum(axis=1) / np.maximum(weights.sum(axis=1), 1)
-    if pooling == "last":
-        return hidden[np.arange(len(hidden)), np.maximum(mask.sum(axis=1) - 1, 0)]
-    return hidden[:, 0]
-
-
-def _run_model(model_path: str, tokenizer_path: str, max_tokens: int):
-    """A function from texts to (output, attention mask); the session loads once per Python worker."""
-    import onnxruntime
-    from tokenizers import Tokenizer
-
-    session = onnxruntime.InferenceSession(model_path)
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.enable_truncation(max_tokens)
-    tokenizer.enable_padding()
-    names = {i.name for i in session.get_inputs()}
-
-    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        part = tokenizer.encode_batch(texts)
-        feed = {
-            "input_ids": np.array([e.ids for e in part], dtype=np.int64),
-            "attention_mask": np.array([e.attention_mask for e in part], dtype=np.int64),
-            "token_type_ids": np.array([e.type_ids for e in part], dtype=np.int64),
-        }
-        return session.run(None, {k: v for k, v in feed.items() if k in names})[0], feed["attention_mask"]
-
-    return run
-
-
-def onnx_embedding(
-    text: Column, model_path: str, tokenizer_path: str, pooling: str = "first", max_tokens: int = 512, batch: int = 32
-) -> Column:
-    """Embedding by a user-supplied ONNX model and tokenizer file; empty for empty text."""
-
-    @once("array<float>")
-    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        run = _run_model(model_path, tokenizer_path, max_tokens)
-        for texts in batches:
-            values = [v or "" for v in texts.to_pylist()]
-            filled = [i for i, v in enumerate(values) if v]
-            out: list[np.ndarray] = [np.empty(0, np.float32)] * len(values)
-            for start in range(0, len(filled), batch):
-                rows = filled[start : start + batch]
-                hidden, mask = run([values[i] for i in rows])
-                for i, vector in zip(rows, _pooled(hidden, mask, pooling)):
-                    out[i] = vector
-            yield pa.array(out, pa.list_(pa.float32()))
-
-    return embed(text)
-
-
-def onnx_logits(pair: Column, model_path: str, tokenizer_path: str, max_tokens: int = 512, batch: int = 8) -> Column:
-    """Reranker logits of a question-document pair text by a user-supplied ONNX model."""
-
-    @once("array<float>")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        run = _run_model(model_path, tokenizer_path, max_tokens)
-        for pairs in batches:
-            values = [v or "" for v in pairs.to_pylist()]
-            out: list[np.ndarray] = []
-            for start in range(0, len(values), batch):
-                logits, _ = run(values[start : start + batch])
-                out.extend(logits.reshape(len(logits), -1).astype(np.float32))
-            yield pa.array(out, pa.list_(pa.float32()))
-
-    return score(pair)
-
-
-def tokenizer_ids(text: Column, tokenizer_path: str) -> Column:
-    """Token ids by a user-supplied tokenizer file, no special tokens added."""
-
-    @once("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        for texts in batches:
-            encoded = tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-            yield pa.array([e.ids for e in encoded], pa.list_(pa.int32()))
-
-    return encode(text)
-
-
-def tokenizer_decode(ids: Column, tokenizer_path: str, skip_special: bool = True) -> Column:
-    @once("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        for values in batches:
-            texts = tokenizer.decode_batch([v or [] for v in values.to_pylist()], skip_special_tokens=skip_special)
-            yield pa.array(texts, pa.string())
-
-    return decode(ids)

@@ -320,6 +320,17 @@ def require_dimension(kb_dim: int, query_dim: int) -> None:
         raise ValueError(f"question vectors have {query_dim} entries, the knowledge base has {kb_dim}")
 
 
+def require_same_dimension(questions: DataFrame, kb: DataFrame, vector: str = "embedding") -> None:
+    """Check one question's dimension against a stored table's, whose column of dimensions is short to read.
+
+    A table of several dimensions is searched by each question in its own.
+    """
+    stored = kb.agg(F.min("dimension").alias("low"), F.max("dimension").alias("high")).first()
+    asked = questions.select(F.size(vector).alias("size")).first()
+    if asked is not None and stored["low"] is not None and stored["low"] == stored["high"]:
+        require_dimension(stored["low"], asked["size"])
+
+
 def attach_content(
     hits: DataFrame,
     kb: DataFrame,

@@ -11,7 +11,7 @@ from kbweave.functions.embedding import hash_embedding
 from kbweave.functions.providers import detect_provider, full_endpoint
 from kbweave.operators.prompts import build_prompts, sent_body
 from kbweave.operators.rerank import fallback_scores, rerank
-from kbweave.operators.search import search_topk
+from kbweave.operators.search import require_same_dimension, search_topk
 from kbweave.plans.build import embed_chunks
 
 
@@ -36,12 +36,16 @@ def retrieve(
 ) -> DataFrame:
     """Hits per question after search and reranking.
 
-    A depth of 0 retrieves nothing. A rerank count of 0 keeps the search order;
+    A stored knowledge base of one dimension refuses questions of another before the
+    search. A depth of 0 retrieves nothing. A rerank count of 0 keeps the search order;
     without a reranker the search order comes with falling scores.
     """
     collection = "collection" if by_collection else None
+    asked = embed_questions(questions, embedder)
+    if not by_collection and "dimension" in kb.columns:
+        require_same_dimension(asked, kb)
     hits = search_topk(
-        embed_questions(questions, embedder), kb, depth, collection=collection, attach=["content", "source"]
+        asked, kb, depth, collection=collection, attach=["content", "source"]
     )
     found = hits.join(questions.select("query_id", "question"), "query_id")
     if not reranker_available:
