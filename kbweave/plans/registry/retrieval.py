@@ -178,6 +178,37 @@ def rag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "kb_mixed_search",
+    f"""
+WITH {KB_SQL}
+, question_texts AS (SELECT item_id AS id, text AS t FROM benchmark),
+{_embed_sql("question_texts", "question_vectors")},
+stored AS (
+  SELECT id, t AS content, e, b FROM kb_texts JOIN kb_vectors USING (id) CROSS JOIN (VALUES ('one'), ('two')) v(b)
+  UNION ALL SELECT q.id * 1048576, t.t, q.e, 'one' FROM question_vectors q JOIN question_texts t USING (id)),
+scored AS (
+  SELECT q.id AS query_id, s.id, s.content, s.b, round(greatest(-1, least(1, list_cosine_similarity(q.e, s.e))), 6) AS similarity
+  FROM question_vectors q, stored s)
+SELECT query_id, rank, id, b AS batch, similarity, content FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id, b, content)::INTEGER AS rank FROM scored)
+WHERE rank <= 20
+""",
+)
+def kb_mixed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, notes and a second append of the same documents in one collection: each hit has its own text."""
+    path = scratch_path(spark, "mixed-kb")
+    docs = document_kb(spark, sf_dir).withColumn("collection", F.lit("all"))
+    notes = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("note_id"), F.lit("item").alias("title"), F.col("text").alias("content")
+    )
+    made = build_from_notes(notes, collection=F.lit("all"), created_at=_created())
+    kb_table.append(docs.unionByName(made), path, "one")
+    kb_table.append(docs, path, "two")
+    hits = search_topk(embed_questions(questions(spark, sf_dir)), kb_table.read(spark, path), DEPTH, attach=["content"])
+    return hits.select("query_id", "rank", "id", "batch", "similarity", "content")
+
+
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve(
         questions(spark, sf_dir), stored_kb(spark, sf_dir), depth=DEPTH, rerank_count=RERANK_COUNT
