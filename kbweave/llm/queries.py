@@ -48,7 +48,23 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-@query("op3_jaccard")
+@query(
+    "op3_jaccard",
+    """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.other) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r USING (doc_id) GROUP BY ALL
+""",
+)
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 4, 85)
 
@@ -58,7 +74,32 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.anonymize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), PII_KEY)
 
 
-@query("op5_decontamination")
+@query(
+    "op5_decontamination",
+    """
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+ig AS (SELECT DISTINCT item_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+  FROM iw WHERE len(w) >= 5),
+m AS (SELECT count(DISTINCT item_id) AS m FROM ig),
+weights AS (SELECT g, round(16 * (1 + ln(m / count(*)))) AS w FROM ig, m GROUP BY g, m),
+items AS (SELECT item_id, n, sum(w) AS item_w FROM ig JOIN weights USING (g) GROUP BY ALL),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+dg AS (SELECT doc_id, len(w) AS size, unnest(range(0, len(w) - 4)) AS pos,
+    unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM dw WHERE len(w) >= 5),
+rich AS (SELECT doc_id, item_id, size, n, item_w FROM (SELECT DISTINCT doc_id, size, g FROM dg) JOIN ig USING (g) JOIN weights USING (g) JOIN items USING (item_id, n)
+  GROUP BY ALL HAVING sum(w) >= 0.8 * item_w),
+starts AS (SELECT *, unnest(range(0, greatest(size - n, 0) + 1)) AS start FROM rich),
+inside AS (SELECT DISTINCT s.doc_id, s.item_id, s.n, s.item_w, s.start, d.g FROM starts s JOIN dg d ON d.doc_id = s.doc_id AND d.pos BETWEEN s.start AND s.start + s.n - 5),
+scored AS (
+  SELECT x.doc_id, x.item_id, x.n, x.start, x.item_w, sum(coalesce(w.w, round(16 * (1 + ln(m))))) AS window_w,
+    coalesce(sum(w.w) FILTER (i.g IS NOT NULL), 0) AS shared
+  FROM inside x CROSS JOIN m LEFT JOIN weights w ON w.g = x.g LEFT JOIN ig i ON i.g = x.g AND i.item_id = x.item_id GROUP BY ALL)
+SELECT doc_id, item_id, start::INTEGER AS start, n::INTEGER AS n_words, similarity FROM (
+  SELECT *, shared / (window_w + item_w - shared) AS similarity,
+    row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / (window_w + item_w - shared) DESC, start) AS best FROM scored)
+WHERE best = 1 AND similarity >= 0.8
+""",
+)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(
         spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark")
@@ -79,7 +120,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_warc")
+@query(
+    "op8_warc",
+    """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS data FROM pages),
+d AS (SELECT page_id, octet_length(data)::BIGINT AS payload_bytes, sha1(data) AS payload_digest FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to FROM k
+""",
+)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(warc.page_records(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))), path)
