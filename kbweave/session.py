@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
-# A repeated key in JSON keeps its last value instead of making the text unreadable.
-SETTINGS = {"spark.sql.variant.allowDuplicateKeys": "true"}
+# A repeated key in JSON keeps its last value instead of making the text unreadable. Arrow batches of whole
+# documents are kept short, so that a Python worker holds a few megabytes of text at a time.
+SETTINGS = {
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def local_session(cores: str = "*", app_name: str = "kbweave", **conf: str) -> SparkSession:
