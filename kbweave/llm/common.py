@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,11 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")), F.lit(FOLDS))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows, written once below the shared folder and read back.
 
@@ -60,7 +65,7 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
 class WordIds(dict):
     """64-bit hash of a word, remembered up to a bound so that memory stays flat."""
 
-    def __init__(self, bound: int = 1 << 20, seed: int = 0):
+    def __init__(self, bound: int = 1 << 17, seed: int = 0):
         import xxhash
 
         super().__init__()

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbweave.llm.common import bounded, written
+from kbweave.llm.common import bounded, let, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -30,17 +30,28 @@ def words(text: Column) -> Column:
 
 
 def shingle_hashes(found: Column) -> Column:
-    """Hash of the five words from each position on; fewer words give none."""
-    some = F.transform(F.sequence(F.lit(1), F.size(found) - SHINGLE + 1), lambda i: F.xxhash64(F.slice(found, i, SHINGLE)))
-    return F.when(F.size(found) >= SHINGLE, some).otherwise(F.array().cast("array<bigint>"))
+    """Hash of the five words from each position on; fewer words give none. The words are bound once, not once a position."""
+
+    def hashes(w: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
+        return F.when(F.size(w) >= SHINGLE, some).otherwise(F.array().cast("array<bigint>"))
+
+    return let(found, hashes)
+
+
+def lanes() -> list[Column]:
+    """Aggregates: for rows of ``shingle`` with integer weight ``w``, the weight of each bit's ones, two bits to a sum, and the whole weight."""
+    pair = F.lit((1 << 32) + 1)
+    sums = [F.sum(F.shiftrightunsigned("shingle", k).bitwiseAND(pair) * F.col("w")).alias(f"_l{k}") for k in range(32)]
+    return [*sums, F.sum("w").alias("_w")]
 
 
 def simhash() -> Column:
-    """Aggregate: the 64-bit SimHash of rows of ``shingle`` with integer weight ``w``; a bit is set if the weights of its ones exceed the others."""
-    bits = [F.sum(F.when(F.shiftright("shingle", b).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w"))) for b in range(64)]
+    """The 64-bit SimHash from ``lanes``; a bit is set if its ones weigh more than half of all."""
     out = F.lit(0).cast("long")
-    for b, total in enumerate(bits):
-        out = out.bitwiseOR(F.when(total > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    for k in range(32):
+        for shift, ones in ((k, F.col(f"_l{k}").bitwiseAND(F.lit(0xFFFFFFFF))), (k + 32, F.shiftrightunsigned(f"_l{k}", 32))):
+            out = out.bitwiseOR(F.when(2 * ones > F.col("_w"), F.shiftleft(F.lit(1).cast("long"), shift)).otherwise(F.lit(0).cast("long")))
     return out
 
 
@@ -74,7 +85,7 @@ def contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     parts = written(item_shingles(items), "items")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = parts.groupBy("item_id", "n").agg(F.sum("w").alias("item_w"), F.sort_array(F.collect_list(F.struct("shingle", "w"))).alias("item_set"))
-    prints = bounded(written(parts.groupBy("item_id", "n").agg(simhash().alias("item_print")).join(sets, ["item_id", "n"]), "prints"))
+    prints = bounded(written(parts.groupBy("item_id", "n").agg(*lanes()).select("item_id", "n", simhash().alias("item_print")).join(sets, ["item_id", "n"]), "prints"))
     weights = parts.groupBy("shingle").agg(F.max("w").alias("w"))
     unknown = weight(number_of_items(parts), F.lit(1))
     sized = bounded(written(parts.join(sets.select("item_id", "n", "item_w"), ["item_id", "n"]), "sized"))
@@ -98,8 +109,12 @@ def contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id", "row_key", F.col("span.n").alias("n"), F.col("span.start").alias("start"),
         F.array_distinct(F.slice("hashes", F.col("span.start") + 1, F.col("span.n") - SHINGLE + 1)).alias("window_set"),
     )
-    each = spans.withColumn("shingle", F.explode("window_set")).join(known, "shingle", "left").withColumn("w", F.coalesce("w", unknown))
-    finger = each.groupBy("doc_id", "row_key", "n", "start").agg(simhash().alias("print"), F.sum("w").alias("window_w"), F.collect_list("shingle").alias("window_set"))
+    # Little data but much work a row: spread by a set number of partitions, which is not merged again.
+    spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = written(spans.repartition(spread, "row_key", "n", "start"), "spans")
+    each = spans.select("row_key", "n", "start", F.explode("window_set").alias("shingle"))
+    each = each.join(known, "shingle", "left").withColumn("w", F.coalesce("w", unknown))
+    finger = each.groupBy("row_key", "n", "start").agg(*lanes()).select("row_key", "n", "start", F.col("_w").alias("window_w"), simhash().alias("print"))
 
     # Look them up by blocks, then compare exactly.
     block = lambda value, b: F.shiftright(value, 8 * b).bitwiseAND(F.lit(255))
@@ -113,7 +128,8 @@ def contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     near = finger.withColumn("probe", F.explode(probes)).select("*", F.col("probe.block").alias("block"), F.col("probe.value").alias("value")).drop("probe")
     near = near.join(bounded(written(variants, "index")), ["n", "block", "value"])
     near = near.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).filter(F.col("distance") <= RADIUS)
-    near = near.dropDuplicates(["row_key", "n", "start", "item_id"]).join(prints.select("item_id", "item_w", "item_set"), "item_id")
+    near = near.select("row_key", "n", "start", "item_id", "window_w").distinct()
+    near = near.join(spans, ["row_key", "n", "start"]).join(prints.select("item_id", "item_w", "item_set"), "item_id")
     shared = F.aggregate("item_set", F.lit(0).cast("long"), lambda total, x: total + F.when(F.array_contains("window_set", x["shingle"]), x["w"]).otherwise(0))
     near = near.withColumn("shared", shared).withColumn("joined", F.col("window_w") + F.col("item_w") - F.col("shared"))
     near = near.filter(F.col("shared") * 100 >= F.col("joined") * PERCENT).withColumn("similarity", F.col("shared") / F.col("joined"))
