@@ -8,8 +8,9 @@ a whole long document and no task a whole group.
 * **Order**: shingles are counted by ``2^18`` hashed buckets over all documents, an array of fixed size. The order is (bucket
   count, hash). Any total order gives the same result; this one puts frequent shingles last.
 * **Candidates**: similar sets share a shingle in their prefixes, at positions that leave room for the overlap needed.
-* **Components without all pairs**: of every posting list the most central node (fewest rarer shingles) is the hub and is compared with the others. Members
-  that are connected need no further comparison. What is left, pairs of nodes of different components, is compared in full, so no link
+* **Components without all pairs**: a posting list of up to ``SHORT_LIST`` nodes is compared in full, which is a bounded number of pairs a row. Of a longer
+  one the most central node (fewest rarer shingles) is the hub and is compared with the others. Members that are connected
+  need no further comparison. What is left, pairs of nodes of different components, is compared in full, so no link
   between components is lost and a group of near copies costs about a row per member.
 """
 
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbweave.llm.common import WordIds, text_batches, written
+from kbweave.llm.common import WordIds, bounded, text_batches, written
 
 BITS = 18
 WIDTH = 1 << BITS
 BLOCK = 1 << 13
 FRAGMENTS = 16
-HUB_ROUNDS = 2
+EARLY_FRAGMENTS = 2
+SHORT_LIST = 8
+HUB_ROUNDS = 4  # at most; another round follows only while each halves what is open
 _FACTORS = np.random.default_rng(20_011).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,31 +69,32 @@ def _node(found: np.ndarray) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63), xxhash.xxh3_64_intdigest(data, seed=7) - (1 << 63)
 
 
-def classes(documents: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, node, proof`` of every row; ``n`` is the size of the set."""
+def classes(documents: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
+    """One pass over all texts: ``doc_id, n, node, proof`` of every row, and the documents that hold a shingle of each bucket.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, size):
-            names = [_node(found) for found in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64())],
-                names=["doc_id", "n", "node", "proof"],
-            )
-
-    return documents.mapInArrow(run, "doc_id long, n long, node long, proof long")
-
-
-def bucket_counts(documents: DataFrame, size: int) -> np.ndarray:
-    """Documents holding a shingle of each bucket, over all documents; tasks hand on packed blocks of a fixed-size array."""
+    ``n`` is the size of the set. A task adds its counts into an array of fixed size and hands that on in packed blocks, as rows with a ``block``.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(WIDTH, dtype=np.int64)
-        for _, sets in _sets(batches, size):
+        names = ["doc_id", "n", "node", "proof", "block", "counts"]
+        for batch, sets in _sets(batches, size):
             if sets:
                 sums += np.bincount((np.concatenate(sets) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
+            pair = [_node(found) for found in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in pair], pa.int64()), pa.array([b for _, b in pair], pa.int64()),
+                    pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
+                ],
+                names=names,
+            )
         parts = [(b, sums[b * BLOCK : (b + 1) * BLOCK]) for b in range(WIDTH // BLOCK)]
         parts = [(b, zlib.compress(part.astype(np.int32).tobytes(), 1)) for b, part in parts if part.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["block", "counts"])
+        nothing = pa.nulls(len(parts), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [nothing, nothing, nothing, nothing, pa.array([b for b, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names
+        )
 
     def add(key: tuple, group: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BLOCK, dtype=np.int64)
@@ -99,10 +103,12 @@ def bucket_counts(documents: DataFrame, size: int) -> np.ndarray:
                 total += np.frombuffer(zlib.decompress(value), dtype=np.int32)
         yield pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
 
-    schema, sums = "block int, counts binary", np.zeros(WIDTH, dtype=np.int64)
-    for row in documents.mapInArrow(count, schema).groupBy("block").applyInPandas(add, schema).collect():
+    rows = written(documents.mapInArrow(run, "doc_id long, n long, node long, proof long, block int, counts binary"), "classes")
+    sums = np.zeros(WIDTH, dtype=np.int64)
+    blocks = rows.filter("block is not null").select("block", "counts")
+    for row in blocks.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
         sums[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], dtype=np.int64)
-    return sums
+    return rows.filter("block is null").select("doc_id", "n", "node", "proof"), sums
 
 
 def global_order(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +130,7 @@ def postings(documents: DataFrame, size: int, percent: int, rank: np.ndarray) ->
     """``shingle, node, n, pos``: the prefix of each distinct set in the global order.
 
     A set of n shingles shares at least ``percent`` of them with any partner, so one of the first n minus that plus 1 is
-    shared. A task hands on a set once, as far as it remembers; the rest is merged in the shuffle.
+    shared. A task hands on a set once, as far as it remembers; equal sets of other tasks give equal rows.
     """
     known = documents.sparkSession.sparkContext.broadcast(rank)
 
@@ -153,8 +159,7 @@ def postings(documents: DataFrame, size: int, percent: int, rank: np.ndarray) ->
                     names=["shingle", "node", "n", "pos"],
                 )
 
-    rows = documents.mapInArrow(run, "shingle long, node long, n int, pos int")
-    return rows.groupBy("shingle", "node").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
+    return documents.mapInArrow(run, "shingle long, node long, n int, pos int")
 
 
 def segments(texts: DataFrame, size: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -188,21 +193,36 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return percent * (a.cast("long") + b.cast("long"))
 
 
+def _partial(pairs: DataFrame, parts: DataFrame, first: int, last: int) -> DataFrame:
+    """``a, b, common, sa, sb``: overlap and sizes of the pairs' segments, summed over fragments ``first`` to ``last``.
+
+    A segment that came twice, from repeated ids, gives the same numbers and counts once.
+    """
+    chosen = parts.where(F.col("fragment").between(first, last))
+    cut = pairs.select("a", "b").withColumn("fragment", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    left = chosen.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
+    right = chosen.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
+    both = cut.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
+    one = F.struct("fragment", F.size(F.array_intersect("pa", "pb")).alias("common"), F.size("pa").alias("sa"), F.size("pb").alias("sb"))
+    found = both.select("a", "b", one.alias("one")).groupBy("a", "b").agg(F.collect_set("one").alias("ones"))
+    total = lambda name: F.aggregate("ones", F.lit(0).cast("long"), lambda sum_, x: sum_ + x[name]).alias(name)
+    return found.select("a", "b", total("common"), total("sa"), total("sb"))
+
+
 def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Of ``a, b, na, nb`` the pairs that are similar: partial overlaps by fragment, summed a pair.
 
-    A segment that came twice, from repeated ids, gives the same partial overlap and counts once.
+    The first fragments alone rule out most pairs: what they share and all that is left of the smaller rest is
+    too little. Only pairs that can still reach the overlap have their other segments sent.
     """
-    cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
-    both = cut.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
-    partial = F.struct("fragment", F.size(F.array_intersect("pa", "pb")).alias("common"))
-    counted = both.select("a", "b", "na", "nb", partial.alias("partial")).groupBy("a", "b").agg(
-        F.collect_set("partial").alias("partial"), F.max("na").alias("na"), F.max("nb").alias("nb")
-    )
-    counted = counted.withColumn("common", F.aggregate("partial", F.lit(0).cast("long"), lambda total, x: total + x["common"]))
-    return counted.filter((100 + percent) * F.col("common") >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    early = _partial(pairs, parts, 0, EARLY_FRAGMENTS - 1)
+    some = pairs.join(early, ["a", "b"], "left").na.fill(0, ["common", "sa", "sb"])
+    reach = F.col("common") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
+    needed = _needed(F.col("na"), F.col("nb"), percent)
+    some = written(some.where((100 + percent) * reach >= needed).select("a", "b", "na", "nb", F.col("common").alias("before")), "reachable")
+    late = _partial(some, parts, EARLY_FRAGMENTS, FRAGMENTS - 1).select("a", "b", "common")
+    total = F.col("before") + F.coalesce("common", F.lit(0))
+    return some.join(late, ["a", "b"], "left").where((100 + percent) * total >= needed).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,54 +255,91 @@ def _room(left: str, right: str, percent: int) -> Column:
     return fits & ((100 + percent) * F.least(na - pa_, nb - pb).cast("long") >= _needed(na, nb, percent))
 
 
+def _early(percent: int) -> Column:
+    """Whether a posting can be the shared one of its node and a partner that is no smaller.
+
+    With such a partner at least ``2 percent / (100 + percent)`` of the node's shingles are shared, so a shorter prefix has one.
+    """
+    return F.expr(f"pos < n - ceil({2 * percent} * cast(n as long) / {100 + percent}) + 1")
+
+
+def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Rows ``x, y`` of a list's nodes of different components, the smaller set first."""
+    row = F.struct("node", "n", "pos", "component")
+    left = lists.where(_early(percent)).select("shingle", row.alias("x"))
+    both = left.join(lists.select("shingle", row.alias("y")), "shingle")
+    return both.where((F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & (F.col("x.component") != F.col("y.component")))
+
+
+def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """Rows ``x, y`` of a list's nodes and its hub."""
+    hubs = lists.groupBy("shingle").agg(F.min(F.struct("pos", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("y"))
+    both = lists.select("shingle", F.struct("node", "n", "pos", "component").alias("x")).join(hubs, "shingle").drop("shingle")
+    return both.where(F.col("x.component") != F.col("y.component")).select("x", F.struct("y.node", "y.n", "y.pos", "y.component").alias("y"))
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     swap = F.col("x.node") > F.col("y.node")
     pick = lambda name, low: F.when(swap == F.lit(low), F.col(f"y.{name}")).otherwise(F.col(f"x.{name}"))
     return rows.select(pick("node", True).alias("a"), pick("node", False).alias("b"), pick("n", True).alias("na"), pick("n", False).alias("nb")).distinct()
 
 
-def _mixed_lists(shared: DataFrame) -> DataFrame:
-    """Posting lists that still hold nodes of several components."""
-    open_ = shared.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    return shared.join(open_.select("shingle"), "shingle")
+def _open_lists(shared: DataFrame, percent: int) -> DataFrame:
+    """Posting lists that hold nodes of several components, without the nodes that no other of the list can be similar to.
+
+    ``_room`` for a pair means that each one's ``slack`` covers ``percent`` times the other's size: a node needs a slack for the smallest
+    size in the list, and the list a slack for the node's size. ``long`` tells lists of more than ``SHORT_LIST`` nodes.
+    """
+    slack = F.expr(f"{100 + percent} * cast(n - pos as long) - {percent} * cast(n as long)")
+    lists = shared.groupBy("shingle").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.max(_early(percent)).alias("early"),
+        F.max(slack).alias("most"), F.min("n").alias("least"), F.count("*").alias("size"),
+    ).filter("low <> high and early")
+    both = shared.drop("long").join(lists, "shingle").where((slack >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n")))
+    return both.select("shingle", "node", "n", "pos", "component", (F.col("size") > SHORT_LIST).alias("long"))
 
 
-def linked_nodes(documents: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame | None:
+def linked_nodes(documents: DataFrame, base: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame | None:
     """``node, component`` of the nodes with links, or None if no two sets share a prefix shingle."""
-    order = global_order(bucket_counts(documents, size))
+    order = global_order(counts)
     heads = written(postings(documents, size, percent, order[0]), "postings")
-    several = heads.groupBy("shingle").count().filter("count > 1").select("shingle")
-    shared = written(heads.join(several, "shingle").withColumn("component", F.col("node")), "shared")
-    nodes = shared.select("node").distinct()
-    chosen = base.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node").select("doc_id")
-    texts = documents.join(chosen.distinct(), "doc_id").unionByName(documents.filter("doc_id is null"))
-    parts = written(segments(texts, size, order), "segments")
-    links, tested, found = None, None, None
-    for turn in range(HUB_ROUNDS + 1):
-        lists = _mixed_lists(shared)
-        if found is not None:
-            lists = _mixed_lists(
-                shared.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            )
-        shared = written(lists, "open")
-        if shared.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            hubs = shared.groupBy("shingle").agg(F.min(F.struct("pos", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("y"))
-            rows = shared.select("shingle", F.struct("node", "n", "pos", "component").alias("x")).join(hubs, "shingle")
-            rows = rows.filter(F.col("x.component") != F.col("y.component"))
+    # Copies of one set in several tasks are one node; lists that hold but one fall out after the join.
+    several = heads.groupBy("shingle").agg(F.count("*").alias("size"), F.max(_early(percent)).alias("early"))
+    shared = heads.join(several.filter("size > 1 and early").select("shingle"), "shingle")
+    shared = shared.groupBy("shingle", "node").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
+    shared = written(_open_lists(shared.withColumn("component", F.col("node")), percent), "shared")
+    lowest = base.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    links = parts = have = found = None
+    turn, before, now = 0, None, shared.count()
+    while now:
+        if turn == 0:
+            short = _all_pairs(shared.where("not long"), percent).select("x", "y")
+            rows = short.unionByName(_hub_pairs(shared.where("long"), turn))
+        elif turn < HUB_ROUNDS and 2 * now < before:
+            rows = _hub_pairs(shared, turn)
         else:
-            left = shared.select("shingle", F.struct("node", "n", "pos", "component").alias("x"))
-            right = shared.select("shingle", F.struct("node", "n", "pos", "component").alias("y"))
-            rows = left.join(right, "shingle").filter(F.col("x.component") < F.col("y.component"))
-        pairs = _pairs(rows.filter(_room("x", "y", percent)))
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        more = written(verified(pairs, parts, percent), "links")
-        links = more if links is None else links.unionByName(more)
+            rows, turn = _all_pairs(shared, percent), HUB_ROUNDS
+        pairs = written(_pairs(rows.filter(_room("x", "y", percent))), "pairs")
+        # Segments of the nodes that are compared for the first time; few ids are broadcast, so the texts are not shuffled.
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if have is not None:
+            nodes = nodes.join(have, "node", "left_anti")
+        nodes = written(nodes.join(lowest, "node"), "nodes")
+        texts = documents.join(bounded(nodes.select("doc_id").distinct()), "doc_id", "left_semi")
+        if not nodes.filter("doc_id is null").isEmpty():
+            texts = texts.unionByName(documents.filter("doc_id is null"))
+        more = written(segments(texts, size, order), "segments")
+        parts = more if parts is None else parts.unionByName(more)
+        have = nodes.select("node") if have is None else have.unionByName(nodes.select("node"))
+        fresh = written(verified(pairs, parts, percent), "links")
+        links = fresh if links is None else links.unionByName(fresh)
         found = components(links)
+        if turn == HUB_ROUNDS:
+            break
+        named = shared.where("long").drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        before = shared.where("long").count()
+        shared = written(_open_lists(written(named, "named"), percent), "open").withColumn("long", F.lit(True))
+        turn, now = turn + 1, shared.count()
     return found
 
 
@@ -296,10 +353,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     by a second signature, and a clash of names ends the job.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = written(classes(rows, size), "classes")
+    base, counts = classes(rows, size)
     clash = F.when(F.min("proof") == F.max("proof"), F.min("doc_id")).otherwise(F.raise_error(F.lit("two sets share a signature")).cast("long"))
     first = base.filter("n > 0").groupBy("node").agg(clash.alias("lowest"))
-    found = linked_nodes(rows, base, size, percent)
+    found = linked_nodes(rows, base, counts, size, percent)
     if found is not None:
         first = first.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         lowest = first.groupBy("component").agg(F.min("lowest").alias("least"))
