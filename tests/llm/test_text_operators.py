@@ -255,6 +255,28 @@ def test_collisions_walk_on(spark):
     assert not set(moved.values()) & (real | {r["surrogate"] for r in first}) and len(set(moved.values())) == 3
 
 
+def test_chains_of_real_entities_stay_distinct(spark):
+    """Each entity's surrogate is the next entity; the last one's is free."""
+    chain = ["10.1.2.3"]
+    for _ in range(3):
+        one = spark.range(1).select(pii.surrogate(F.lit(chain[-1]), F.lit("ipv4"), "k")).first()[0]
+        chain.append(one)
+    docs = spark.createDataFrame([(i, f"at {m} now") for i, m in enumerate(chain)], "doc_id long, text string")
+    new = {e["mention"]: e["surrogate"] for r in pii.anonymize(docs, "k").collect() for e in r["entities"]}
+    assert set(new) == set(chain) and len(set(new.values())) == len(chain) and not set(new.values()) & set(chain)
+
+
+def test_full_shapes_leave_no_real_entity(spark, monkeypatch):
+    """All values of a shape are real, or there is but one: the surrogates leave the shape."""
+    monkeypatch.setattr(pii, "WALKS", 1)
+    found = [f"{a}@{b}.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + ["********", "--------"]
+    docs = spark.createDataFrame([(i, f'password = "{m}"' if "@" not in m else m) for i, m in enumerate(found)], "doc_id long, text string")
+    rows = pii.anonymize(docs, "k").collect()
+    new = {e["mention"]: e["surrogate"] for r in rows for e in r["entities"]}
+    assert set(new) == set(found) and len(set(new.values())) == len(found) and not set(new.values()) & set(found)
+    assert all(e["surrogate"] in r["text"] for r in rows for e in r["entities"])
+
+
 def test_op4_leaves_clean_text(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     rows = QUERIES["op4_surrogates"](spark, SF_DIR).collect()
