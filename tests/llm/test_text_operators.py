@@ -266,6 +266,17 @@ def test_chains_of_real_entities_stay_distinct(spark):
     assert set(new) == set(chain) and len(set(new.values())) == len(chain) and not set(new.values()) & set(chain)
 
 
+def test_secrets_with_an_at_sign_are_no_addresses(spark):
+    secrets = ["p@ssw0rd1", "abc@mid1@tail.example", "abc@mid2@tail.example", "@bcdefgh"]
+    docs = spark.createDataFrame([(i, f'password = "{m}"') for i, m in enumerate(secrets)] + [(9, "token = 'a.b@c.org'")], "doc_id long, text string")
+    found = {e["mention"]: (e["kind"], e["surrogate"]) for r in pii.anonymize(docs, "k").collect() for e in r["entities"]}
+    assert {m: kind for m, (kind, _) in found.items()} == dict.fromkeys(secrets, "secret") | {"a.b@c.org": "email"}
+    assert len({new for _, new in found.values()}) == len(found)
+    for m in secrets:
+        new = found[m][1]
+        assert len(new) == len(m) and not any(part in new for part in m.split("@") if part)
+
+
 def test_full_shapes_leave_no_real_entity(spark, monkeypatch):
     """All values of a shape are real, or there is but one: the surrogates leave the shape."""
     monkeypatch.setattr(pii, "WALKS", 1)
