@@ -6,8 +6,9 @@ the main element is also written as a token stream. The streams of a host are co
 ``LONG`` tokens or more, from distinct pages, cover those tokens. Boilerplate blocks go, open blocks go if at least half of their
 tokens are covered, and the unique runs stay. Main blocks stay even if other pages repeat them: an article that two pages carry is an article.
 
-Equal streams of a host are merged first, with the first and last page that hold them. Suffixes that agree in ``LONG`` tokens
-start with the same two, so a host with many streams is cut into buckets by a hash of a suffix's first two tokens, each sorted by a task of its own.
+Equal streams of a host are merged first, with the first and last page that hold them. A host of up to ``HOST_TOKENS`` tokens is sorted by
+one task. The suffixes of a larger one are grouped over all tasks by a hash of their first ``LONG`` tokens, which is all that the order is read for; no task holds
+more than a stream at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from kbweave.llm.common import bounded, written
 
 LONG = 8
-BUCKET_TOKENS = 1_000_000
+HOST_TOKENS = 1_000_000
+WINDOW_ROWS = 50_000
 MAIN, BOILER, OPEN = 0, 1, 2
 
 _RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|math|select|option"
@@ -236,35 +238,60 @@ def parsed(pages: DataFrame) -> DataFrame:
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
 
 
+def windows(streams: DataFrame) -> DataFrame:
+    """``host, at, low, high, place, window``: each position of the streams (host, at, low, high, stream), with a hash of the ``LONG`` tokens from there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            index: list[int] = []
+            places: list[int] = []
+            found: list[int] = []
+
+            def rows() -> pa.RecordBatch:
+                own = batch.select(range(4)).take(pa.array(index, pa.int32()))
+                arrays = [*own.columns, pa.array(places, pa.int32()), pa.array(np.array(found, dtype=np.uint64).view(np.int64))]
+                for part in (index, places, found):
+                    part.clear()
+                return pa.RecordBatch.from_arrays(arrays, names=["host", "at", "low", "high", "place", "window"])
+
+            for i, stream in enumerate(batch.column(4).to_pylist()):
+                tokens = stream.split(" ")
+                for place in range(len(tokens) - LONG + 1):
+                    index.append(i)
+                    places.append(place)
+                    found.append(xxhash.xxh3_64_intdigest(" ".join(tokens[place : place + LONG]).encode("utf-8", "surrogatepass")))
+                    if len(index) == WINDOW_ROWS:
+                        yield rows()
+            if index:
+                yield rows()
+
+    return streams.select("host", "at", "low", "high", "stream").mapInArrow(run, "host string, at long, low long, high long, place int, window long")
+
+
 def repeated_runs(pages: DataFrame) -> DataFrame:
     """``host, at, starts``: of each distinct stream, by its hash, the covered positions; streams without any are left out."""
     rows = pages.select("row", "host", F.explode("streams").alias("stream")).withColumn("at", F.xxhash64("stream"))
     rows = rows.filter(F.size(F.split("stream", " ")) >= LONG)
     distinct = written(rows.groupBy("host", "at").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.first("stream").alias("stream")), "streams")
     sizes = distinct.groupBy("host").agg(F.sum(F.size(F.split("stream", " "))).alias("tokens"))
-    buckets = F.ceil(F.col("tokens") / BUCKET_TOKENS).cast("int").alias("buckets")
-    placed = distinct.join(bounded(written(sizes.select("host", buckets), "hosts")), "host")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index, bucket = [], []
-            for i, (stream, n) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
-                tokens = stream.split(" ")
-                of = {0} if n == 1 else {bucket_of(a, b, n) for a, b in zip(tokens, tokens[1:])}
-                index += [i] * len(of)
-                bucket += sorted(of)
-            taken = batch.take(pa.array(index, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(bucket, pa.int32())], names=[*batch.schema.names, "bucket"])
+    large = bounded(written(sizes.filter(F.col("tokens") > HOST_TOKENS).select("host"), "hosts"))
 
     def sort(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = [(stream.split(" "), low, high) for stream, low, high in zip(group["stream"], group["low"], group["high"])]
-        starts = covered_starts(rows, key[1], int(group["buckets"].iloc[0]))
-        out = pd.DataFrame({"host": group["host"], "at": group["at"], "starts": [s.tolist() for s in starts]})
+        out = pd.DataFrame({"host": group["host"], "at": group["at"], "starts": [s.tolist() for s in covered_starts(rows, 0, 1)]})
         return out[out["starts"].map(len) > 0]
 
-    schema = "host string, at long, low long, high long, stream string, buckets int"
-    placed = placed.select("host", "at", "low", "high", "stream", "buckets").mapInArrow(place, schema + ", bucket int")
-    return placed.groupBy("host", "bucket").applyInPandas(sort, "host string, at long, starts array<int>")
+    small = distinct.join(large, "host", "left_anti").groupBy("host").applyInPandas(sort, "host string, at long, starts array<int>")
+    if large.isEmpty():
+        return small
+    # Hot windows are summed up before the shuffle; what repeats is joined back window by window.
+    every = windows(distinct.join(large, "host", "left_semi"))
+    repeated = every.groupBy("host", "window").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
+    repeated = bounded(written(repeated.select("host", "window"), "repeated"))
+    covered = every.join(repeated, ["host", "window"]).groupBy("host", "at").agg(F.sort_array(F.collect_list("place")).alias("starts"))
+    return small.unionByName(covered)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -187,6 +187,26 @@ def test_repeated_runs_go_and_unique_runs_stay(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_large_hosts_are_read_window_by_window(spark, monkeypatch):
+    """The same runs as from one suffix array, and no task gets the streams of a host over the bound."""
+    rng = random.Random(8)
+    streams = [[" ".join(rng.choice("abc") for _ in range(rng.randrange(8, 40)))] for _ in range(40)]
+    streams += [[f"© h.org {' '.join(f'{i}x{j}' for j in range(30))}"] for i in range(30)]
+    rows = [(i, "ab"[i % 2] + ".org", s) for i, s in enumerate(streams)]
+    pages = spark.createDataFrame(rows, "row long, host string, streams array<string>")
+    found = lambda: {(r["host"], r["at"]): list(r["starts"]) for r in html_extract.repeated_runs(pages).collect()}
+    whole = found()
+    assert whole
+
+    def stop(*_):
+        raise AssertionError("streams of a large host in one task")
+
+    monkeypatch.setattr(html_extract, "HOST_TOKENS", 50)
+    monkeypatch.setattr(html_extract, "WINDOW_ROWS", 7)
+    monkeypatch.setattr(html_extract, "covered_starts", stop)
+    assert found() == whole
+
+
 def test_covered_starts_by_brute_force():
     rng = random.Random(4)
     rows = [([rng.choice("ab") for _ in range(rng.randrange(30))], i % 5, max(i % 5, rng.randrange(6))) for i in range(25)]
