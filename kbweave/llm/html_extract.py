@@ -4,9 +4,10 @@ A page is read into blocks. A block is *main* inside an article or main element,
 form, advert, notice or comment section as told by tags, roles and class names, and else *open*. Everything outside
 the main element is also written as a token stream. The streams of a host are concatenated and their suffixes sorted; neighbours in that order which agree in
 ``LONG`` tokens or more, from distinct pages, cover those tokens. Boilerplate blocks go, open blocks go if at least half of their
-tokens are covered, and the unique runs stay. Main blocks stay even if other pages repeat them: an article that two pages carry is an article.
+tokens are covered, and the unique runs stay. Main blocks stay even if other pages repeat them: an article that two pages carry is an article. Without a main
+element only whole copies are known as such: pages equal but for their boilerplate blocks count as one page.
 
-Equal streams of a host are merged first, with the first and last page that hold them. A host of up to ``HOST_TOKENS`` tokens is sorted by
+Equal streams of a host are merged first, with the least and greatest page hash that hold them. A host of up to ``HOST_TOKENS`` tokens is sorted by
 one task. The suffixes of a larger one are grouped over all tasks by a hash of their first ``LONG`` tokens, which is all that the order is read for; no task holds
 more than a stream at a time.
 """
@@ -50,23 +51,45 @@ _HINTS = frozenset(
     "footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion related "
     "replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+# Class words that a wrapper of the whole content may have too; and first words that only tell that a page has such a part.
+_LAYOUT = frozenset("menu nav navbar navigation search sidebar toolbar widget widgets".split())
+_MODIFIERS = frozenset("has with no without".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marks(attrs: str) -> tuple[bool, bool]:
-    """Whether attributes tell boilerplate, and whether they tell the main element."""
+def _marks(attrs: str) -> tuple[bool, frozenset[str], bool]:
+    """Whether attributes tell boilerplate, the class words that tell it, and whether they tell the main element."""
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     role = values.get("role", "").lower()
-    names = {w.lower() for key in ("class", "id") for w in _WORD.findall(values.get(key, ""))}
+    names: set[str] = set()
+    for name in (values.get("class", "") + " " + values.get("id", "")).split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if words and words[0] not in _MODIFIERS:
+            names.update(words)
     hidden = values.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs) is not None
-    return role in _ROLES or hidden or bool(names & _HINTS), role == "main" or values.get("itemprop") == "articleBody"
+    return role in _ROLES or hidden, _HINTS & names, role == "main" or values.get("itemprop") == "articleBody"
 
 
 def page_blocks(page: str) -> list[tuple[str, int]]:
-    """Blocks of a page in order, as (text, kind). Character references are decoded, white space is one space, a line break is white space."""
+    """Blocks of a page in order, as (text, kind). Character references are decoded, white space is one space, a line break is white space.
+
+    On a page without a main element, one inside a wrapper whose class tells boilerplate wins over that class if it holds more than
+    the open blocks; an article element wins over the words of ``_LAYOUT`` only, since comments and teasers are articles as well.
+    """
+    blocks = _blocks(page, False)
+    kinds = {kind for _, kind in blocks}
+    if BOILER in kinds and MAIN not in kinds:
+        inner = _blocks(page, True)
+        if sum(len(t) for t, kind in inner if kind == MAIN) > sum(len(t) for t, kind in inner if kind == OPEN):
+            return inner
+    return blocks
+
+
+def _blocks(page: str, inner: bool) -> list[tuple[str, int]]:
+    """The blocks; with ``inner``, main elements win over the classes of their wrappers."""
     blocks: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []
-    boiler = main = 0
+    stack: list[tuple[str, int, int, int, bool]] = []
+    boiler = listed = layout = main = 0
     text: list[str] = []
     dropped: list[str] = []
 
@@ -79,17 +102,19 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
                 parts.clear()
 
     def pop(at: int) -> None:
-        nonlocal boiler, main
-        if any(name in _BLOCK for name, _, _ in stack[at:]):
+        nonlocal boiler, listed, layout, main
+        if any(entry[0] in _BLOCK for entry in stack[at:]):
             flush()
-        for _, b, m in stack[at:]:
+        for _, b, c, w, m in stack[at:]:
             boiler -= b
+            listed -= c
+            layout -= w
             main -= m
         del stack[at:]
 
     def add(piece: str) -> None:
         if piece:
-            (dropped if boiler else text).append(html.unescape(piece) if "&" in piece else piece)
+            (dropped if boiler or listed or layout else text).append(html.unescape(piece) if "&" in piece else piece)
 
     at = 0
     for tag in _TAG.finditer(page):
@@ -123,13 +148,19 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
             add(" ")
         if name in _VOID or tag["attrs"].endswith("/"):
             continue
-        told, is_main = _marks(tag["attrs"]) if tag["attrs"] else (False, False)
+        told, hints, is_main = _marks(tag["attrs"]) if tag["attrs"] else (False, frozenset(), False)
         told = told or name in _BOILER or (name == "header" and not main)
-        is_main = not told and (is_main or name in ("article", "main"))
+        surely = is_main or name == "main"
+        is_main = not told and not hints and (surely or name == "article")
         if name == "body":  # a class of the whole page tells nothing
-            told = False
-        stack.append((name, told, is_main))
+            told, hints = False, frozenset()
+        c, w = int(bool(hints - _LAYOUT)), int(bool(hints & _LAYOUT))
+        if inner and is_main:
+            c, w = -listed if surely else 0, -layout
+        stack.append((name, told, c, w, is_main))
         boiler += told
+        listed += c
+        layout += w
         main += is_main
     add(page[at:])
     flush()
@@ -218,7 +249,10 @@ def kept(blocks: list[tuple[str, int]], covered: dict[int, set[int]]) -> str:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """``row, page_id, url, host, blocks, open, streams`` of every page; ``row`` numbers the rows of this table."""
+    """``row, page_id, url, host, blocks, open, streams, copy`` of every page; ``row`` numbers the rows of this table.
+
+    ``copy`` is a hash of the blocks that are no boilerplate: pages equal in them are copies of one page.
+    """
     block = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int8())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +269,8 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     schema = "page_id long, url string, host string, blocks array<struct<text:string,kind:tinyint>>, open boolean, streams array<string>"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
-    return written(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+    own = F.transform(F.filter("blocks", lambda b: b["kind"] != BOILER), lambda b: b["text"])
+    return written(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("copy", F.xxhash64(own)), "pages")
 
 
 def windows(streams: DataFrame) -> DataFrame:
@@ -272,9 +307,9 @@ def windows(streams: DataFrame) -> DataFrame:
 
 def repeated_runs(pages: DataFrame) -> DataFrame:
     """``host, at, starts``: of each distinct stream, by its hash, the covered positions; streams without any are left out."""
-    rows = pages.select("row", "host", F.explode("streams").alias("stream")).withColumn("at", F.xxhash64("stream"))
+    rows = pages.select("copy", "host", F.explode("streams").alias("stream")).withColumn("at", F.xxhash64("stream"))
     rows = rows.filter(F.size(F.split("stream", " ")) >= LONG)
-    distinct = written(rows.groupBy("host", "at").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.first("stream").alias("stream")), "streams")
+    distinct = written(rows.groupBy("host", "at").agg(F.min("copy").alias("low"), F.max("copy").alias("high"), F.first("stream").alias("stream")), "streams")
     sizes = distinct.groupBy("host").agg(F.sum(F.size(F.split("stream", " "))).alias("tokens"))
     large = bounded(written(sizes.filter(F.col("tokens") > HOST_TOKENS).select("host"), "hosts"))
 
@@ -298,7 +333,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of every page. Null, empty and text-less pages have the empty text.
 
     Repeated rows are each returned, a null page_id stays null, and pages with a null url share the empty host. Other columns are
-    not read. Equal streams of repeated rows count as distinct pages, since their rows are.
+    not read. Copies of a page, repeated rows too, count as one page: what only they share is no boilerplate.
     """
     rows = parsed(pages)
     runs = written(repeated_runs(rows), "runs")

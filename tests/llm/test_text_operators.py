@@ -173,6 +173,26 @@ def test_page_blocks():
     assert html_extract.page_blocks("<p>" * 50_000 + "deep")[-1] == ("deep", html_extract.OPEN)
 
 
+def test_a_main_element_wins_over_its_wrappers_class():
+    texts = lambda page: html_extract.kept(html_extract.page_blocks(page), {})
+    article = "<article><p>The whole article</article>"
+    for wrapper in ("has-sidebar", "with-comments", "sidebar", "search-page", "site nav-open"):
+        assert texts(f'<header>Site</header><div class="{wrapper}">{article}<div class="comments">reader</div></div><footer>foot</footer>') == "The whole article"
+    assert texts('<div class="comments-open"><main>text</main></div>') == "text"
+    assert texts('<div class="has-sidebar">unmarked</div>') == "unmarked"
+    # What is boilerplate stays boilerplate.
+    assert texts(f'{article}<div class="sidebar"><article>teaser</article></div>') == "The whole article"
+    assert texts('<div>A long unmarked article</div><div class="sidebar"><article>teaser</article></div>') == "A long unmarked article"
+    assert texts('<div class="comments"><article>reader</article></div><nav><article>x</article></nav>') == ""
+
+
+def test_copies_of_an_unmarked_page_stay_whole(spark):
+    article = "an article without a mark that a host carries on two of its pages"
+    pages = [(1, f"<nav>one</nav><div>{article}</div>"), (2, f"<nav>the other</nav><div>{article}</div><footer>f</footer>"), (2, f"<nav>the other</nav><div>{article}</div><footer>f</footer>")]
+    found = html_extract.extract(spark.createDataFrame([(i, "http://h.org/", p) for i, p in pages], "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in found] == [article] * 3
+
+
 def test_repeated_runs_go_and_unique_runs_stay(spark):
     menu = "all the words of the menu that every page of the host repeats"
     rows = [(i, "http://h.org/%d" % i, f"<div>{menu}</div><div>unique text number {i} with words of its own {i * 7}</div><div>{menu} end</div>") for i in range(6)]
@@ -193,7 +213,7 @@ def test_large_hosts_are_read_window_by_window(spark, monkeypatch):
     streams = [[" ".join(rng.choice("abc") for _ in range(rng.randrange(8, 40)))] for _ in range(40)]
     streams += [[f"© h.org {' '.join(f'{i}x{j}' for j in range(30))}"] for i in range(30)]
     rows = [(i, "ab"[i % 2] + ".org", s) for i, s in enumerate(streams)]
-    pages = spark.createDataFrame(rows, "row long, host string, streams array<string>")
+    pages = spark.createDataFrame(rows, "copy long, host string, streams array<string>")
     found = lambda: {(r["host"], r["at"]): list(r["starts"]) for r in html_extract.repeated_runs(pages).collect()}
     whole = found()
     assert whole
