@@ -197,8 +197,8 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 120, ridge: float
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS // 4, max_lines: int = TRAIN_LINES) -> Field:
     """Learn from at most ``rows`` labelled documents outside the held-out fold and ``max_lines`` of their lines.
 
-    Only the fit is bounded, so that it stays in the driver's memory; whole documents are left out, the
-    sample's last first. Without any labelled row the field scores every text 0.5.
+    Only the fit is bounded, so that it stays in the driver's memory; a document that does not
+    fit with those before it is left out whole. Without any labelled row the field scores every text 0.5.
     """
     sample = labelled_sample(documents, labels, "quality", rows).orderBy(F.xxhash64("doc_id"), "doc_id")
     texts: list[bytes] = []
@@ -206,9 +206,10 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS // 4, m
     lines = 0
     for row in sample.select("text", "y").toLocalIterator():
         text = (row["text"] or "").encode("utf-8", "replace")
-        lines += text.count(b"\n") + 1
-        if lines > max_lines:
-            break
+        own = text.count(b"\n") + 1
+        if lines + own > max_lines:
+            continue
+        lines += own
         texts.append(text)
         marks.append(row["y"])
     if not texts:

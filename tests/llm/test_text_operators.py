@@ -157,6 +157,17 @@ def test_quality_on_held_out_rows(spark):
     assert rows.loc[rows["quality"] == 1, "predicted"].mean() > 0.99
 
 
+def test_a_long_labelled_text_does_not_end_the_sample(spark):
+    """The first text of the sample has more lines than the fit takes; the others are learnt from as without it."""
+    labels = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    first = labels.filter(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").first()["doc_id"]
+    texts = ["Click here! BUY $$$\n" * 3, "A calm sentence about the history of the town.\n" * 3]
+    rows = [(i, "line\n" * 500 if i == first else texts[i % 2]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field, other = quality.fit(docs, labels, max_lines=450), quality.fit(docs.filter(F.col("doc_id") != first), labels, max_lines=450)
+    assert field.weights.any() and (field.weights == other.weights).all()
+
+
 # --- main text ---------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp t</title><style>p{}</style></head><body class="has-sidebar"><header>Site</header>
