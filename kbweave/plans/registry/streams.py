@@ -74,7 +74,8 @@ def stream_logs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries keep the lines below their first one."""
     path = scratch_path(spark, "logs")
     log_lines(spark, sf_dir).select("value").repartition(_FILES).write.text(f"{path}/in")
-    return _finish(stream_logs(spark, f"{path}/in", 2, min_level="WARNING", tag="error"), path)
+    stream_logs(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", 2, min_level="WARNING", tag="error").awaitTermination()
+    return spark.read.schema("ts timestamp, level string, tag string, message string").parquet(f"{path}/out").drop("batch")
 
 
 @query(

@@ -66,11 +66,6 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return parse_log_lines(join_entries(lines, "file", "block", "place"))
 
 
-def split_entries(text: Column) -> Column:
-    """The entries of a whole log file."""
-    return F.split(F.rtrim(text, F.lit("\n")), r"\n(?=" + LOG_HEADER[1:] + ")", -1)
-
-
 def sse_content(line: Column) -> Column:
     """The text piece of one ``data: `` line; NULL for any other line, a bad one or one without text."""
     payload = F.substring(line, len(DATA_PREFIX) + 1, F.length(line))

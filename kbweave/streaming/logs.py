@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from kbweave.operators.answers import filter_log
-from kbweave.sources.streams import parse_log_lines, split_entries
+from kbweave.sources.streams import join_entries, parse_log_lines
 
 
-def stream_logs(spark: SparkSession, path: str, files_per_batch: int = 100, **filters) -> DataFrame:
-    """Entries of new log files with all their lines, filtered like :func:`filter_log`.
+def stream_logs(
+    spark: SparkSession, path: str, target: str, checkpoint: str, files_per_batch: int = 100, available_now: bool = True, **filters
+) -> StreamingQuery:
+    """Write the entries of new log files with all their lines, filtered like :func:`filter_log`, as Parquet below ``target``.
 
-    A file arrives whole, as rotated logs do, and is one row until it is cut into entries.
+    A file arrives complete, as rotated logs do, but is read line by line and split by split. Each micro-batch has a folder
+    ``batch=<number>`` of its own, which a batch that runs again replaces.
     """
-    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
-    entries = files.where(F.length("value") > 0).select(F.explode(split_entries(F.col("value"))).alias("value"))
-    return filter_log(parse_log_lines(entries), **filters)
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        placed = batch.withColumn("place", F.monotonically_increasing_id())
+        entries = parse_log_lines(join_entries(placed, "file", "block", "place").drop("file"))
+        filter_log(entries, **filters).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -8,7 +8,8 @@ from kbweave.operators import kb
 from kbweave.operators.chat import chat_text_parts, chatml_parts
 from kbweave.operators.ordered_text import assemble, assemble_utf8
 from kbweave.plans.build import build_from_files
-from kbweave.sources.streams import DONE_LINE
+from kbweave.sources.streams import DONE_LINE, join_entries
+from kbweave.streaming import logs
 from kbweave.streaming.answers import stream_answers
 from kbweave.streaming.ingest import stream_into_kb, usable_files, watch_files
 
@@ -48,6 +49,31 @@ def test_ingest_restarts_without_copies(spark, tmp_path):
     assert sorted(r["source"] for r in kb.read(spark, path).collect()) == ["f0.txt", "f1.txt", "f2.txt"]
 
 
+def test_log_files_are_read_split_by_split(spark, tmp_path, monkeypatch):
+    """Entries keep their lines across splits, and no row holds more than a line."""
+    folder, blocks = tmp_path / "logs", []
+    folder.mkdir()
+    for f in range(2):
+        entries = [f"2024-01-0{f + 1} 10:00:00.{i:03d} E/error: m{f}-{i}\n  at a\n  at b" for i in range(40)]
+        (folder / f"{f}.log").write_text("\n".join(entries) + "\n")
+
+    def joined(lines, *names):
+        blocks.append(lines.select("file", "block").distinct().count())
+        assert lines.filter(F.instr("value", "\n") > 0).isEmpty()
+        return join_entries(lines, *names)
+
+    monkeypatch.setattr(logs, "join_entries", joined)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        logs.stream_logs(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "cp"), 1).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    found = sorted(r["message"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == sorted(f"m{f}-{i}\n  at a\n  at b" for f in range(2) for i in range(40))
+    assert len(blocks) == 2 and min(blocks) > 1
+
+
 def test_parts_hold_a_hot_key(spark):
     turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(50)] + [(2, 0, "user", "hello you")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
