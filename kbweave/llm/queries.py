@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import ann, decontam, html_extract, jaccard, pii, quality, sentencepiece, sharding, toxicity, warc
+from kbweave.llm import ann, collocations, decontam, html_extract, jaccard, line_dedup, pii, quality, resampling, sentencepiece, sharding, toxicity, warc
 from kbweave.llm.common import fold, spread
 from kbweave.plans.registry import Query, table
 from kbweave.session import scratch_path
@@ -163,3 +163,89 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op11_collocations",
+    """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0),
+runs AS (SELECT lang, unnest(list_transform(range(1, least(5, len(w) - i + 1) + 1), lambda m: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM starts),
+f AS (SELECT lang, phrase, string_split(phrase, ' ') AS p, count(*)::HUGEINT AS f FROM runs GROUP BY lang, phrase HAVING count(*) >= 100),
+cuts AS (SELECT lang, phrase, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.p, c.a, c.k, x.f AS l, y.f AS r, t.n, (1000 * c.a * t.n) // (x.f * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[c.k + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, f, array_to_string(p[s:s + m - 1], ' ') AS phrase FROM (
+    SELECT *, unnest(range(1, len(p) - m + 2)) AS s FROM (SELECT *, unnest(range(2, len(p))) AS m FROM f WHERE len(p) > 2))),
+most AS (SELECT lang, phrase, max(f) AS most FROM inner_parts GROUP BY lang, phrase),
+kept AS (SELECT l.* FROM lowest l LEFT JOIN most m ON m.lang = l.lang AND m.phrase = l.phrase WHERE m.most IS NULL OR 100 * m.most < 100 * l.a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+""",
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language."""
+    return collocations.collocations(spread(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
+@query(
+    "op12_line_dedup",
+    """
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+keyed AS (SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM split),
+common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT keyed.*, keeper IS NOT NULL AND doc_id <> keeper AS gone FROM keyed LEFT JOIN common USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a document of a larger id holds too, where at least five documents hold them."""
+    rows = line_dedup.dedup(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(
+    "op13_resampling",
+    """
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda x: x::UBIGINT)),
+      lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) AS v FROM range(256) r(i))),
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), text FROM benchmark),
+words AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+feats AS (SELECT side, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM words),
+counted AS (SELECT side, id, x, count(*) AS c FROM feats GROUP BY ALL),
+hexes AS (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT x FROM counted)),
+crcs AS (
+  SELECT x, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)),
+    lambda crc, b: xor(crc // 256, t[(xor(crc % 256, b) + 1)::BIGINT])), 4294967295::UBIGINT) % 10000 AS bucket FROM hexes, crc_table),
+hashed AS (SELECT side, id, bucket, sum(c)::BIGINT AS c FROM counted JOIN crcs USING (x) GROUP BY ALL),
+sums AS (SELECT bucket, sum(c) FILTER (side = 'd') AS s, sum(c) FILTER (side = 'b') AS t FROM hashed GROUP BY bucket),
+alls AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM sums),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (coalesce(s_all, 0)::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (coalesce(t_all, 0)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM sums, alls),
+sized AS (SELECT id AS doc_id, len(w) AS n_words, CASE WHEN len(w) > 0 THEN 2 * len(w) - 1 ELSE 0 END::BIGINT AS n_features FROM words WHERE side = 'd'),
+totals AS (SELECT id AS doc_id, sum(c * gain)::BIGINT AS total FROM hashed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+weighted AS (
+  SELECT doc_id, n_words, n_features, CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END::BIGINT AS weight,
+    ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM sized LEFT JOIN totals USING (doc_id)),
+scored AS (SELECT doc_id, n_words, n_features, weight, (weight + floor(-1000 * ln(-ln((h::DOUBLE + 0.5) / 4294967296)))::BIGINT)::BIGINT AS score FROM weighted),
+ranked AS (SELECT *, n_words >= 20 AS fit, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * n // 100 THEN place END::BIGINT AS rank FROM ranked
+""",
+)
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's words."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return resampling.resample(documents, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
