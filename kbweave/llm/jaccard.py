@@ -8,10 +8,10 @@ a whole long document and no task a whole group.
 * **Order**: shingles are counted by ``2^18`` hashed buckets over all documents, an array of fixed size. The order is (bucket
   count, hash). Any total order gives the same result; this one puts frequent shingles last.
 * **Candidates**: similar sets share a shingle in their prefixes, at positions that leave room for the overlap needed.
-* **Components without all pairs**: a posting list of up to ``SHORT_LIST`` nodes is compared in full, which is a bounded number of pairs a row. Of a longer
-  one the most central node (fewest rarer shingles) is the hub and is compared with the others. Members that are connected
-  need no further comparison. What is left, pairs of nodes of different components, is compared in full, so no link
-  between components is lost and a group of near copies costs about a row per member.
+* **Components without all pairs**: the most central node of a posting list (fewest rarer shingles) is its hub. In each round a node is
+  compared with the hubs that share most lists with it: one in the first round, twice as many in each that follows. Members that are connected
+  need no further comparison. What is left, pairs of nodes of different components that were not compared yet, is compared in full, so no
+  link between components is lost and a group of near copies costs about a pair per member.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbweave.llm.common import WordIds, bounded, text_batches, written
@@ -32,7 +32,6 @@ WIDTH = 1 << BITS
 BLOCK = 1 << 13
 FRAGMENTS = 16
 EARLY_FRAGMENTS = 2
-SHORT_LIST = 8
 HUB_ROUNDS = 4  # at most; another round follows only while each halves what is open
 _FACTORS = np.random.default_rng(20_011).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -278,25 +277,36 @@ def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
     return both.where(F.col("x.component") != F.col("y.component")).select("x", F.struct("y.node", "y.n", "y.pos", "y.component").alias("y"))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
+def _pairs(rows: DataFrame, done: DataFrame | None) -> DataFrame:
+    """``a, b, na, nb, lists`` of the pairs not in ``done``, the smaller name first, with the lists they share; ``asks`` is the node x."""
     swap = F.col("x.node") > F.col("y.node")
     pick = lambda name, low: F.when(swap == F.lit(low), F.col(f"y.{name}")).otherwise(F.col(f"x.{name}"))
-    return rows.select(pick("node", True).alias("a"), pick("node", False).alias("b"), pick("n", True).alias("na"), pick("n", False).alias("nb")).distinct()
+    found = rows.select(
+        F.col("x.node").alias("asks"), pick("node", True).alias("a"), pick("node", False).alias("b"), pick("n", True).alias("na"), pick("n", False).alias("nb")
+    )
+    found = found.groupBy("asks", "a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("lists"))
+    return found if done is None else found.join(done, ["a", "b"], "left_anti")
+
+
+def _closest(pairs: DataFrame, partners: int, turn: int) -> DataFrame:
+    """Of each asking node the pairs with the partners it shares most lists with."""
+    order = [F.col("lists").desc(), F.xxhash64("a", "b", F.lit(turn))]
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("asks").orderBy(*order))).where(F.col("place") <= partners)
 
 
 def _open_lists(shared: DataFrame, percent: int) -> DataFrame:
     """Posting lists that hold nodes of several components, without the nodes that no other of the list can be similar to.
 
     ``_room`` for a pair means that each one's ``slack`` covers ``percent`` times the other's size: a node needs a slack for the smallest
-    size in the list, and the list a slack for the node's size. ``long`` tells lists of more than ``SHORT_LIST`` nodes.
+    size in the list, and the list a slack for the node's size.
     """
     slack = F.expr(f"{100 + percent} * cast(n - pos as long) - {percent} * cast(n as long)")
     lists = shared.groupBy("shingle").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.max(_early(percent)).alias("early"),
-        F.max(slack).alias("most"), F.min("n").alias("least"), F.count("*").alias("size"),
+        F.max(slack).alias("most"), F.min("n").alias("least"),
     ).filter("low <> high and early")
-    both = shared.drop("long").join(lists, "shingle").where((slack >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n")))
-    return both.select("shingle", "node", "n", "pos", "component", (F.col("size") > SHORT_LIST).alias("long"))
+    both = shared.join(lists, "shingle").where((slack >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n")))
+    return both.select("shingle", "node", "n", "pos", "component")
 
 
 def linked_nodes(documents: DataFrame, base: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame | None:
@@ -309,17 +319,15 @@ def linked_nodes(documents: DataFrame, base: DataFrame, counts: np.ndarray, size
     shared = shared.groupBy("shingle", "node").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
     shared = written(_open_lists(shared.withColumn("component", F.col("node")), percent), "shared")
     lowest = base.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    links = parts = have = found = None
+    links = parts = have = found = done = None
     turn, before, now = 0, None, shared.count()
     while now:
-        if turn == 0:
-            short = _all_pairs(shared.where("not long"), percent).select("x", "y")
-            rows = short.unionByName(_hub_pairs(shared.where("long"), turn))
-        elif turn < HUB_ROUNDS and 2 * now < before:
-            rows = _hub_pairs(shared, turn)
+        last = turn == HUB_ROUNDS or before is not None and 2 * now >= before
+        if last:
+            chosen = _pairs(_all_pairs(shared, percent).where(_room("x", "y", percent)), done)
         else:
-            rows, turn = _all_pairs(shared, percent), HUB_ROUNDS
-        pairs = written(_pairs(rows.filter(_room("x", "y", percent))), "pairs")
+            chosen = _closest(_pairs(_hub_pairs(shared, turn).where(_room("x", "y", percent)), done), 1 << turn, turn)
+        pairs = written(chosen.select("a", "b", "na", "nb").distinct(), "pairs")
         # Segments of the nodes that are compared for the first time; few ids are broadcast, so the texts are not shuffled.
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if have is not None:
@@ -334,11 +342,11 @@ def linked_nodes(documents: DataFrame, base: DataFrame, counts: np.ndarray, size
         fresh = written(verified(pairs, parts, percent), "links")
         links = fresh if links is None else links.unionByName(fresh)
         found = components(links)
-        if turn == HUB_ROUNDS:
+        if last:
             break
-        named = shared.where("long").drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        before = shared.where("long").count()
-        shared = written(_open_lists(written(named, "named"), percent), "open").withColumn("long", F.lit(True))
+        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+        named = shared.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        before, shared = now, written(_open_lists(written(named, "named"), percent), "open")
         turn, now = turn + 1, shared.count()
     return found
 

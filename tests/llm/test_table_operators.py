@@ -327,3 +327,32 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     assert {r["doc_id"] for r in rows} == ids(seen[3][2]) and all(r["round_trip"] for r in rows)
     assert set(texts) >= {r["doc_id"] for r in rows}
+
+
+def near_copies(groups, size, words=60, edits=2, seed=3):
+    """Groups of texts that differ from their first one by a few words."""
+    rng = random.Random(seed)
+    rows = []
+    for group in range(groups):
+        base = [f"g{group}w{rng.randrange(10_000)}" for _ in range(words)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                own[rng.randrange(words)] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def test_pairs_grow_with_the_rows(spark, monkeypatch):
+    """Groups of 10, 50 and 250 near copies are compared in proportion to their rows."""
+    counts = {}
+    verified = jaccard.verified
+    for size in (10, 50, 250):
+        asked = []
+        monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+        rows = near_copies(500 // size, size)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        groups = jaccard.near_duplicates(docs, 4, 75).groupBy("component_id").count().collect()
+        assert max(r["count"] for r in groups) > size / 2
+        counts[size] = sum(asked)
+    assert counts[250] < 3 * len(rows) and counts[250] < 2 * counts[10] + len(rows), counts
