@@ -349,3 +349,32 @@ def test_op4_leaves_clean_text(spark):
             start = text.index(e["mention"], at)
             out, at = out + text[at:start] + e["surrogate"], start + len(e["mention"])
         assert row["text"] == out + text[at:]
+
+
+def test_surrogates_of_other_scripts(spark):
+    """Letters of any script move within it: nothing is left as it was, and one odd address costs no round."""
+    addresses = ["王伟明@例子网.公司", "żółć.łoś@żółw.pl", "արմեն@հայաստան.am", "محمدعلي@مثالنا.org", "กขคงจ@ฉชซฌ.th", "김철수@보기집.kr", "ÅngströmØ@Ærø.dk"]
+    names = ["Dr. Արմեն", "Dr. Žižek", "Dr. Łoś", "Mr. Ångström", "Dr. Ядвига"]
+    secrets = ["密码密码密码密码", "パスワードですよね", "пароль١٢٣٤٥"]
+    texts = [f"mail {m} now" for m in addresses] + [f"said {m} ." for m in names] + [f'password = "{m}"' for m in secrets]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.anonymize(docs, "key").collect()
+    found = {e["mention"]: e["surrogate"] for r in rows for e in r["entities"]}
+    assert set(found) == {*addresses, *names, *secrets} and len(set(found.values())) == len(found)
+    for mention, new in found.items():
+        assert len(new) == len(mention) and new != mention
+        letters = [(a, b) for a, b in zip(mention.rsplit(".", 1)[0] if "@" in mention else mention.split(" ")[-1], new) if a.isalpha()]
+        if "@" in mention or mention in secrets:
+            assert sum(a != b for a, b in letters) >= 0.6 * len(letters), (mention, new)
+        assert all(a.isupper() == b.isupper() and a.isalpha() == b.isalpha() for a, b in zip(mention, new)), (mention, new)
+        assert all(mention not in r["text"] for r in rows)
+    moved = pii.collisions(docs.limit(0).select(F.lit("x").alias("kind"), F.lit("x").alias("mention"), F.lit("x").alias("surrogate")), "key")
+    assert moved.count() == 0
+
+
+def test_a_name_never_stays(spark):
+    """Names whose letters have nowhere to go but back are replaced in another way."""
+    rows = [("person", "Dr. Smith", "Dr. Smith"), ("person", "Dr. Jones", "Dr. Marks")]
+    details = spark.createDataFrame(rows, "kind string, mention string, surrogate string")
+    moved = {r["mention"]: r["surrogate"] for r in pii.collisions(details, "key").collect()}
+    assert set(moved) == {"Dr. Smith"} and moved["Dr. Smith"] != "Dr. Smith"
