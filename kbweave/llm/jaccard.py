@@ -7,7 +7,9 @@ a whole long document and no task a whole group.
 * **Classes**: documents with equal sets are one node; copies cost one row each and no pair.
 * **Order**: shingles are counted by ``2^18`` hashed buckets over all documents, an array of fixed size. The order is (bucket
   count, hash). Any total order gives the same result; this one puts frequent shingles last.
-* **Candidates**: similar sets share a shingle in their prefixes, at positions that leave room for the overlap needed.
+* **Candidates**: similar sets share a shingle in their prefixes, at positions that leave room for the overlap needed. A pair is ruled out before its
+  fragments are sent if their bitmaps (some 8 bits a shingle) differ too much: a bit that one has and the other has not is a shingle
+  not shared, so no similar pair is lost.
 * **Components without all pairs**: the most central node of a posting list (fewest rarer shingles) is its hub. In each round a node is
   compared with the hubs that share most lists with it: one in the first round, twice as many in each that follows. Members that are connected
   need no further comparison. What is left, pairs of nodes of different components that were not compared yet, is compared in full, so no
@@ -161,8 +163,20 @@ def postings(documents: DataFrame, size: int, percent: int, rank: np.ndarray) ->
     return documents.mapInArrow(run, "shingle long, node long, n int, pos int")
 
 
+BITMAP = -1  # in place of a fragment's number
+
+
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """A set's bits, about 8 a shingle, in a number of words that is a power of two; folding its halves gives the one of half the size."""
+    words = 1 << max(0, (len(found) - 1).bit_length() - 3)
+    place = (found >> np.uint64(BITS)).astype(np.int64) & (64 * words - 1)
+    bits = np.zeros(64 * words, dtype=np.uint8)
+    bits[place] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def segments(texts: DataFrame, size: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``node, fragment, part``: each text's set cut at the pivots."""
+    """``node, fragment, part``: each text's set cut at the pivots, and its bitmap as fragment ``BITMAP``."""
     known = texts.sparkSession.sparkContext.broadcast(order[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +185,9 @@ def segments(texts: DataFrame, size: int, order: tuple[np.ndarray, np.ndarray])
             for found in sets:
                 if len(found):
                     node = _node(found)[0]
+                    nodes.append(node)
+                    cuts.append(BITMAP)
+                    parts.append(bitmap(found))
                     cut = known.value[(found & np.uint64(WIDTH - 1)).astype(np.int64)]
                     at = np.argsort(cut, kind="stable")
                     values, starts = np.unique(cut[at], return_index=True)
@@ -208,12 +225,28 @@ def _partial(pairs: DataFrame, parts: DataFrame, first: int, last: int) -> DataF
     return found.select("a", "b", total("common"), total("sa"), total("sb"))
 
 
+def _possible(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b, na, nb`` that their bitmaps do not rule out. Sizes of similar sets differ little, so one fold makes bitmaps equally long."""
+    bits = parts.where(F.col("fragment") == BITMAP).groupBy("node").agg(F.first("part").alias("bits"))
+    both = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
+    k = F.least(F.size("x"), F.size("y"))
+    folded = lambda v: F.when(
+        F.size(v) > k, F.zip_with(F.slice(v, F.lit(1), k), F.slice(v, k + 1, k), lambda p, q: p.bitwiseOR(q))
+    ).otherwise(F.col(v))
+    alone = lambda v, w: F.aggregate(F.zip_with(v, w, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, m: n + m)
+    both = both.where(F.greatest(F.size("x"), F.size("y")) <= 2 * k).select("a", "b", "na", "nb", folded("x").alias("x"), folded("y").alias("y"))
+    shared = F.least(F.col("na") - alone("x", "y"), F.col("nb") - alone("y", "x"))
+    return both.where((100 + percent) * shared.cast("long") >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb")
+
+
 def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Of ``a, b, na, nb`` the pairs that are similar: partial overlaps by fragment, summed a pair.
 
-    The first fragments alone rule out most pairs: what they share and all that is left of the smaller rest is
+    Bitmaps rule out most pairs, and the first fragments more of them: what they share and all that is left of the smaller rest is
     too little. Only pairs that can still reach the overlap have their other segments sent.
     """
+    if percent > 50:  # else similar sets may differ too much in size for one fold
+        pairs = written(_possible(pairs, parts, percent), "possible")
     early = _partial(pairs, parts, 0, EARLY_FRAGMENTS - 1)
     some = pairs.join(early, ["a", "b"], "left").na.fill(0, ["common", "sa", "sb"])
     reach = F.col("common") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))

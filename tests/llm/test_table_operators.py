@@ -356,3 +356,28 @@ def test_pairs_grow_with_the_rows(spark, monkeypatch):
         assert max(r["count"] for r in groups) > size / 2
         counts[size] = sum(asked)
     assert counts[250] < 3 * len(rows) and counts[250] < 2 * counts[10] + len(rows), counts
+
+
+def test_bitmaps_lose_no_pair(spark):
+    """The bound of folded bitmaps is never below the true overlap, and rules out pairs just below the threshold."""
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, size=4000, dtype=np.uint64)
+    rows, pairs, true = [], [], []
+    for i in range(300):
+        n = int(rng.integers(1, 900))
+        first = pool[rng.choice(4000, n, replace=False)]
+        own = rng.choice(n, int(n * rng.uniform(0.8, 1)), replace=False)
+        second = np.unique(np.concatenate([first[own], rng.integers(0, 1 << 63, size=int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)]))
+        first = np.unique(first)
+        for k, found in enumerate((first, second)):
+            rows.append((2 * i + k, jaccard.BITMAP, jaccard.bitmap(found).tolist()))
+        pairs.append((2 * i, 2 * i + 1, len(first), len(second)))
+        common = len(np.intersect1d(first, second))
+        true.append(100 * common >= 85 * (len(first) + len(second) - common))
+    parts = spark.createDataFrame(rows, "node long, fragment int, part array<long>")
+    left = {r["a"] // 2 for r in jaccard._possible(spark.createDataFrame(pairs, "a long, b long, na int, nb int"), parts, 85).collect()}
+    similar = {i for i, same in enumerate(true) if same}
+    assert similar <= left and len(left - similar) < 0.2 * (300 - len(similar)) and 30 < len(similar) < 270
+    whole = pool[:700]
+    small = jaccard.bitmap(whole[:500])
+    assert len(jaccard.bitmap(whole)) == 2 * len(small) == 128 and len(jaccard.bitmap(whole[:1])) == 1
