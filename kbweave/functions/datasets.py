@@ -308,6 +308,25 @@ def object_fields(text: Column) -> Column:
     return F.transform(F.array(fields), last_wins)[0]
 
 
+# --- one element of a dataset that is read in pieces -------------------------------
+
+
+def element_texts(element: Column, m: Column, kind: Column, any_size: Column, min_size: int) -> Column:
+    """``array<string>``: the texts of one element of a dataset of this format, as :func:`format_datasets` has them."""
+    sized = lambda value: F.when(any_size | (F.length(value) >= min_size), value)
+    left_over = (kind == "conversation") & m.isNotNull() & (conversation_kind(m) == "generic")
+    listed = F.concat(F.lit("["), element, F.lit("]"))
+    generic = F.get(generic_texts(F.when(kind == "generic", F.array(listed)).when(left_over, F.array(element)), min_size), F.lit(0))
+    one = (
+        F.when(kind == "alpaca", sized(alpaca_text(m)))
+        .when(kind == "cot", sized(cot_text(m)))
+        .when(kind == "dpo", sized(dpo_text(m)))
+        .when(kind == "conversation", conversation_text(m, min_size, any_size))
+    )
+    formatted = F.when(m.isNotNull() & one.isNotNull(), F.array(one))
+    return F.coalesce(formatted, generic, F.array().cast("array<string>"))
+
+
 # --- whole documents --------------------------------------------------------------
 
 

@@ -58,6 +58,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/kbweave/{label}-{uuid.uuid4().hex}"
 
 
+def written_below_scratch(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written once below the shared folder and read back: nothing before them is computed again."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; no job is started."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
