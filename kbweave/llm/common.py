@@ -55,8 +55,18 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     return texts.join(F.broadcast(ids), "doc_id")
 
 
+#: Caches of models that a worker process keeps from task to task. Workers outlive a stage; an operator without such a model lets them go.
+REMEMBERED: list = []
+
+
+def forget() -> None:
+    for cache in REMEMBERED:
+        cache.cache_clear()
+
+
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch with its ``text`` column as bytes; null reads as empty."""
+    forget()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
         yield batch, [value or b"" for value in column.to_pylist()]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbweave.functions.udfs import once
-from kbweave.llm.common import SAMPLE_ROWS, labelled_sample
+from kbweave.llm.common import SAMPLE_ROWS, forget, labelled_sample
 
 TRAIN_LINES = 200_000
 
@@ -222,6 +222,7 @@ def score_of(text: Column, field: Field) -> Column:
 
     @once("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         for batch in batches:
             raw = document_quality(field, [value or b"" for value in batch.cast(pa.binary()).to_pylist()])
             yield pa.array(1 / (1 + np.exp(-(field.slope * _logit(raw) + field.offset))), pa.float64())

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbweave.functions.udfs import once
+from kbweave.llm.common import REMEMBERED
 
 SPACE = "▁"
 CACHE = 1 << 17  # parts remembered in each of two generations
@@ -244,6 +245,9 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+REMEMBERED.extend([table, decoder])
+
+
 def encoded(text: Column, model_path: str) -> Column:
     """Ids of a text as ``array<int>``, without begin or end ids; null and empty texts have none."""
 
@@ -278,11 +282,31 @@ def decoded(ids: Column, model_path: str) -> Column:
     return decode(ids)
 
 
+def round_trip(text: Column, model_path: str) -> Column:
+    """``struct<ids, back>``: the ids of a text and what they decode to, by one worker a task."""
+
+    @once("struct<ids:array<int>,back:string>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, known = table(model_path), decoder(model_path)
+        for batch in texts:
+            ids, offsets, back = array("i"), [0], []
+            for value in batch.to_pylist():
+                own = encoder.encode(value or "")
+                ids.extend(own)
+                offsets.append(len(ids))
+                back.append(known.decode(own))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+            yield pa.StructArray.from_arrays([lists, pa.array(back, pa.string())], names=["ids", "back"])
+
+    return run(text)
+
+
 def tokenize(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
     """Add the ids of ``text`` and the text they decode to; all rows and columns stay, in any order.
 
     Null and empty texts get an empty list and an empty text. Existing columns with
     the names ``ids`` and ``back`` are replaced.
     """
-    out = df.withColumn(ids, encoded(F.col(text), model_path))
-    return out.withColumn(back, decoded(F.col(ids), model_path))
+    both = F.col("_sentencepiece")
+    out = df.withColumn("_sentencepiece", round_trip(F.col(text), model_path))
+    return out.withColumn(ids, both["ids"]).withColumn(back, both["back"]).drop("_sentencepiece")
