@@ -47,13 +47,24 @@ def full_endpoint(url: Column, provider: Column) -> Column:
     return full
 
 
+# Parts of the names of models that follow the setting.
+_FOLLOWING = ("bge", "bert", "sentence")
+
+
 def normalizes_embeddings(model: Column, configured: Column) -> Column:
     """BERT-like models follow the setting; all others are always normalised."""
     name = F.lower(model)
-    follows = name.rlike("bge|bert|sentence") & ~F.contains(name, F.lit("qwen"))
+    follows = name.rlike("|".join(_FOLLOWING)) & ~F.contains(name, F.lit("qwen"))
     return F.when(F.coalesce(follows, F.lit(False)), configured).otherwise(F.lit(True))
 
 
+def must_normalize(model: str | None, configured: bool) -> bool:
+    """:func:`normalizes_embeddings` of one model; without a name all vectors are normalised."""
+    name = (model or "").lower()
+    follows = any(part in name for part in _FOLLOWING) and "qwen" not in name
+    return configured if follows else True
+
+
 def expected_dimension(model: Column, hidden_size: Column) -> Column:
     """The configured hidden size, else a guess from the model's name."""
     name = F.lower(model)

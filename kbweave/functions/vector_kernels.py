@@ -363,15 +363,17 @@ def double_check(v: Column, key: Column, expected_dim: int = -1, above: float =
     return check(v, key)
 
 
-def settle_vector(v: Column, key: Column, expected_dim: int = -1, above: float = RANDOM_UNIT_SEVERITY) -> Column:
-    """Normalise, then double-check, in one pass through Python."""
+def settle_vector(
+    v: Column, key: Column, expected_dim: int = -1, above: float = RANDOM_UNIT_SEVERITY, normalize: bool = True
+) -> Column:
+    """Normalise if asked, then double-check, in one pass through Python."""
 
     @once("array<float>")
     def settle(vectors: pa.Array, keys: pa.Array) -> pa.Array:
         return _map_vectors(
             vectors,
             keys,
-            lambda x, k: double_check_matrix(as_stored(normalize_matrix(x, k)), k, expected_dim, above),
+            lambda x, k: double_check_matrix(as_stored(normalize_matrix(x, k)) if normalize else x, k, expected_dim, above),
         )
 
     return settle(v, key)

@@ -3,6 +3,12 @@
 A write replaces its own (collection, batch) partitions, so a build step or a
 streaming batch that runs twice after a failure leaves one copy.
 
+A reader sees a batch as a whole or not at all. While a write runs, and until its
+dimensions are checked, a marker in ``_pending`` hides its label. An overwrite is
+switched on by one folder in ``_commits``, which at once shows the new rows and hides the
+partitions they replace; those are deleted by the next write or by :func:`purge`, so
+readers that began before the switch finish on the old rows.
+
 A stored row's key is (collection, batch, row_id): the write numbers its rows, so
 notes, documents and repeated appends of the same documents share a table without
 clashes. ``id`` stays what the build called the row and may repeat.
@@ -12,12 +18,15 @@ from __future__ import annotations
 
 import re
 import uuid
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GUARD_BROADCAST_ROWS = 100_000
+HIDDEN_FILTERS = 1000
+PENDING, COMMITS, PURGED = "_pending", "_commits", "_purged"
 KB_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -28,6 +37,7 @@ KB_SCHEMA = T.StructType(
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("dimension", T.IntegerType()),
         T.StructField("row_id", T.LongType()),
+        T.StructField("model", T.StringType()),
         T.StructField("collection", T.StringType()),
         T.StructField("batch", T.StringType()),
     ]
@@ -76,6 +86,7 @@ def storable(rows: DataFrame) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, batch: str, rebalance: bool, max_records_per_file: int) -> None:
+    rows = rows if "model" in rows.columns else rows.withColumn("model", F.lit(None).cast("string"))
     stored = storable(rows).withColumns(
         {"batch": F.lit(batch), "dimension": F.size("embedding"), "row_id": F.monotonically_increasing_id()}
     ).select(*KB_SCHEMA.names)
@@ -95,13 +106,43 @@ def append(
 ) -> None:
     """Add rows under a batch label; the same label again replaces that batch's rows.
 
-    A row of another dimension than its collection already has fails the write, which then leaves nothing behind.
+    A row of another dimension than its collection already has fails the write, as do two dimensions in the rows of one collection; the
+    write then leaves nothing behind. Another model than the collection's own only warns.
 
     The write needs no shuffle. Where every task holds rows of many collections,
     ``rebalance`` shuffles them into fewer, even files; a collection that owns
     most rows is split over many tasks and small ones are joined.
     """
-    _write(guarded(rows, path, batch), path, batch, rebalance, max_records_per_file)
+    spark = rows.sparkSession
+    purge(spark, path)
+    _put(spark, path, PENDING, batch)
+    try:
+        _write(guarded(rows, path, batch), path, batch, rebalance, max_records_per_file)
+        _require_one_dimension(spark, path, batch, alone=False)
+    except Exception:
+        _remove_batch(spark, path, batch)
+        raise
+    finally:
+        _take(spark, path, PENDING, batch)
+
+
+def _require_one_dimension(spark: SparkSession, path: str, batch: str, alone: bool) -> None:
+    """Fail if the written rows, with the other ones of their collections unless ``alone``, have several dimensions; warn of several models.
+
+    Rows of writes that are still running count too: of two that began with different dimensions the later one fails.
+    """
+    everything = _stored(spark, path)
+    mine = everything.where(F.col("batch") == batch)
+    touched = everything.join(mine.select("collection").distinct(), "collection", "left_semi")
+    facts = (mine if alone else touched).groupBy("collection").agg(
+        F.min("dimension").alias("low"), F.max("dimension").alias("high"), F.min("model").alias("first"), F.max("model").alias("last")
+    )
+    found = facts.where("low <> high or first <> last").limit(20).collect()
+    for row in found:
+        if row["low"] != row["high"]:
+            raise ValueError(f"collection {row['collection']} has dimension {row['low']}, got {row['high']}")
+    for row in found:
+        warnings.warn(f"collection {row['collection']} holds vectors of {row['first']} and {row['last']}", stacklevel=3)
 
 
 def guarded(rows: DataFrame, path: str, batch: str) -> DataFrame:
@@ -114,7 +155,7 @@ def guarded(rows: DataFrame, path: str, batch: str) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return rows
-    known = read(spark, path).where(F.col("batch") != batch).groupBy("collection").agg(F.min("dimension").alias("_known"))
+    known = _stored(spark, path).where(F.col("batch") != batch).groupBy("collection").agg(F.min("dimension").alias("_known"))
     few = known.limit(GUARD_BROADCAST_ROWS + 1).count() <= GUARD_BROADCAST_ROWS
     joined = rows.join(F.broadcast(known) if few else known, "collection", "left")
     size = F.size("embedding")
@@ -130,30 +171,72 @@ def overwrite(
 ) -> str:
     """Replace each collection that occurs in ``rows``, keep the others; returns the new batch label.
 
-    The label is new each time, so it tells which collections this write touched.
+    The new rows are shown and the old ones hidden at one moment, for all collections together. A write that fails or dies before
+    that changes nothing for readers. The label is new each time, so it tells which collections this write touched.
     """
     spark = rows.sparkSession
+    purge(spark, path)
     batch = f"full-{uuid.uuid4().hex}"
-    _write(rows, path, batch, rebalance, max_records_per_file)
-    written = spark.read.schema(KB_SCHEMA).parquet(path).where(F.col("batch") == batch)
-    for row in written.select("collection").distinct().toLocalIterator():
-        _drop_other_batches(spark, path, row["collection"], batch)
+    _put(spark, path, PENDING, batch)
+    try:
+        _write(rows, path, batch, rebalance, max_records_per_file)
+        _require_one_dimension(spark, path, batch, alone=True)
+        everything = _stored(spark, path)
+        written = everything.where(F.col("batch") == batch).select("collection").distinct()
+        others = everything.where(F.col("batch") != batch).select("collection", "batch").distinct()
+        # One row a replaced partition, in one file: the folder's _SUCCESS is the switch.
+        others.join(written, "collection", "left_semi").coalesce(1).write.parquet(_below(spark, path, COMMITS, batch))
+    except Exception:
+        _remove_batch(spark, path, batch)
+        raise
+    finally:
+        _take(spark, path, PENDING, batch)
     return batch
 
 
-def _drop_other_batches(spark: SparkSession, path: str, collection: str, batch: str) -> None:
-    fs, folder = _folder(spark, path, collection)
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("batch=") and name != f"batch={_escaped(spark, batch)}":
-            fs.delete(status.getPath(), True)
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that are no longer or not yet replaced, those of running writes included."""
+    return _without_replaced(spark.read.schema(KB_SCHEMA).parquet(path), _commits(spark, path))
+
+
+def _without_replaced(rows: DataFrame, commits: dict[str, bool]) -> DataFrame:
+    spark = rows.sparkSession
+    folders = [folder for folder, purged in commits.items() if not purged]
+    if not folders:
+        return rows
+    hidden = spark.read.schema("collection string, batch string").parquet(*folders)
+    few = hidden.limit(HIDDEN_FILTERS + 1).collect()
+    if len(few) > HIDDEN_FILTERS:
+        return rows.join(hidden.distinct(), ["collection", "batch"], "left_anti")
+    for row in few:  # conditions on folders: what is hidden is not read
+        rows = rows.where((F.col("collection") != row["collection"]) | (F.col("batch") != row["batch"]))
+    return rows
 
 
 def read(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
-    kb = spark.read.schema(KB_SCHEMA).parquet(path)
+    """The rows as of the last finished writes."""
+    running = _names(spark, path, PENDING)  # before the commits: a write that ends in between is seen as a whole
+    commits = _commits(spark, path)
+    switched = {folder.rsplit("/", 1)[1] for folder in commits}
+    waiting = [_unescaped(spark, name) for name in running if name not in switched]
+    kb = _without_replaced(spark.read.schema(KB_SCHEMA).parquet(path), commits)
+    kb = kb.where(~F.col("batch").isin(waiting)) if waiting else kb
     return kb if collection is None else kb.where(F.col("collection") == collection)
 
 
+def purge(spark: SparkSession, path: str) -> int:
+    """Delete the partitions that finished overwrites have replaced; returns how many. Any write does this first."""
+    fs, _ = _fs(spark, path)
+    gone = 0
+    for folder, purged in _commits(spark, path).items():
+        if purged:
+            continue
+        for row in spark.read.schema("collection string, batch string").parquet(folder).toLocalIterator():
+            gone += bool(fs.delete(_batch_folder(spark, path, row["collection"], row["batch"]), True))
+        fs.create(spark._jvm.org.apache.hadoop.fs.Path(folder, PURGED), True).close()
+    return gone
+
+
 # --- folders ---------------------------------------------------------------------
 
 
@@ -161,6 +244,54 @@ def _escaped(spark: SparkSession, name: str) -> str:
     return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
 
 
+def _unescaped(spark: SparkSession, name: str) -> str:
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name)
+
+
+def _fs(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _below(spark: SparkSession, path: str, kind: str, label: str) -> str:
+    return f"{path.rstrip('/')}/{kind}/{_escaped(spark, label)}"
+
+
+def _put(spark: SparkSession, path: str, kind: str, label: str) -> None:
+    fs, marker = _fs(spark, _below(spark, path, kind, label))
+    fs.create(marker, True).close()
+
+
+def _take(spark: SparkSession, path: str, kind: str, label: str) -> None:
+    fs, marker = _fs(spark, _below(spark, path, kind, label))
+    fs.delete(marker, True)
+
+
+def _names(spark: SparkSession, path: str, kind: str) -> list[str]:
+    fs, folder = _fs(spark, f"{path.rstrip('/')}/{kind}")
+    return [status.getPath().getName() for status in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def _commits(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Folders of finished overwrites, and whether what they replaced is deleted."""
+    fs, _ = _fs(spark, path)
+    at = lambda folder, name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, name))
+    folders = [f"{path.rstrip('/')}/{COMMITS}/{name}" for name in _names(spark, path, COMMITS)]
+    return {folder: at(folder, PURGED) for folder in folders if at(folder, "_SUCCESS")}
+
+
+def _batch_folder(spark: SparkSession, path: str, collection: str, batch: str):
+    _, folder = _folder(spark, path, collection)
+    return spark._jvm.org.apache.hadoop.fs.Path(folder, f"batch={_escaped(spark, batch)}")
+
+
+def _remove_batch(spark: SparkSession, path: str, batch: str) -> None:
+    """Delete the partitions of a write that failed."""
+    fs, folder = _fs(spark, path)
+    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, f"collection=*/batch={_escaped(spark, batch)}")) or []:
+        fs.delete(status.getPath(), True)
+
+
 def _folder(spark: SparkSession, path: str, collection: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path, f"collection={_escaped(spark, collection)}")
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
@@ -168,6 +299,7 @@ def _folder(spark: SparkSession, path: str, collection: str):
 
 def rename(spark: SparkSession, path: str, old: str, new: str) -> bool:
     """Move a collection to a free name. The name is only in the folder, so no row is rewritten."""
+    purge(spark, path)
     fs, source = _folder(spark, path, old)
     _, target = _folder(spark, path, new)
     if not fs.exists(source) or fs.exists(target):
@@ -185,13 +317,46 @@ def validate(spark: SparkSession, path: str, collection: str) -> int:
     fs, folder = _folder(spark, path, collection)
     if not fs.exists(folder):
         raise ValueError(f"no collection {collection!r} below {path}")
-    present = set(spark.read.parquet(path).columns)
-    missing = [name for name in KB_SCHEMA.names if name not in present]
+    missing = _missing_columns(spark, path)
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}")
     return read(spark, path, collection).count()
 
 
+def _missing_columns(spark: SparkSession, path: str) -> list[str]:
+    present = set(spark.read.parquet(path).columns)
+    return [name for name in KB_SCHEMA.names if name not in present and name != "model"]
+
+
+def opening_checks(wanted: DataFrame, path: str) -> DataFrame:
+    """``collection, status, rows, unusable`` of each wanted ``collection`` before it is opened.
+
+    ``missing``: nothing stored under the name. ``empty``: no usable row. ``mixed dimensions``: a question can only meet some of them.
+    ``unusable`` counts rows without text, or whose vector has another length than the row says.
+    """
+    spark = wanted.sparkSession
+    missing = _missing_columns(spark, path)
+    if missing:
+        return wanted.select("collection", F.lit(f"columns missing: {', '.join(missing)}").alias("status"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("unusable"))
+    bad = (F.coalesce("content", F.lit("")) == "") | ~F.coalesce(F.size("embedding") == F.col("dimension"), F.lit(False)) | (F.size("embedding") <= 0)
+    facts = read(spark, path).groupBy("collection").agg(
+        F.count("*").alias("rows"), F.count_if(bad).alias("unusable"), F.min("dimension").alias("low"), F.max("dimension").alias("high")
+    )
+    status = (
+        F.when(F.col("rows").isNull(), "missing").when(F.col("unusable") == F.col("rows"), "empty")
+        .when(F.col("low") != F.col("high"), "mixed dimensions").otherwise("ok")
+    )
+    none = F.lit(0).cast("long")
+    return wanted.select("collection").join(facts, "collection", "left").select(
+        "collection", status.alias("status"), F.coalesce("rows", none).alias("rows"), F.coalesce("unusable", none).alias("unusable")
+    )
+
+
+def models_of(kb: DataFrame) -> DataFrame:
+    """``collection, embedding_model, rows``: the models a collection's vectors come from, in long form."""
+    return kb.groupBy("collection", F.col("model").alias("embedding_model")).agg(F.count("*").alias("rows"))
+
+
 # --- catalog ---------------------------------------------------------------------
 
 

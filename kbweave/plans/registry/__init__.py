@@ -36,6 +36,8 @@ def load_all() -> None:
         chat,
         datasets,
         kb,
+        measures,
+        pieces,
         retrieval,
         sources,
         streams,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kbweave.functions.datasets import broken_alpaca_items, close_truncated_array, is_json_content
 from kbweave.operators.chat import question_answer_pairs
-from kbweave.operators.datasets import dataset_stats, explode_datasets, route_texts
+from kbweave.operators.datasets import dataset_stats, explode_datasets, route_texts, unread_datasets
 from kbweave.operators import kb as kb_table
 from kbweave.plans.build import build_from_files
 from kbweave.plans.registry import query, table
@@ -201,21 +201,21 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "dataset_edges",
     f"""
-WITH {PAIRS_SQL}, sized AS (SELECT conv_id, turn, unnest([3, 1200]) AS n FROM pairs WHERE turn < 2)
+WITH {PAIRS_SQL}, sized AS (SELECT conv_id, turn, (3 + conv_id % 4)::INTEGER AS n, r FROM pairs)
 SELECT 'repeated_key' AS kind, conv_id, turn, 0 AS n, 1 AS texts, E'指令: x\\n\\n输出: ' || r AS first_text FROM pairs
 UNION ALL SELECT 'wide_blank', conv_id, turn, 0, 1, E'name: \u3000\n\nlist:\n- ' || q FROM pairs
-UNION ALL SELECT 'star', conv_id, turn, n, n, E'指令: STAR\n\n输出: a' FROM sized
+UNION ALL SELECT 'star', conv_id, turn, n, n, E'指令: STAR\n\n输出: ' || r[1] FROM sized
 """,
 )
 def dataset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last value of a repeated key, a field of U+3000, short STAR items in small and large sets."""
+    """The last value of a repeated key, a field of U+3000, sets of short STAR items."""
     pairs = _pairs(spark, sf_dir)
     quoted = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
     repeated = F.concat(F.lit('[{"instruction": "x", "output": "first", "output": '), quoted(F.col("r")), F.lit("}]"))
     wide = _json(name=F.lit("\u3000"), list=F.array("q"))
-    star = F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('{"instruction": "STAR", "output": "a"}'), F.col("n")), ","), F.lit("]"))
+    star = F.concat(F.lit("["), F.array_join(F.array_repeat(_json(instruction=F.lit("STAR"), output=F.left("r", F.lit(1))), F.col("n")), ","), F.lit("]"))
     texts = pairs.select("conv_id", "turn", F.lit(0).alias("n"), F.inline(_forms({"repeated_key": repeated, "wide_blank": wide})))
-    sized = pairs.where("turn < 2").select("conv_id", "turn", F.explode(F.array(F.lit(3), F.lit(1200))).alias("n"))
+    sized = pairs.select("conv_id", "turn", "r", (3 + F.col("conv_id") % 4).cast("int").alias("n"))
     texts = texts.unionByName(sized.select("conv_id", "turn", "n", F.lit("star").alias("kind"), star.alias("text")))
     found = explode_datasets(texts)
     return found.groupBy("kind", "conv_id", "turn", "n").agg(
@@ -223,6 +223,22 @@ def dataset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "unread_datasets",
+    f"""
+WITH {PAIRS_SQL}
+SELECT 'bare' AS kind, conv_id, turn, 'not valid JSON, nested too deeply, or a number too long' AS reason FROM pairs
+UNION ALL SELECT 'cut', conv_id, turn, 'not valid JSON, nested too deeply, or a number too long' FROM pairs
+""",
+)
+def unread_datasets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in brackets that are no JSON are listed with a reason; whole ones and plain texts are not."""
+    whole = _list(_json(instruction=F.col("q"), output=F.col("r")))
+    forms = {"whole": whole, "bare": F.concat(F.lit("[x "), F.col("q"), F.lit("]")), "cut": F.concat(F.left(whole, F.length(whole) - 3), F.lit("]")), "plain": F.col("r")}
+    texts = _pairs(spark, sf_dir).select("conv_id", "turn", F.inline(_forms(forms)))
+    return unread_datasets(texts).select("kind", "conv_id", "turn", "reason")
+
+
 @query(
     "broken_instruction_file",
     f"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kbweave.functions.udfs import once
 from kbweave.operators.answers import filter_log, level_rank
 from kbweave.plans.registry import query, table
-from kbweave.session import spread
+from kbweave.session import scratch_path, spread
 from kbweave.sources.files import extract_files, quarantine, scan_files, usable
 from kbweave.sources.office import A, P, R, REL, S, W
 from kbweave.sources.streams import format_log_line, join_entries, parse_log_lines
@@ -186,7 +186,18 @@ def file_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarantine(extract_files(document_files(spark, sf_dir)))
 
 
-@query("file_scan")
+@query(
+    "file_scan",
+    "SELECT source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, true AS folders, true AS named FROM documents GROUP BY source",
+)
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of the data folder by name and size."""
-    return scan_files(spark, sf_dir, "*.parquet").select("file_name", "length")
+    """Documents as files in a folder for each source, found again with their sizes, folders included."""
+    path = scratch_path(spark, "files")
+    documents = spread(table(spark, sf_dir, "documents").select("source", F.coalesce("text", F.lit("")).alias("value")))
+    documents.write.partitionBy("source").text(path)
+    files = scan_files(spark, path, "part-*")
+    source = F.regexp_extract("path", "/source=([^/]*)/[^/]*$", 1)
+    return files.groupBy(source.alias("source")).agg(
+        F.sum("length").alias("bytes"), F.bool_and(F.contains("path", F.lit("/source="))).alias("folders"),
+        F.bool_and(F.endswith("path", F.concat(F.lit("/"), F.col("file_name")))).alias("named"),
+    )

@@ -80,10 +80,16 @@ def stream_logs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "byte_pieces",
-    "SELECT conv_id * 1000 + turn AS response_id, 0::BIGINT AS part, text AS answer FROM conversations WHERE text <> ''",
+    """
+WITH c AS (
+  SELECT conv_id * 1000 + turn AS response_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i
+  FROM conversations WHERE text <> ''),
+p AS (SELECT *, sum(strlen(ch)) OVER (PARTITION BY response_id ORDER BY i) - strlen(ch) AS start FROM c)
+SELECT response_id, (start // 40)::BIGINT AS part, string_agg(ch, '' ORDER BY i) AS answer FROM p GROUP BY ALL
+""",
 )
 def byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers cut into pieces of five bytes, through the middle of characters, and joined again."""
+    """Answers cut into pieces of five bytes, through the middle of characters, and joined again in parts of eight pieces."""
     data = F.encode("text", "UTF-8")
     pieces = F.transform(
         F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / 5).cast("int")),
@@ -93,4 +99,4 @@ def byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     exploded = turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), F.posexplode(pieces).alias("seq", "bytes")
     )
-    return assemble_utf8(exploded, ["response_id"], "seq", "bytes", "answer", positions=1 << 20)
+    return assemble_utf8(exploded, ["response_id"], "seq", "bytes", "answer", positions=8)

@@ -101,12 +101,18 @@ def topk_label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "search_depth_zero",
-    "SELECT vec_id AS query_id, 0 AS rank, vec_id AS id, 0.0::DOUBLE AS similarity FROM embeddings WHERE false",
+    f"""
+WITH {CENTROIDS_SQL.format(where="")}
+SELECT query_id, 0::BIGINT AS hits_at_zero, count(*) FILTER (rank <= 2) AS hits_at_two FROM ranked GROUP BY query_id
+""",
 )
 def search_depth_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A depth of 0 switches retrieval off."""
-    embeddings = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
-    return search_topk(embeddings.withColumnRenamed("id", "query_id"), embeddings, 0)
+    """A depth of 0 switches retrieval off: no question has a hit, where it has two at a depth of 2."""
+    asked = _centroids(table(spark, sf_dir, "embeddings")).select("query_id")
+    hits = lambda k: centroid_search(spark, sf_dir, k).groupBy("query_id").agg(F.count("*").alias("n"))
+    both = asked.join(hits(0).withColumnRenamed("n", "zero"), "query_id", "left").join(hits(2).withColumnRenamed("n", "two"), "query_id", "left")
+    none = F.lit(0).cast("long")
+    return both.select("query_id", F.coalesce("zero", none).alias("hits_at_zero"), F.coalesce("two", none).alias("hits_at_two"))
 
 
 @query(

@@ -16,11 +16,11 @@ from kbweave.plans.build import embed_chunks
 
 
 def embed_questions(
-    questions: DataFrame, embedder: Callable[[Column], Column] = hash_embedding
+    questions: DataFrame, embedder: Callable[[Column], Column] = hash_embedding, model: str | None = None, normalize: bool = True
 ) -> DataFrame:
-    """Add the question vector, normalised and double-checked like the stored ones."""
+    """Add the question vector, normalised (as its model wants it) and double-checked like the stored ones."""
     keyed = questions.withColumn("_key", F.xxhash64("query_id"))
-    return embed_chunks(keyed, content="question", key="_key", embedder=embedder).drop("_key")
+    return embed_chunks(keyed, content="question", key="_key", embedder=embedder, model=model, normalize=normalize).drop("_key")
 
 
 def retrieve(

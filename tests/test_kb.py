@@ -171,3 +171,89 @@ def test_requests_keep_blank_lines(spark):
     bodies = {r["query_id"]: json.loads(r["body"]) for r in request_table(prompts, F.lit("m"), F.lit("http://x")).collect()}
     assert bodies[1]["messages"] == [{"role": "user", "content": "a\n\nb"}]
     assert bodies[2]["messages"] == [{"role": "system", "content": "sys"}, {"role": "user", "content": "a\n\nb"}]
+
+
+def other(spark, entries, model="m"):
+    return rows(spark, entries).withColumn("model", F.lit(model))
+
+
+def test_overwrite_is_seen_as_a_whole(spark, tmp_path, monkeypatch):
+    """Readers see the old rows of all collections until the switch, the new ones after it, and never both or neither."""
+    path = str(tmp_path / "kb")
+    kb.overwrite(rows(spark, BASE), path)
+    kb.append(rows(spark, [(4, "a", "four", "f", [4.0]), (5, "c", "five", "f", [5.0])]), path, "more")
+    before, seen = kb.read(spark, path), []
+    check = kb._require_one_dimension
+    monkeypatch.setattr(kb, "_require_one_dimension", lambda *a, **b: seen.append(ids(kb.read(spark, path))) or check(*a, **b))
+    label = kb.overwrite(rows(spark, [(6, "a", "six", "f", [6.0]), (7, "b/c", "seven", "f", [7.0])]), path)
+    assert seen == [[1, 2, 3, 4, 5]]
+    assert ids(kb.read(spark, path)) == [5, 6, 7] and ids(before) == [1, 2, 3, 4, 5]  # a reader from before ends on the old rows
+    assert kb.purge(spark, path) == 3 and kb.purge(spark, path) == 0
+    assert ids(kb.read(spark, path)) == [5, 6, 7]
+    kb.append(rows(spark, [(8, "a", "eight", "f", [8.0])]), path, "more")  # a label whose rows were replaced can be used again
+    assert ids(kb.read(spark, path, "a")) == [6, 8] and ids(kb.read(spark, path)) == [5, 6, 7, 8]
+    assert {r["batch"] for r in kb.read(spark, path, "b/c").collect()} == {label}
+
+
+def test_writes_that_die_change_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "kb")
+    kb.overwrite(rows(spark, BASE), path)
+    for step in ("_require_one_dimension", "_write"):
+        with monkeypatch.context() as patch:
+            patch.setattr(kb, step, lambda *a, **b: (_ for _ in ()).throw(RuntimeError("lost")))
+            patch.setattr(kb, "_remove_batch", lambda *a: None)  # as if the driver died
+            patch.setattr(kb, "_take", lambda *a: None)
+            with pytest.raises(RuntimeError):
+                kb.overwrite(rows(spark, [(9, "a", "nine", "f", [9.0])]), path)
+            with pytest.raises(RuntimeError):
+                kb.append(rows(spark, [(9, "a", "nine", "f", [9.0])]), path, f"dead {step}/x")
+        assert ids(kb.read(spark, path)) == [1, 2, 3]
+    kb.append(rows(spark, [(4, "a", "four", "f", [4.0])]), path, "dead _write/x")  # the same label again
+    assert ids(kb.read(spark, path)) == [1, 2, 3, 4]
+
+
+def test_many_replaced_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kb, "HIDDEN_FILTERS", 2)
+    path = str(tmp_path / "kb")
+    kb.overwrite(rows(spark, [(i, f"c{i}", "t", "f", [1.0]) for i in range(6)]), path)
+    kb.overwrite(rows(spark, [(10 + i, f"c{i}", "t", "f", [1.0]) for i in range(5)]), path)
+    assert ids(kb.read(spark, path)) == [5, 10, 11, 12, 13, 14]
+    assert kb.rename(spark, path, "c0", "d") and ids(kb.read(spark, path)) == [5, 10, 11, 12, 13, 14]
+
+
+def test_one_dimension_within_a_write(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    mixed = [(1, "n", "t", "f", [1.0]), (2, "n", "t", "f", [1.0, 2.0])]
+    for write in (lambda: kb.append(rows(spark, mixed), path, "x"), lambda: kb.overwrite(rows(spark, mixed), path)):
+        with pytest.raises(ValueError, match="collection n has dimension 1, got 2"):
+            write()
+    kb.append(rows(spark, BASE), path, "y")
+    assert ids(kb.read(spark, path)) == [1, 2, 3]
+
+
+def test_another_model_warns(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    kb.append(other(spark, BASE, "one"), path, "a")
+    with pytest.warns(UserWarning, match="collection a holds vectors of one and two"):
+        kb.append(other(spark, [(4, "a", "t", "f", [1.0])], "two"), path, "b")
+    models = {(r["collection"], r["embedding_model"]): r["rows"] for r in kb.models_of(kb.read(spark, path)).collect()}
+    assert models == {("a", "one"): 2, ("a", "two"): 1, ("b/c", "one"): 1}
+
+
+def test_opening_checks(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    kb.overwrite(rows(spark, BASE), path)
+    wanted = spark.createDataFrame([("a",), ("gone",)], "collection string")
+    assert sorted(tuple(r) for r in kb.opening_checks(wanted, path).collect()) == [("a", "ok", 2, 0), ("gone", "missing", 0, 0)]
+    old = str(tmp_path / "old")
+    rows(spark, BASE).withColumn("batch", F.lit("b")).write.partitionBy("collection", "batch").parquet(old)
+    assert "dimension" in kb.opening_checks(wanted, old).first()["status"]
+
+
+def test_vectors_of_models_that_follow_the_setting(spark):
+    docs = spark.createDataFrame([(1, "some words to embed here")], "doc_id long, text string")
+    norm = lambda **options: sum(x * x for x in build_from_texts(docs, **options).first()["embedding"]) ** 0.5
+    assert norm() == pytest.approx(1, abs=1e-5) and norm(model="Qwen3-bge", normalize=False) == pytest.approx(1, abs=1e-5)
+    assert norm(model="bge-small", normalize=True) == pytest.approx(1, abs=1e-5)
+    assert abs(norm(model="bge-small", normalize=False) - 1) > 0.05
+    assert build_from_texts(docs, model="bge-small").first()["model"] == "bge-small"
