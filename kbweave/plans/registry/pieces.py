@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kbweave.operators.datasets import format_elements
 from kbweave.operators.hash_tables import TableSpec, index_kb, looked_at, read_tables, search_tables, write_tables
+from kbweave.operators.pruned_search import search_cells, write_cells
 from kbweave.operators.search import search_topk
 from kbweave.plans.registry import query, table
 from kbweave.plans.registry.datasets import PAIRS_SQL, _json, _pairs
@@ -154,6 +155,16 @@ def vector_topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recall(search_topk(asked, kb, 20), near, ["id"])
 
 
+@query("vector_topk_pruned", _TOPK_SQL)
+def vector_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact search over cells with balls, which leaves out the cells that cannot hold a hit."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    rows = embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    path = scratch_path(spark, "cells")
+    write_cells(rows, path, rows_per_cell=max(32, rows.count() // 64))
+    return search_cells(_centroids(embeddings), path, rows, 20).hits
+
+
 def _recall(exact: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
     found = exact.join(near.select("query_id", *keys, F.col("similarity").alias("_near")), ["query_id", *keys], "left")
     hit = F.col("_near").isNotNull()
