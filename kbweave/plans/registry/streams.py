@@ -12,9 +12,11 @@ from kbweave.plans.registry import query, table
 from kbweave.plans.registry.chat import ANSWERS_SQL, captured_lines
 from kbweave.plans.registry.sources import _LOG_SQL, log_lines
 from kbweave.session import scratch_path
+from kbweave.sources.streams import sse_content, sse_line
 from kbweave.streaming.answers import stream_answers
 from kbweave.streaming.ingest import stream_into_kb
 from kbweave.streaming.logs import stream_logs
+from kbweave.streaming.revisions import rocksdb_state, stream_revisions
 
 _FILES = 4
 
@@ -42,6 +44,29 @@ def stream_answers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finish(stream_answers(stream, timeout_ms=None), path)
 
 
+@query(
+    "stream_revisions",
+    f"""
+WITH told AS ({ANSWERS_SQL})
+SELECT *, 1 AS revision, true AS complete FROM told
+UNION ALL SELECT response_id, part, '>' || answer, 2, true FROM told WHERE response_id % 5 = 0 AND part = 0
+""",
+)
+def stream_revisions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines, then the first lines of two in five responses once more: changed ones give a second revision, equal ones nothing."""
+    path = scratch_path(spark, "revisions")
+    lines = captured_lines(spark, sf_dir)
+    first = lines.where((F.col("seq") == 0) & (F.col("response_id") % 5 < 2))
+    changed = sse_line(F.concat(F.lit(">"), F.coalesce(sse_content(F.col("value")), F.lit(""))))
+    again = first.withColumn("value", F.when(F.col("response_id") % 5 == 0, changed).otherwise(F.col("value")))
+    for number, part in enumerate((lines, again)):
+        part.repartition(_FILES).write.parquet(f"{path}/in/{number}")
+        stream = stream_revisions(spark.readStream.schema(lines.schema).parquet(f"{path}/in/*"))
+        with rocksdb_state(spark):
+            found = _finish(stream, path)
+    return found
+
+
 @query(
     "stream_ingest",
     """
