@@ -184,7 +184,7 @@ SELECT count(*) AS wanted, true AS enough, true AS similar FROM hits
 def kb_near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions to a stored knowledge base through hash tables of it, against the exact search."""
     kb = stored_kb(spark, sf_dir)
-    spec = TableSpec(rows_per_bucket=max(64, kb.count() // 256))
+    spec = TableSpec(tables=2, rows_per_bucket=max(64, kb.count() // 256))  # each table is a copy of the vectors
     path = scratch_path(spark, "kb-tables")
     write_tables(kb.select("id", "collection", "batch", "row_id", "embedding"), path, spec)
     tables = read_tables(spark, path, kb)
