@@ -25,19 +25,22 @@ class _Answer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pieces = handle.getMapState("pieces", "seq long", "piece string", self.keep_ms)
-        self.told = handle.getValueState("told", "end long, revision int, said string, waits boolean", self.keep_ms)
+        # One value a part, read and written once a batch: a part has at most ``positions`` pieces.
+        self.held = handle.getValueState("held", "seqs array<long>, pieces array<string>, end long, revision int, said string, waits boolean", self.keep_ms)
 
-    def _state(self) -> tuple[int, int, str, bool]:
-        held = self.told.get() if self.told.exists() else None
-        return tuple(held) if held is not None else (-1, 0, "", False)
+    def _state(self) -> tuple[dict[int, str], int, int, str, bool]:
+        held = self.held.get() if self.held.exists() else None
+        return ({}, -1, 0, "", False) if held is None else (dict(zip(held[0], held[1])), *tuple(held)[2:])
 
-    def _answer(self, key, end: int, revision: int, said: str, wanted: bool) -> tuple[Row | None, int, str]:
+    def _keep(self, pieces: dict[int, str], *rest) -> None:
+        seqs = sorted(pieces)
+        self.held.update((seqs, [pieces[s] for s in seqs], *rest))
+
+    def _answer(self, key, pieces: dict[int, str], end: int, revision: int, said: str, wanted: bool) -> tuple[Row | None, int, str]:
         """The next revision if there is anything new to tell: whole parts always, others only if ``wanted``."""
         first = key[1] * self.positions
         expected = end - first + 1 if end >= 0 else self.positions
-        held = sorted((s[0], p[0]) for s, p in self.pieces.iterator())
-        held = [(s, p) for s, p in held if s < first + expected]
+        held = [(s, p) for s, p in sorted(pieces.items()) if s < first + expected]
         complete = len(held) >= expected
         text = "".join(p for _, p in held)
         mark = hashlib.sha256(f"{complete}{text}".encode()).hexdigest()
@@ -47,23 +50,23 @@ class _Answer(StatefulProcessor):
         return row, revision + 1, mark
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        end, revision, said, waits = self._state()
+        pieces, end, revision, said, waits = self._state()
         for row in rows:
-            self.pieces.updateValue((row["seq"],), (row["piece"],))
+            pieces[row["seq"]] = row["piece"]
             if row["done"]:
                 end = row["seq"] if end < 0 else min(end, row["seq"])
-        row, revision, said = self._answer(key, end, revision, said, wanted=False)
+        row, revision, said = self._answer(key, pieces, end, revision, said, wanted=False)
         if row is None and revision == 0 and self.timeout_ms is not None and not waits:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
             waits = True
-        self.told.update((end, revision, said, waits))
+        self._keep(pieces, end, revision, said, waits)
         if row is not None:
             yield row
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        end, revision, said, _ = self._state()
-        row, revision, said = self._answer(key, end, revision, said, wanted=True)
-        self.told.update((end, revision, said, False))
+        pieces, end, revision, said, _ = self._state()
+        row, revision, said = self._answer(key, pieces, end, revision, said, wanted=True)
+        self._keep(pieces, end, revision, said, False)
         if row is not None:
             yield row
 
@@ -99,7 +102,7 @@ def stream_revisions(
 
 @contextlib.contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Queries that start within it keep their state in RocksDB, which map states and timers need."""
+    """Queries that start within it keep their state in RocksDB, which this kind of state and timers need."""
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
