@@ -80,7 +80,7 @@ def dataset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
     path = scratch_path(spark, "arrays")
     _as_arrays(spread(pairs).select(_json(instruction=F.col("q"), output=F.col("r"))), path)
-    with _splits(spark, table(spark, sf_dir, "conversations"), 16 << 10):
+    with _splits(spark, table(spark, sf_dir, "conversations"), 64 << 10):
         found = format_elements(read_elements(spark, path))
         target = scratch_path(spark, "formatted")
         found.write.parquet(target)
