@@ -201,21 +201,23 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "dataset_edges",
     f"""
-WITH {PAIRS_SQL}, sized AS (SELECT conv_id, turn, (3 + conv_id % 4)::INTEGER AS n, r FROM pairs)
+WITH {PAIRS_SQL}, sized AS (SELECT conv_id, turn, unnest([3 + conv_id % 4, 1200])::INTEGER AS n, r FROM pairs)
 SELECT 'repeated_key' AS kind, conv_id, turn, 0 AS n, 1 AS texts, E'指令: x\\n\\n输出: ' || r AS first_text FROM pairs
 UNION ALL SELECT 'wide_blank', conv_id, turn, 0, 1, E'name: \u3000\n\nlist:\n- ' || q FROM pairs
 UNION ALL SELECT 'star', conv_id, turn, n, n, E'指令: STAR\n\n输出: ' || r[1] FROM sized
 """,
 )
 def dataset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last value of a repeated key, a field of U+3000, sets of short STAR items."""
+    """The last value of a repeated key, a field of U+3000, short STAR items in small and large sets of every pair."""
     pairs = _pairs(spark, sf_dir)
     quoted = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
     repeated = F.concat(F.lit('[{"instruction": "x", "output": "first", "output": '), quoted(F.col("r")), F.lit("}]"))
     wide = _json(name=F.lit("\u3000"), list=F.array("q"))
     star = F.concat(F.lit("["), F.array_join(F.array_repeat(_json(instruction=F.lit("STAR"), output=F.left("r", F.lit(1))), F.col("n")), ","), F.lit("]"))
     texts = pairs.select("conv_id", "turn", F.lit(0).alias("n"), F.inline(_forms({"repeated_key": repeated, "wide_blank": wide})))
-    sized = pairs.select("conv_id", "turn", "r", (3 + F.col("conv_id") % 4).cast("int").alias("n"))
+    sized = pairs.select("conv_id", "turn", "r", F.explode(F.array((3 + F.col("conv_id") % 4).cast("int"), F.lit(1200))).alias("n"))
+    # A large set is much work from a short row: dealt out by rows, since tasks of even bytes would be few.
+    sized = sized.repartition(4 * spark.sparkContext.defaultParallelism)
     texts = texts.unionByName(sized.select("conv_id", "turn", "n", F.lit("star").alias("kind"), star.alias("text")))
     found = explode_datasets(texts)
     return found.groupBy("kind", "conv_id", "turn", "n").agg(

@@ -7,6 +7,7 @@ from kbweave.functions.chat import chatml
 from kbweave.functions.datasets import broken_alpaca_items, close_truncated_array, is_json_content
 from kbweave.operators.datasets import explode_datasets, route_texts
 from kbweave.operators.prompts import build_prompts, split_prompt
+from kbweave.plans.registry.datasets import dataset_edges
 
 
 def texts(spark, document, **options):
@@ -129,3 +130,10 @@ def test_prompts(spark):
     assert got[1] == "The following is information related to the question:\nDocument2:\ntwo\n\nDocument3:\nthree\n\nq1"
     split = asked.select(split_prompt(F.lit(" s \n\nu\n\nv ")).alias("s")).first()["s"]
     assert (split["system"], split["user"]) == ("s", "u\n\nv")
+
+
+def test_dataset_edges_takes_large_sets_of_every_pair(spark, tmp_path):
+    rows = [(7, t, "user" if t % 2 == 0 else "assistant", f"text {t}") for t in range(6)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = dataset_edges(spark, str(tmp_path)).where("kind = 'star'").select("turn", "n", "texts", "first_text").collect()
+    assert sorted(map(tuple, found)) == [(t, n, n, "指令: STAR\n\n输出: t") for t in (1, 3, 5) for n in (6, 1200)]
