@@ -30,6 +30,7 @@ from kbweave.llm.common import let, written
 
 ROUNDS = 6
 WALKS = 16  # rounds within the shape of a mention; after them its surrogate grows
+LISTED_WALKS = 2  # rounds in which a listed name moves within its list, which may be full of real names
 
 _DIGITS = "0123456789"
 _HEX = "0123456789abcdef"
@@ -217,8 +218,8 @@ def _names(key: str) -> tuple[Column, Column]:
     return F.split(F.lit(" ".join(old)), " "), F.split(F.lit(" ".join(new)), " ")
 
 
-def _segments(m: Column, kind: Column, key: str) -> Column:
-    """The pieces of a mention that are respelled each on its own."""
+def _segments(m: Column, kind: Column, key: str, listed_names: bool = True) -> Column:
+    """The pieces of a mention that are respelled each on its own; without ``listed_names`` known first names are, like any other."""
     domain = F.substring_index(m, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
@@ -227,7 +228,7 @@ def _segments(m: Column, kind: Column, key: str) -> Column:
     old, new = _names(key)
 
     def word(w: Column, i: Column) -> Column:
-        listed = F.get(new, F.array_position(old, w).cast("int") - 1)
+        listed = F.get(new, F.array_position(old, w).cast("int") - 1) if listed_names else F.lit(None).cast("string")
         text = F.concat(F.when(i > 0, " ").otherwise(""), F.coalesce(listed, w))
         return F.struct(F.lit("name").alias("part"), text.alias("text"), F.when(listed.isNotNull() | w.rlike(f"^{_TITLE}$"), 0).otherwise(NAME).alias("alphabets"), F.lit("").alias("tweak"))
 
@@ -269,10 +270,10 @@ def kind_of(m: Column) -> Column:
     return out.when(m.rlike(rf"^(?:{_TITLE}|{_KNOWN}) \p{{Lu}}"), "person").otherwise("secret")
 
 
-def surrogate(m: Column, kind: Column, key: str) -> Column:
+def surrogate(m: Column, kind: Column, key: str, listed_names: bool = True) -> Column:
     """The keyed replacement of a mention: one expression for the pieces of all kinds, so that plans stay small."""
     piece = lambda s: F.when(s["alphabets"] == 0, s["text"]).otherwise(respelled(s["text"], s["alphabets"], s["tweak"], key, s["part"]))
-    spelled = F.array_join(F.transform(_segments(m, kind, key), piece), "")
+    spelled = F.array_join(F.transform(_segments(m, kind, key, listed_names), piece), "")
     return F.when(kind == "ipv4", _ipv4(m, key)).otherwise(let(spelled, lambda new: F.when(kind == "card", _card(m, new)).otherwise(new)))
 
 
@@ -295,7 +296,7 @@ def _detailed(found: Column, key: str) -> Column:
 
 def _walked(m: Column, kind: Column, key: str, step: int) -> Column:
     """Another surrogate of a mention: a permutation of its own each step. One whose shape has no room left grows by digits, a secret becomes a hash."""
-    out = surrogate(m, kind, f"{key}\0{step}")
+    out = surrogate(m, kind, f"{key}\0{step}", step <= LISTED_WALKS)
     own = F.concat_ws("|", _seed(key, f"grown{step}"), kind, entity(m, kind))
     if step > WALKS:
         places = min(2 * (step - WALKS), 18)
@@ -307,13 +308,11 @@ def _walked(m: Column, kind: Column, key: str, step: int) -> Column:
 def collisions(details: DataFrame, key: str) -> DataFrame:
     """``kind, mention, surrogate`` of the mentions whose surrogate is a real entity or another entity's, with the surrogate they get instead.
 
-    ``details`` holds ``kind, mention, surrogate`` of all mentions. Names move within lists of real names on purpose: a name is only checked against
-    itself. Of several entities with one surrogate the least keeps it. Rounds go on until no mention is left.
+    ``details`` holds ``kind, mention, surrogate`` of all mentions, names included. Of several entities with one surrogate the least keeps it.
+    Rounds go on until no mention is left.
     """
     rows = details.distinct()
     rows = rows.select("kind", "mention", "surrogate", entity(F.col("mention"), F.col("kind")).alias("entity"), entity(F.col("surrogate"), F.col("kind")).alias("target"))
-    same_names = rows.filter("kind = 'person' and entity = target").select("kind", "mention", "surrogate", "entity")
-    rows = rows.filter("kind <> 'person'")
     both = F.array(F.struct(F.col("entity").alias("value"), F.lit(None).cast("string").alias("owner")), F.struct(F.col("target").alias("value"), F.col("entity").alias("owner")))
     used = rows.select("kind", F.explode(both).alias("u")).select("kind", "u.*").groupBy("kind", "value").agg(
         F.min("owner").alias("keep"), F.max("owner").alias("last"), F.max(F.col("owner").isNull()).alias("real")
@@ -321,7 +320,7 @@ def collisions(details: DataFrame, key: str) -> DataFrame:
     used = written(used, "used")
     clash = used.filter("keep is not null and (real or keep <> last)").select("kind", F.col("value").alias("target"), "keep", "real")
     taken = rows.join(clash, ["kind", "target"]).filter("real or entity <> keep").select("kind", "mention", "surrogate", "entity")
-    open_ = written(taken.unionByName(same_names), "taken")
+    open_ = written(taken, "taken")
     given = used.select("kind", F.col("value").alias("target"))
     done = open_.limit(0)
     step = 0
@@ -330,7 +329,7 @@ def collisions(details: DataFrame, key: str) -> DataFrame:
         moved = open_.withColumn("surrogate", _walked(F.col("mention"), F.col("kind"), key, step))
         moved = written(moved.withColumn("target", entity(F.col("surrogate"), F.col("kind"))), "walked")
         asked = moved.groupBy("kind", "target").agg(F.min("entity").alias("entity"))
-        free = asked.filter("kind <> 'person' or entity <> target").join(given.join(asked, ["kind", "target"], "left_semi"), ["kind", "target"], "left_anti")
+        free = asked.join(given.join(asked, ["kind", "target"], "left_semi"), ["kind", "target"], "left_anti")
         settled = written(moved.join(free, ["kind", "target", "entity"], "left_semi"), "settled")
         given = given.unionByName(settled.select("kind", "target"))
         done = done.unionByName(settled.drop("target"))

@@ -378,3 +378,15 @@ def test_a_name_never_stays(spark):
     details = spark.createDataFrame(rows, "kind string, mention string, surrogate string")
     moved = {r["mention"]: r["surrogate"] for r in pii.collisions(details, "key").collect()}
     assert set(moved) == {"Dr. Smith"} and moved["Dr. Smith"] != "Dr. Smith"
+
+
+def test_names_are_checked_like_other_kinds(spark):
+    """A list of first names that are all real, and a name whose surrogate another entity has: no person gets the name of another one."""
+    names = [f"Dr. {name}" for name in pii.NAMES["male_cyrillic"]]
+    docs = spark.createDataFrame([(i, f"said {m} .") for i, m in enumerate(names)], "doc_id long, text string")
+    found = {e["mention"]: e["surrogate"] for r in pii.anonymize(docs, "key").collect() for e in r["entities"]}
+    assert set(found) == set(names) and len(set(found.values())) == len(names) and not set(found.values()) & set(names)
+    rows = [("person", "Dr. Smith", "Dr. Marks"), ("person", "Dr. Jones", "Dr. Marks"), ("person", "Dr. Brown", "Dr. Jones")]
+    details = spark.createDataFrame(rows, "kind string, mention string, surrogate string")
+    moved = {r["mention"]: r["surrogate"] for r in pii.collisions(details, "key").collect()}
+    assert set(moved) == {"Dr. Smith", "Dr. Brown"} and not set(moved.values()) & {"Dr. Smith", "Dr. Marks", "Dr. Jones", "Dr. Brown"}
