@@ -26,11 +26,12 @@ from pyspark.sql import types as T
 from kbweave.functions.udfs import once
 from kbweave.functions.vector_kernels import lengths_of
 from kbweave.operators.search import MAX_BROADCAST_BYTES, ROW_KEYS, TopK, _attached, _best_overall, _dense, _unit_rows, search_topk
-from kbweave.session import estimated_scan_tasks, scratch_path
+from kbweave.session import bounded, estimated_scan_tasks, scratch_path, written_below_scratch
 
 FOLDER = "_hash_tables"
 MAX_BITS = 12
 SAMPLE_ROWS = 20_000
+BROADCAST_BATCHES = 100_000
 PLACES = ["batch", "dimension", "bits", "hash_table", "bucket"]
 
 
@@ -106,19 +107,25 @@ def _bucket_numbers(vector: Column, bits: Column, spec: TableSpec) -> Column:
     return numbers(vector, bits)
 
 
+def bucketed(rows: DataFrame, spec: TableSpec = TableSpec(), vector: str = "embedding") -> DataFrame:
+    """The rows with the ``dimension`` and ``bits`` of their batch and ``_buckets``, one number a table."""
+    sized = rows.withColumn("dimension", F.size(vector)).where("dimension > 0")
+    counts = sized.groupBy("batch", "dimension").agg(F.count("*").alias("_rows"))
+    wanted = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("_rows") / spec.rows_per_bucket))).cast("int")
+    counts = counts.select("batch", "dimension", F.least(wanted, F.lit(MAX_BITS), F.col("dimension")).alias("bits"))
+    # Batches and dimensions are few keys of very many rows: a shuffled join would read each key's rows in one task.
+    counts = bounded(written_below_scratch(counts, "batch-sizes"), BROADCAST_BATCHES)
+    return sized.join(counts, ["batch", "dimension"]).withColumn("_buckets", _bucket_numbers(F.col(vector), F.col("bits"), spec))
+
+
 def write_tables(rows: DataFrame, path: str, spec: TableSpec = TableSpec(), vector: str = "embedding") -> None:
     """Hash tables of the batches in ``rows`` (``id``, row keys, the vector) below ``path``; a batch that is there is replaced.
 
     The number of planes follows from the counted rows of each batch and dimension. Vectors that are null, zero or not finite have no
     direction and are not indexed. ``rebalance`` gives a bucket few files and cuts a hot one.
     """
-    sized = rows.withColumn("dimension", F.size(vector)).where("dimension > 0")
-    counts = sized.groupBy("batch", "dimension").agg(F.count("*").alias("_rows"))
-    wanted = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("_rows") / spec.rows_per_bucket))).cast("int")
-    counts = counts.select("batch", "dimension", F.least(wanted, F.lit(MAX_BITS), F.col("dimension")).alias("bits"))
-    found = sized.join(counts, ["batch", "dimension"]).withColumn("_buckets", _bucket_numbers(F.col(vector), F.col("bits"), spec))
     names = [name for name in ("id", "collection", "row_id") if name in rows.columns]
-    found = found.select(*names, vector, "batch", "dimension", "bits", F.posexplode("_buckets").alias("hash_table", "bucket"))
+    found = bucketed(rows, spec, vector).select(*names, vector, "batch", "dimension", "bits", F.posexplode("_buckets").alias("hash_table", "bucket"))
     (
         found.hint("rebalance", "batch", "hash_table", "bucket").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*PLACES).parquet(path)

@@ -8,9 +8,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+SPREAD_BYTES = 8 << 20
 # A repeated key in JSON keeps its last value instead of making the text unreadable. Arrow batches of whole
 # documents are kept short, so that a Python worker holds a few megabytes of text at a time.
 SETTINGS = {
@@ -65,6 +67,11 @@ def written_below_scratch(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Stored rows, marked for broadcast if they are counted to be few; else joins shuffle them."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; no job is started."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -94,10 +101,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a small input one task per core.
+    """Give CPU-heavy work on a small input one task per core, and more of them where a core's share is large.
 
     A file with one row group is one task however many cores there are. An input
     that already splits into enough tasks is returned as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if estimated_scan_tasks(df) < cores else df
+    if estimated_scan_tasks(df) >= cores:
+        return df
+    return df.repartition(max(cores, estimated_bytes(df) // SPREAD_BYTES))

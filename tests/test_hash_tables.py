@@ -117,3 +117,14 @@ def test_tables_beside_a_knowledge_base(spark, tmp_path):
     asked = spark.createDataFrame([(n, [float(x) for x in vectors[n]], name) for n in (5, 6) for name in ("a",)], "query_id long, embedding array<float>, collection string")
     hits = H.search_tables(asked, tables, 1, recall=0.99, similarity=0.9, spec=spec, collection="collection", attach_to=kb, attach=["content"]).collect()
     assert {(r["query_id"], r["content"]) for r in hits} == {(5, "text a 5"), (6, "text a 6")}
+
+
+def test_a_batch_is_not_joined_in_one_task(spark):
+    """The sizes of batches are broadcast however large Spark takes them for: by key, a batch's rows would all go to one task."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = H.bucketed(rows_of(spark, np.eye(5)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
