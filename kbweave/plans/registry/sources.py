@@ -31,7 +31,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     level = F.when(kind == "error", "E").when(kind == "view", "D").when(kind == "signup", "W").otherwise("I")
     message = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit("\n at: /x "), F.col("props"))
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         "event_id", format_log_line(F.col("ts").cast("timestamp"), level, kind, message).alias("value")
     )
 

@@ -19,21 +19,34 @@ def parse_log_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """``ts, level, tag, message`` per entry; a text without a header is a message of its own.
 
     Only the test for a header is a pattern; the fields are cut at fixed places and at the first ``/`` and ``: ``.
+
+    The lambdas bind a line and its parts to variables, and a filter on the fields stays above the generator: pushed below plain columns
+    it would repeat, for every use of a field, all that the line is made from.
     """
     kept = [c for c in lines.columns if c != line]
-    text = F.col(line)
-    rest = F.substring(text, F.lit(25), F.length(text))
-    slash = F.instr(rest, "/")
-    tagged = F.substring(rest, slash + 1, F.length(rest))
-    colon = F.instr(tagged, ": ")
-    headed = lambda value: F.when(F.col("_headed"), value)
-    return lines.withColumn("_headed", F.coalesce(text.rlike(LOG_HEADER), F.lit(False))).select(
-        *kept,
-        headed(F.try_to_timestamp(F.left(text, F.lit(23)), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))).alias("ts"),
-        headed(F.substring(rest, F.lit(1), slash - 1)).alias("level"),
-        headed(F.nullif(F.substring(tagged, F.lit(1), colon - 1), F.lit(""))).alias("tag"),
-        F.when(F.col("_headed"), F.substring(tagged, colon + 2, F.length(tagged))).otherwise(text).alias("message"),
-    )
+
+    def fields(text: Column) -> Column:
+        rest = F.substring(text, F.lit(25), F.length(text))
+        slash = F.instr(rest, "/")
+        return F.struct(
+            text.alias("text"),
+            F.coalesce(text.rlike(LOG_HEADER), F.lit(False)).alias("headed"),
+            F.substring(rest, F.lit(1), slash - 1).alias("level"),
+            F.substring(rest, slash + 1, F.length(rest)).alias("tagged"),
+        )
+
+    def entry(part: Column) -> Column:
+        text, tagged = part["text"], part["tagged"]
+        colon = F.instr(tagged, ": ")
+        headed = lambda value: F.when(part["headed"], value)
+        return F.struct(
+            headed(F.try_to_timestamp(F.left(text, F.lit(23)), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))).alias("ts"),
+            headed(part["level"]).alias("level"),
+            headed(F.nullif(F.substring(tagged, F.lit(1), colon - 1), F.lit(""))).alias("tag"),
+            headed(F.substring(tagged, colon + 2, F.length(tagged))).otherwise(text).alias("message"),
+        )
+
+    return lines.select(*kept, F.inline_outer(F.transform(F.transform(F.array(line), fields), entry)))
 
 
 def join_entries(lines: DataFrame, file: str, block: str, place: str, line: str = "value") -> DataFrame:

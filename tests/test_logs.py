@@ -6,7 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from kbweave.operators.answers import filter_log
 from kbweave.sources.log_follow import GrowingLogReader, lines_of, whole_entries
+from kbweave.sources.streams import parse_log_lines
 from kbweave.streaming.logs import ENTRY_SCHEMA, late_entries, log_counts, stream_growing_logs, stream_log_counts
 
 HEAD = "2024-01-01 00:00:{:02d}.000 I/tag: "
@@ -119,3 +121,11 @@ def test_replayed_batch_counts_once(spark, tmp_path):
     for run in range(2):
         stream_log_counts(spark, f"file://{folder}", out, f"file://{tmp_path}/checkpoint{run}", "1 minute", "1 minute").awaitTermination()
     assert log_counts(spark, out).agg(F.sum("entries")).first()[0] == 6
+
+
+def test_a_filter_makes_each_line_once(spark):
+    """Conditions on three fields do not repeat what the line is made from."""
+    made = spark.range(4).select("id", F.format_string("2024-01-02 03:04:05.678 E/tag%d: said: a/b", "id").alias("value"))
+    found = filter_log(parse_log_lines(made), start="2024-01-02 00:00:00", min_level="WARNING", tag="tag1")
+    assert [(r["id"], r["level"], r["message"]) for r in found.collect()] == [(1, "E", "said: a/b")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 1
