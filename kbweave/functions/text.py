@@ -1,12 +1,16 @@
-"""Text cleaning and scalar string functions, all built from Spark SQL expressions."""
+"""Text cleaning and scalar string functions, built from Spark SQL expressions but for the escapes of Chinese letters."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kbweave.functions.udfs import once
+
 # What Java's String.trim removes.
 TRIM_CHARS = "".join(chr(c) for c in range(0x21))
 
@@ -17,7 +21,14 @@ ESCAPE_RUN = (
     r"(?:\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4}"
     r"|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})++"
 )
-CHINESE_RUN = r"[\x{4E00}-\x{9FFF}]+"
+# A backslash that starts none of these escapes.
+OTHER_BACKSLASH = (
+    r"\\(?!u(?![dD][89a-fA-F])[0-9a-fA-F]{4}"
+    r"|u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    r"|(?<=\\u[dD][89abAB][0-9a-fA-F]{2}\\)u[dD][c-fC-F][0-9a-fA-F]{2})"
+)
+# Letters that are escaped, and ASCII, which the codec leaves as it is.
+ASCII_OR_CHINESE = re.compile("[\x00-\x7f\u4e00-\u9fff]+")
 FENCE = "```"
 
 
@@ -54,10 +65,18 @@ def _rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) ->
     return F.array_join(F.zip_with(between, changed, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
+def _read_as_json(text: Column) -> Column:
+    """The text with its escapes read by the JSON reader, in one pass: all that is no such escape is escaped for JSON first."""
+    kept = F.replace(F.regexp_replace(text, OTHER_BACKSLASH, r"\\\\"), F.lit('"'), F.lit('\\"'))
+    options = {"allowUnquotedControlChars": "true", "maxStringLen": str(2**31 - 1)}
+    return F.from_json(F.concat(F.lit('{"v":"'), kept, F.lit('"}')), "v string", options)["v"]
+
+
 def decode_unicode_escapes(text: Column) -> Column:
     """Replace ``\\uXXXX`` by the character; halves of a pair that stand alone stay as they are."""
-    decode = lambda run: F.decode(F.unhex(F.replace(run, F.lit("\\u"), F.lit(""))), "UTF-16BE")
-    return F.when(contains_unicode_escapes(text), _rewrite(text, ESCAPE_RUN, decode)).otherwise(text)
+    decode = lambda run: F.decode(F.unhex(F.replace(run, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+    read = F.coalesce(_read_as_json(text), _rewrite(text, ESCAPE_RUN, decode))
+    return F.when(contains_unicode_escapes(text), read).otherwise(text)
 
 
 def decode_repeatedly(text: Column, extra_rounds: int = 3) -> Column:
@@ -70,8 +89,14 @@ def decode_repeatedly(text: Column, extra_rounds: int = 3) -> Column:
 
 def encode_chinese(text: Column) -> Column:
     """Write U+4E00 to U+9FFF as lower-case ``\\uxxxx``."""
-    escape = lambda run: F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(.{4})", r"\\u$1")
-    return _rewrite(text, CHINESE_RUN, escape)
+
+    @once("string")
+    def encode(texts: pa.Array) -> pa.Array:
+        plain = [None if t is None else t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()]
+        escaped = lambda run: run[0].encode("ascii", "backslashreplace").decode("ascii")
+        return pa.array([None if t is None else ASCII_OR_CHINESE.sub(escaped, t) for t in plain], pa.string())
+
+    return encode(text)
 
 
 def decode_and_strip(text: Column) -> Column:

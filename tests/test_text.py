@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +53,26 @@ def test_decode(spark, raw, decoded):
     assert one(spark, X.decode_unicode_escapes(F.col("t")), t=raw) == decoded
 
 
+def test_escapes_are_read_in_one_pass(spark):
+    """Odd neighbours of escapes, against a substitution run by run; the reader in one pass takes every text."""
+    run = re.compile(X.ESCAPE_RUN)
+    rng = random.Random(5)
+    parts = [U, U + "4e2d", U + "D83d", U + "dE00", U + "0022", U + "005c", U + "0000", U + "000a", U + "12", chr(92), '"', "u0041", "中", chr(0x1F600), "\n", "\t", "\x01", "{}", "'", "é", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(400)] + ["", None, (U + "4e2d" + "x") * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", X._read_as_json(F.col("t")).alias("whole"), X.decode_unicode_escapes(F.col("t")).alias("found")).collect()
+    for row in rows:
+        text = texts[row["i"]]
+        want = text and run.sub(lambda m: bytes.fromhex(m[0].replace(U, "")).decode("utf-16-be"), text)
+        assert row["found"] == want and row["whole"] == want, text
+
+
+def test_encode_takes_odd_texts(spark):
+    df = spark.createDataFrame([(0, "一中鿿ꀀ 㿿é" + chr(0x1F600)), (1, None), (2, "")], "i int, t string")
+    found = {r["i"]: r["e"] for r in df.select("i", X.encode_chinese(F.col("t")).alias("e")).collect()}
+    assert found == {0: f"{U}4e00{U}4e2d{U}9fffꀀ 㿿é" + chr(0x1F600), 1: None, 2: ""}
+
+
 def test_decode_repeatedly(spark):
     assert one(spark, X.decode_repeatedly(F.col("t")), t=f"{U}005cu4e2d") == "中"
 
