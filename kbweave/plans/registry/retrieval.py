@@ -14,7 +14,7 @@ from kbweave.plans.build import build_from_notes, build_from_texts
 from kbweave.plans.registry import query, table
 from kbweave.plans.registry.text import CHUNKS_SQL
 from kbweave.plans.retrieve import answer_requests, embed_questions, retrieve
-from kbweave.session import scratch_path
+from kbweave.session import scratch_path, written_below_scratch
 
 DEPTH, RERANK_COUNT = 20, 5
 _SYSTEM = "Answer from the documents."
@@ -198,7 +198,8 @@ WHERE rank <= 20
 def kb_mixed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, notes and a second append of the same documents in one collection: each hit has its own text."""
     path = scratch_path(spark, "mixed-kb")
-    docs = document_kb(spark, sf_dir).withColumn("collection", F.lit("all"))
+    # Both appends take the same rows, which are built once.
+    docs = written_below_scratch(document_kb(spark, sf_dir).withColumn("collection", F.lit("all")), "mixed-documents")
     notes = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("note_id"), F.lit("item").alias("title"), F.col("text").alias("content")
     )
