@@ -15,7 +15,8 @@ from kbweave.functions.udfs import once
 from kbweave.functions.vector_kernels import lengths_of, to_list_array
 
 TOKEN = r"[\p{L}\p{N}]+"
-_TOKENS_PER_SLICE = 1 << 16
+_TOKENS_PER_SLICE = 1 << 12
+_TOKENS_KEPT, _LONGEST_KEPT = 1 << 16, 64
 _BLOCK = 32
 
 
@@ -29,11 +30,26 @@ def words(text: Column) -> Column:
     return F.get(chosen, F.lit(0))
 
 
-def _token_table(tokens: pa.Array, dim: int) -> np.ndarray:
+class _Digests(dict):
+    """The SHA-256 blocks of a token, remembered up to a bound of tokens; long ones are not kept."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.blocks = [b"%d:" % j for j in range(-(-dim // _BLOCK))]
+
+    def __missing__(self, token: bytes) -> bytes:
+        value = b"".join(sha256(block + token).digest() for block in self.blocks)
+        if len(token) <= _LONGEST_KEPT:
+            if len(self) >= _TOKENS_KEPT:
+                self.clear()
+            self[token] = value
+        return value
+
+
+def _token_table(tokens: pa.Array, dim: int, digests: _Digests) -> np.ndarray:
     """One row of odd integers from -255 to 255 per token, read from SHA-256 blocks."""
-    blocks = [b"%d:" % j for j in range(-(-dim // _BLOCK))]
-    raw = b"".join(sha256(block + t).digest() for t in tokens.cast(pa.binary()).to_pylist() for block in blocks)
-    values = np.frombuffer(raw, dtype=np.uint8).reshape(-1, len(blocks) * _BLOCK)[:, :dim]
+    raw = b"".join(map(digests.__getitem__, tokens.cast(pa.binary()).to_pylist()))
+    values = np.frombuffer(raw, dtype=np.uint8).reshape(-1, len(digests.blocks) * _BLOCK)[:, :dim]
     return values.astype(np.int16) * 2 - 255
 
 
@@ -42,8 +58,13 @@ def _embed_slice(codes: np.ndarray, table: np.ndarray, sizes: np.ndarray) -> np.
         # One long text: count its distinct words instead of laying out a row per word.
         sums = np.bincount(codes, minlength=len(table))[None, :] @ table.astype(np.int64)
     else:
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        sums = np.add.reduceat(table[codes], starts, axis=0, dtype=np.int64)
+        # Counts of the slice's distinct words times their rows; whole numbers below 2^24 are exact in float32.
+        used = np.zeros(len(table), dtype=bool)
+        used[codes] = True
+        place = np.cumsum(used) - 1
+        cells = np.repeat(np.arange(len(sizes)) * used.sum(), sizes) + place[codes]
+        counts = np.bincount(cells, minlength=len(sizes) * used.sum()).reshape(len(sizes), -1)
+        sums = counts.astype(np.float32) @ table[used].astype(np.float32)
     return sums / (255.0 * sizes[:, None])
 
 
@@ -56,10 +77,11 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
 
     @once("array<float>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        digests = _Digests(dim)
         for tokens in batches:
             sizes = np.maximum(lengths_of(tokens), 0)
             encoded = tokens.flatten().dictionary_encode()
-            table = _token_table(encoded.dictionary, dim)
+            table = _token_table(encoded.dictionary, dim, digests)
             codes = encoded.indices.to_numpy(zero_copy_only=False)
             filled = np.flatnonzero(sizes)
             ends = np.cumsum(sizes[filled])

@@ -1,12 +1,18 @@
 """The physical plans stay the ones the operators were written for."""
 
+import re
+from hashlib import sha256
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kbweave import session
+from kbweave.functions import embedding
 from kbweave.operators.rerank import rerank
 from kbweave.operators.search import search_topk
 from kbweave.plans.build import build_from_texts
-from kbweave.plans.registry import QUERIES, load_all
+from kbweave.plans.registry import QUERIES, load_all, retrieval
 
 SF_DIR = "/root/testdata/sf0.001"
 load_all()
@@ -73,3 +79,37 @@ def test_texts_are_joined_without_shuffling_the_table(spark, tmp_path):
     scan = next(line for line in text.splitlines() if "content" in line and "FileScan" in line)
     assert "SortMergeJoin" not in text and "dynamicpruning" in scan
     assert found.count() == 6 and {r["collection"] for r in found.collect()} == {"a"}
+
+
+def test_large_shares_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    spark.range(200_000).select(F.xxhash64("id").alias("h")).coalesce(1).write.parquet(f"{tmp_path}/one")
+    rows = spark.read.parquet(f"{tmp_path}/one")
+    cores = spark.sparkContext.defaultParallelism
+    assert session.spread(rows).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(session, "SPREAD_BYTES", 1 << 16)
+    assert session.spread(rows).rdd.getNumPartitions() > 2 * cores
+
+
+def test_embedding_by_brute_force(spark, monkeypatch):
+    """Short, long and repeated words over several slices, exactly, with a small memory of words."""
+    monkeypatch.setattr(embedding, "_TOKENS_PER_SLICE", 7)
+    monkeypatch.setattr(embedding, "_TOKENS_KEPT", 3)
+    texts = [" ".join(f"w{(i * j) % 11}" for j in range(i)) + " " + "x" * (40 * i) for i in range(1, 30)] + ["", None, "!?"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    found = {r["i"]: r["e"] for r in df.select("i", embedding.hash_embedding(F.col("t"), 40).alias("e")).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[a-z0-9]+", text or "") or ([text] if text else [])
+        sums = [sum(2 * (sha256(b"%d:" % (p // 32) + w.encode()).digest()[p % 32]) - 255 for w in words) for p in range(40)]
+        assert found[i] == [float(np.float32(s / (255.0 * len(words)))) for s in sums] if words else not found[i]
+
+
+def test_both_appends_hold_the_same_rows(spark, tmp_path, monkeypatch):
+    """Documents are built once for two appends: even what differs from run to run is equal in both."""
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en", "s") for i in range(6)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    built = retrieval.document_kb
+    monkeypatch.setattr(retrieval, "document_kb", lambda *a: built(*a).withColumn("content", F.concat("content", F.lit(" "), F.uuid())))
+    rows = [r for r in retrieval.kb_mixed_search(spark, str(tmp_path)).collect() if "words of text" in r["content"]]
+    contents = {batch: {r["id"]: r["content"] for r in rows if r["batch"] == batch} for batch in ("one", "two")}
+    assert len(contents["one"]) == 6 and contents["one"] == contents["two"]
