@@ -25,8 +25,9 @@ def _streamed(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """The rows as a file stream of several micro-batches, and a folder for its checkpoint and sink."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.repartition(_FILES).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", _FILES // 2).parquet(f"{path}/in")
+    files = max(_FILES, spark.sparkContext.defaultParallelism)
+    df.repartition(files).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(f"{path}/in")
     return stream, path
 
 
@@ -60,7 +61,7 @@ def stream_revisions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = sse_line(F.concat(F.lit(">"), F.coalesce(sse_content(F.col("value")), F.lit(""))))
     again = first.withColumn("value", F.when(F.col("response_id") % 5 == 0, changed).otherwise(F.col("value")))
     for number, part in enumerate((lines, again)):
-        part.repartition(_FILES).write.parquet(f"{path}/in/{number}")
+        part.repartition(max(_FILES, spark.sparkContext.defaultParallelism)).write.parquet(f"{path}/in/{number}")
         stream = stream_revisions(spark.readStream.schema(lines.schema).parquet(f"{path}/in/*"))
         with rocksdb_state(spark):
             found = _finish(stream, path)

@@ -12,7 +12,40 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kbweave.operators.ordered_text import PART_POSITIONS
 from kbweave.sources.streams import is_done, sse_content
 
-STATE_SCHEMA = "seqs array<long>, pieces array<string>, end long"
+# Parts that are not whole yet: one entry each in the first four, their lines in the others, ``owners`` telling whose.
+STATE_SCHEMA = "ids array<string>, parts array<long>, ends array<long>, until array<long>, owners array<int>, seqs array<long>, pieces array<string>"
+BUCKETS = 1024
+
+
+class _Part:
+    """The lines of one part that have come, its end mark's place, and when it is given up."""
+
+    def __init__(self, end: int = -1, until: int = 0):
+        self.pieces: dict[int, str] = {}
+        self.end, self.until = end, until
+
+    def is_whole(self, first: int, positions: int) -> bool:
+        expected = (self.end - first + 1) if self.end >= 0 else positions
+        return sum(1 for s in self.pieces if s < first + expected) >= expected
+
+    def text(self) -> str:
+        return "".join(self.pieces[s] for s in sorted(self.pieces))
+
+
+def _held(state: GroupState) -> dict[tuple[str | None, int], _Part]:
+    if not state.exists:
+        return {}
+    ids, parts, ends, until, owners, seqs, pieces = state.get
+    found = [_Part(end, last) for end, last in zip(ends, until)]
+    for owner, seq, piece in zip(owners, seqs, pieces):
+        found[owner].pieces[seq] = piece
+    return dict(zip(zip(ids, parts), found))
+
+
+def _kept(held: dict[tuple[str | None, int], _Part]) -> tuple:
+    lines = [(owner, seq, piece) for owner, part in enumerate(held.values()) for seq, piece in sorted(part.pieces.items())]
+    columns = [list(column) for column in zip(*lines)] if lines else [[], [], []]
+    return ([k[0] for k in held], [k[1] for k in held], [p.end for p in held.values()], [p.until for p in held.values()], *columns)
 
 
 def stream_answers(
@@ -22,52 +55,65 @@ def stream_answers(
     line: str = "value",
     positions: int = PART_POSITIONS,
     timeout_ms: int | None = 600_000,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``response_id, part, answer, complete`` as soon as a part of a response has all its lines.
 
-    State is kept per (response, part): one endless response neither lands in one
-    task nor grows one state. A part is complete when it has ``positions`` lines,
+    Parts are dealt to ``buckets`` by their (response, part), so one endless response neither lands in one
+    task nor grows one state, and a call handles all of a bucket's parts: a call a part costs a
+    millisecond or two, however short the part. A part is complete when it has ``positions`` lines,
     or all lines up to the end mark. What stays unfinished is emitted as
     incomplete after the timeout and forgotten. A run that should end by itself
     (``availableNow``) needs ``timeout_ms=None``: a pending timeout keeps it alive.
     """
-    id_type = lines.schema[response_id].dataType.simpleString()
+    id_type = lines.schema[response_id].dataType
+    part = F.floor(F.col(seq) / positions).cast("long")
     parsed = lines.select(
-        F.col(response_id),
-        F.floor(F.col(seq) / positions).cast("long").alias("part"),
+        F.pmod(F.xxhash64(F.col(response_id), part), F.lit(buckets)).alias("bucket"),
+        F.col(response_id).cast("string").alias("id"),
+        part.alias("part"),
         F.col(seq).cast("long").alias("seq"),
         F.coalesce(sse_content(F.col(line)), F.lit("")).alias("piece"),
         F.coalesce(is_done(F.col(line)), F.lit(False)).alias("done"),
     )
 
     def collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = key[1] * positions
-        held = dict(zip(*state.get[:2])) if state.exists else {}
-        end = state.get[2] if state.exists else -1
+        held, ends = _held(state), {}
+        now = 0 if timeout_ms is None else state.getCurrentProcessingTimeMs()
+        touched = set()
         for rows in batches:
-            held.update(zip(rows["seq"].tolist(), rows["piece"].tolist()))
-            if rows["done"].any():
-                end = int(rows.loc[rows["done"], "seq"].min())
-        expected = (end - first + 1) if end >= 0 else positions
-        complete = sum(1 for s in held if s < first + expected) >= expected
-        if complete or state.hasTimedOut:
-            if state.exists:
-                state.remove()
-            text = "".join(held[s] for s in sorted(held))
-            if text:
-                yield pd.DataFrame(
-                    {response_id: [key[0]], "part": [key[1]], "answer": [text], "complete": [complete]}
-                )
-        else:
-            seqs = sorted(held)
-            state.update((seqs, [held[s] for s in seqs], end))
+            for name, number, place, piece, done in zip(*(rows[c].tolist() for c in ("id", "part", "seq", "piece", "done"))):
+                at = (name, number)
+                touched.add(at)
+                held.setdefault(at, _Part()).pieces[place] = piece
+                if done:
+                    ends[at] = min(place, ends.get(at, place))
+        for at, end in ends.items():
+            held[at].end = end
+        told = []
+        for at in list(held):
+            it = held[at]
+            whole = at in touched and it.is_whole(at[1] * positions, positions)
+            if at in touched and timeout_ms is not None:
+                it.until = now + timeout_ms
+            if whole or (timeout_ms is not None and it.until <= now):
+                del held[at]
+                if text := it.text():
+                    told.append((*at, text, whole))
+        if held:
+            state.update(_kept(held))
             if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
+                state.setTimeoutDuration(max(1, min(it.until for it in held.values()) - now))
+        elif state.exists:
+            state.remove()
+        if told:
+            yield pd.DataFrame(told, columns=["id", "part", "answer", "complete"])
 
-    return parsed.groupBy(response_id, "part").applyInPandasWithState(
+    found = parsed.groupBy("bucket").applyInPandasWithState(
         collect,
-        f"{response_id} {id_type}, part long, answer string, complete boolean",
+        "id string, part long, answer string, complete boolean",
         STATE_SCHEMA,
         "append",
         GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
+    return found.select(F.col("id").cast(id_type).alias(response_id), "part", "answer", "complete")

@@ -29,7 +29,7 @@ class _Answer(StatefulProcessor):
         self.held = handle.getValueState("held", "seqs array<long>, pieces array<string>, end long, revision int, said string, waits boolean", self.keep_ms)
 
     def _state(self) -> tuple[dict[int, str], int, int, str, bool]:
-        held = self.held.get() if self.held.exists() else None
+        held = self.held.get()  # None without a value: asking first would be one more round to the JVM a part
         return ({}, -1, 0, "", False) if held is None else (dict(zip(held[0], held[1])), *tuple(held)[2:])
 
     def _keep(self, pieces: dict[int, str], *rest) -> None:

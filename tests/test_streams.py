@@ -1,6 +1,7 @@
 """Streams give the batch result, survive a restart, and do not gather a hot key."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -105,3 +106,30 @@ def test_bytes_across_parts(spark):
 def test_assemble_orders_pieces(spark):
     df = spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (1, 1, "b")], "k long, p long, t string")
     assert assemble(df, ["k"], "p", "t", "o").first()["o"] == "abc"
+
+
+def test_answers_share_a_call(spark, tmp_path):
+    """Many responses in few buckets, ids that are null or texts, and lines over two batches; what is unfinished stays in the state."""
+    ids = [f"r{i}" for i in range(50)] + [None]
+    rows = [(i, s, line(f"{i}-{s} ")) for i in ids for s in range(5)] + [(i, 5, DONE_LINE) for i in ids if i != "r7"]
+    source = tmp_path / "in"
+    for part in (rows[0::2], rows[1::2]):
+        spark.createDataFrame(part, "response_id string, seq long, value string").coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema("response_id string, seq long, value string").option("maxFilesPerTrigger", 1).parquet(str(source))
+    got = run(stream_answers(stream, positions=4, timeout_ms=None, buckets=3), tmp_path)
+    assert got.schema["response_id"].dataType.simpleString() == "string"
+    want = [(i, 0, "".join(f"{i}-{s} " for s in range(4)), True) for i in ids] + [(i, 1, f"{i}-4 ", True) for i in ids if i != "r7"]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_answers_in_one_bucket_time_out_each(spark, tmp_path):
+    source = str(tmp_path / "in")
+    write = lambda rows: spark.createDataFrame(rows, "response_id long, seq long, value string").coalesce(1).write.mode("append").parquet(source)
+    write([(1, 0, line("a")), (2, 0, line("b")), (2, 1, DONE_LINE), (3, 0, line("c"))])
+    stream = spark.readStream.schema("response_id long, seq long, value string").parquet(source)
+    writer = stream_answers(stream, timeout_ms=1500, buckets=1).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+    query = writer.start(str(tmp_path / "out"))
+    time.sleep(10)
+    query.stop()
+    found = spark.read.schema("response_id long, part long, answer string, complete boolean").parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "a", False), (2, 0, "b", True), (3, 0, "c", False)]
